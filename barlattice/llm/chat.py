@@ -5,9 +5,9 @@ fingerprint selects a declarative mapping (`LAYOUTS`) from the record's fields t
 Optional fields are part of a layout: each combination has its own fingerprint. A record whose fingerprint no
 mapping has gets no turns and keeps its fingerprint, so that a mapping can be added.
 
-Template: a turn is <|role|> newline text <|end|> newline. Inside roles and texts a backslash stands before every
-backslash and bar, so no bar follows or leads a bracket there and no text can open or close a turn; reading back
-undoes it (`escape`, `unescape`). The loss mask is the list of (start, end) offsets, in the formatted text, of
+Template: a turn is <|role|> newline text <|end|> newline. Inside roles and texts a backslash becomes two and a
+bar becomes backslash and slash, so no bar is left there and no text can open or close a turn; reading back undoes
+it (`escape`, `unescape`). The loss mask is the list of (start, end) offsets, in the formatted text, of
 the assistant's texts.
 
 Defined results: null role or text counts as empty; turns of a conversation are ordered by turn (null first), then
@@ -100,11 +100,11 @@ class Registry:
 
 
 def escape(text: str) -> str:
-    return text.replace("\\", "\\\\").replace("|", "\\|")
+    return text.replace("\\", "\\\\").replace("|", "\\/")
 
 
 def unescape(text: str) -> str:
-    return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL) if "\\" in text else text
+    return re.sub(r"\\(.)", lambda m: "|" if m[1] == "/" else m[1], text, flags=re.DOTALL) if "\\" in text else text
 
 
 def format_turn(role: str, text: str) -> str:

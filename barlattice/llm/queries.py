@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlattice.llm import chat, exact_dedup, ngram_join, quality, sentencepiece_codec, sharding
+from barlattice.llm import chat, decontaminate, exact_dedup, ngram_join, quality, sentencepiece_codec, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: The conversation that op6 adds to the table.
 ESCAPED = r"\### Assistant: </turn> ok"
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_sharding": op2_sharding,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_decontamination": op5_decontamination,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_quality_classifier": op7_quality_classifier,
     "op9_sentencepiece": op9_sentencepiece,
@@ -83,5 +88,18 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
+""",
+    "op5_decontamination": """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM d),
+bw AS (SELECT item_id, len(w) AS item_words, least(len(w), 13) AS window_words, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM b),
+m AS (SELECT doc_id, item_id, item_words, window_words, dw.p - bw.p AS doc_word, bw.p AS p FROM dw JOIN bw USING (word)),
+big AS (SELECT doc_id, item_id, doc_word FROM m GROUP BY 1, 2, 3, window_words HAVING count(*) >= CASE WHEN window_words < 6 THEN window_words ELSE ceil(0.8 * window_words) END AND window_words >= 4),
+c AS (SELECT m.*, count(*) OVER (PARTITION BY doc_id, item_id, doc_word ORDER BY p RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS n_matched FROM m JOIN big USING (doc_id, item_id, doc_word)),
+ok AS (SELECT doc_id, item_id, item_words, window_words, n_matched, doc_word FROM c WHERE n_matched >= CASE WHEN window_words < 6 THEN window_words ELSE ceil(0.8 * window_words) END)
+SELECT doc_id, item_id, item_words, window_words, n_matched, min(doc_word) AS doc_word
+FROM ok GROUP BY doc_id, item_id, item_words, window_words, n_matched
+HAVING n_matched = (SELECT max(n_matched) FROM ok o WHERE o.doc_id = ok.doc_id AND o.item_id = ok.item_id)
 """,
 }

@@ -183,14 +183,15 @@ def records_of(archive: ZipReader) -> Iterator[tuple[dict, dict]]:
         yield entry, parse_record(gzip.decompress(archive.range(DATA, entry["offset"], entry["offset"] + entry["length"])))
 
 
-def packer(archive_bytes: int, comment: bytes):
-    """Rows page_id, url, html, refers_to, revisit to archives."""
+def packer(archive_bytes: int, appended: bytes):
+    """Rows page_id, url, html, refers_to, revisit to archives, each without the bytes that the writer appends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, index, at = [], [], 0
 
         def archive() -> pa.RecordBatch:
-            raw = zip_bytes([(DATA, b"".join(data)), (INDEX, "\n".join(index).encode())], comment)
+            raw = zip_bytes([(DATA, b"".join(data)), (INDEX, "\n".join(index).encode())], appended)
+            raw = raw[: len(raw) - len(appended)]
             return pa.RecordBatch.from_arrays([pa.array([raw], type=pa.binary())], names=["archive"])
 
         for batch in batches:

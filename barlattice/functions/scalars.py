@@ -55,7 +55,8 @@ def market_prefix(code: Column) -> Column:
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    """Null stays null: greatest and least alone would skip it."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
 def piecewise(x: Column, points: list[tuple[float, float]]) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from barlattice.plans import series
+from barlattice.plans import market, series
 from barlattice.plans.common import Query
 
-MODULES = (series,)
+MODULES = (series, market)
 
 
 def queries() -> dict[str, Query]:

@@ -27,9 +27,9 @@ def plain(name: str, columns: dict[str, str], where: str = "true", digits: int =
 plain("ma_features", {"ma5": "ma5", "ma10": "ma10", "ma20": "ma20", "ma60": "ma60"})
 plain("n_row_returns", {"ret3": "ret3", "ret5": "ret5", "ret10": "ret10", "ret19": "ret19", "ret20": "ret20"})
 plain("breakout_volume", {"prior_high20": "prior_high20", "volume_ratio_incl": "volume_ratio_incl", "volume_ratio_prev": "volume_ratio_prev", "amount_ratio5": "amount_ratio5"}, "close > prior_high20 AND prior_n = 20")
-plain("atr14", {"tr": "tr", "atr14": "atr14"}, "rn >= 15", 3)
+plain("atr14", {"tr": "tr", "atr14": "atr14"}, "rn >= 15", 8)
 plain("obv_trend", {"obv": "obv", "obv5": "obv5", "trend": "sign(obv5)"})
-plain("recent_extremes", {"recent_high20": "recent_high20", "recent_low20": "recent_low20"})
+plain("recent_extremes", {"recent_high20": "recent_high20", "recent_low20": "recent_low20"}, digits=8)
 
 
 @add("rps_rank", with_ctes("rps") + "SELECT code, trade_date, round(ret20, 6) AS ret20, round(rps, 6) AS rps FROM rps")

@@ -50,7 +50,7 @@ def features(b: DataFrame) -> DataFrame:
             "atr14": F.when(F.col("rn") >= 15, F.avg("tr").over(rows(-13, 0))),
             "obv": F.sum("obv_step").over(rows(Window.unboundedPreceding, 0)), "obv5": F.when(F.col("rn") >= 6, F.sum("obv_step").over(rows(-4, 0))),
             "vol60": F.when(F.count("pct_change").over(rows(-58, 0)) >= 2, F.stddev_samp("pct_change").over(rows(-58, 0)) / 100 * math.sqrt(252) * 100),
-            "recent_high20": F.max("high").over(rows(-19, 0)), "recent_low20": F.min("low").over(rows(-19, 0)),
+            "volume_mean10": full_mean("volume", 10), "recent_high20": F.max("high").over(rows(-19, 0)), "recent_low20": F.min("low").over(rows(-19, 0)),
         }
     )
 
@@ -66,7 +66,7 @@ FEATURES_SQL = """feat AS (
     + ["max(close) OVER (c ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS prior_high20", "min(close) OVER (c ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS prior_low20", "count(close) OVER (c ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS prior_n"]
     + ["volume / CASE WHEN count(volume) OVER (c ROWS 4 PRECEDING) = 5 THEN avg(volume) OVER (c ROWS 4 PRECEDING) END AS volume_ratio_incl"]
     + [f"{x} / CASE WHEN count({x}) OVER (c ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) = {n} THEN avg({x}) OVER (c ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) END AS {name}" for x, n, name in (("volume", 5, "volume_ratio_prev"), ("volume", 10, "volume_ratio10"), ("amount", 5, "amount_ratio5"))]
-    + ["max(high) OVER (c ROWS 19 PRECEDING) AS recent_high20", "min(low) OVER (c ROWS 19 PRECEDING) AS recent_low20"]
+    + ["CASE WHEN count(volume) OVER (c ROWS 9 PRECEDING) = 10 THEN avg(volume) OVER (c ROWS 9 PRECEDING) END AS volume_mean10", "max(high) OVER (c ROWS 19 PRECEDING) AS recent_high20", "min(low) OVER (c ROWS 19 PRECEDING) AS recent_low20"]
 ) + """
     FROM bars WINDOW c AS (PARTITION BY code ORDER BY trade_date)) WINDOW c AS (PARTITION BY code ORDER BY trade_date))"""
 

@@ -45,3 +45,14 @@ def r(name: str | Column, digits: int = 6, alias: str | None = None) -> Column:
     """Rounded, for comparison; halves and doubles of sums differ in their last bits only."""
     c = F.col(name) if isinstance(name, str) else name
     return F.round(c, digits).alias(alias or name)
+
+
+def layered(source: str, layers: list[dict[str, str]]) -> str:
+    """A subquery that applies layers of expressions one after the other; later ones may replace a column."""
+    out, have = f"SELECT * FROM {source}", set()
+    for layer in layers:
+        again = [k for k in layer if k in have]
+        have |= set(layer)
+        star = f"* EXCLUDE ({', '.join(again)})" if again else "*"
+        out = f"SELECT {star}, " + ", ".join(f"{e} AS {k}" for k, e in layer.items()) + f" FROM ({out})"
+    return f"({out})"

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from barlattice.plans import market, selection, series
+from barlattice.plans import evaluation, market, selection, series
 from barlattice.plans.common import Query
 
-MODULES = (series, market, selection)
+MODULES = (series, market, selection, evaluation)
 
 
 def queries() -> dict[str, Query]:

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlattice.llm.common import materialise
+from barlattice.llm.common import free_name, materialise
 
 HASH_BITS = 60
 #: Directories of at most so many rows (about 40 bytes each) are broadcast; larger ones are joined by a shuffle.
@@ -65,11 +65,13 @@ def assign_shards(docs: DataFrame, limit: int = 64 << 20, id_col: str = "doc_id"
 
 def write_shards(docs: DataFrame, path: str, limit: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write docs as one Parquet folder per shard (shard=<prefix bits>); a shard is written by one task, within its byte limit."""
-    keys = docs.withColumn("x_h", row_hash(F.col(id_col), F.col(text_col)))
-    sized = materialise(keys.select(F.col("x_h").alias("h"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("doc_bytes")), "keys")
+    hash_col, shard_col = free_name(docs, "x_hash"), free_name(docs, "shard")
+    keys = docs.withColumn(hash_col, row_hash(F.col(id_col), F.col(text_col)))
+    sized = materialise(keys.select(F.col(hash_col).alias("h"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("doc_bytes")), "keys")
     slots, bits = directory(sized, limit)
-    if slots.count() <= BROADCAST_SLOTS:
-        slots = F.broadcast(slots)
-    placed = keys.withColumn("slot", F.expr(f"x_h >> {HASH_BITS - bits}")).join(slots.select("slot", "depth", "prefix"), "slot")
     shard = F.when(F.col("depth") == 0, F.lit("all")).otherwise(F.lpad(F.bin("prefix"), HASH_BITS, "0").substr(F.lit(HASH_BITS + 1) - F.col("depth"), F.col("depth")))
-    placed.withColumn("shard", shard).select(*docs.columns, "shard").repartition("shard").write.partitionBy("shard").parquet(path)
+    named = slots.select(F.col("slot").alias(f"{hash_col}_slot"), shard.alias(shard_col))
+    if slots.count() <= BROADCAST_SLOTS:
+        named = F.broadcast(named)
+    placed = keys.withColumn(f"{hash_col}_slot", F.expr(f"`{hash_col}` >> {HASH_BITS - bits}")).join(named, f"{hash_col}_slot")
+    placed.select(*docs.columns, shard_col).repartition(shard_col).write.partitionBy(shard_col).parquet(path)

@@ -116,5 +116,26 @@ ok AS (SELECT doc_id, item_id, item_words, window_words, n_matched, doc_word FRO
 SELECT doc_id, item_id, item_words, window_words, n_matched, min(doc_word) AS doc_word
 FROM ok GROUP BY doc_id, item_id, item_words, window_words, n_matched
 HAVING n_matched = (SELECT max(n_matched) FROM ok o WHERE o.doc_id = ok.doc_id AND o.item_id = ok.item_id)
+""",
+    "op1_ngram_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT rid, s FROM (SELECT rid, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d)),
+n AS (SELECT rid, count(*) AS c FROM g GROUP BY 1),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS i FROM g a JOIN g b ON a.s = b.s AND a.rid < b.rid GROUP BY 1, 2),
+h AS (SELECT x, y FROM p JOIN n u ON u.rid = x JOIN n v ON v.rid = y WHERE i >= 0.8 * (u.c + v.c - i) - 1e-9),
+e AS (SELECT x, y FROM h UNION ALL SELECT y, x FROM h),
+r(x, y) AS (SELECT rid, rid FROM d UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+k AS (SELECT r.x AS rid, min(d.doc_id) AS class_id FROM r JOIN d ON d.rid = r.y GROUP BY 1),
+l AS (SELECT x AS rid, count(*) AS n_links FROM e GROUP BY 1)
+SELECT d.doc_id, k.class_id, coalesce(l.n_links, 0) AS n_links, CASE WHEN len(w) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY w) END AS n_copies, CASE WHEN len(w) = 0 THEN d.doc_id ELSE min(d.doc_id) OVER (PARTITION BY w) END AS copy_id
+FROM d JOIN k USING (rid) LEFT JOIN l USING (rid)
+""",
+    "op8_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+x AS (SELECT *, array_to_string(list_transform(string_split(sha1(h), ''), lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), '') AS bits, count(*) OVER (PARTITION BY h) AS n, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(substr(bits, i * 5 + 1, 1) AS INTEGER) * 16 + CAST(substr(bits, i * 5 + 2, 1) AS INTEGER) * 8 + CAST(substr(bits, i * 5 + 3, 1) AS INTEGER) * 4 + CAST(substr(bits, i * 5 + 4, 1) AS INTEGER) * 2 + CAST(substr(bits, i * 5 + 5, 1) AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM x
 """,
 }

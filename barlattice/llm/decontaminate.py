@@ -81,9 +81,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     few = probes.count() <= BROADCAST_SEEDS
     hits = seeds_of(texts, "doc_id").join(F.broadcast(probes) if few else probes, "seed")
     lines = materialise(hits.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct(), "alignments")
-    want = lines.join(items.select("item_id", words_of(F.col("text")).alias("item")), lines["item_id"].eqNullSafe(items["item_id"])).select(lines["doc_id"].alias("hit_doc"), lines["item_id"], "shift", "item")
+    want = lines.select(F.col("doc_id").alias("hit_doc"), F.col("item_id").alias("hit_item"), "shift")
     want = F.broadcast(want) if lines.count() <= BROADCAST_HITS else want
+    itemised = items.select("item_id", words_of(F.col("text")).alias("item"))
     met = texts.select("doc_id", words_of(F.col("text")).alias("doc")).join(want, F.col("doc_id").eqNullSafe(F.col("hit_doc")))
+    met = met.join(F.broadcast(itemised) if few else itemised, F.col("hit_item").eqNullSafe(F.col("item_id")))
     same = F.transform(F.col("item"), lambda w, i: F.when(F.get("doc", F.col("shift") + i) == w, 1).otherwise(0))
     size = F.least(F.size("item"), F.lit(window))
     met = met.select("doc_id", "item_id", "shift", F.size("item").alias("item_words"), size.alias("window_words"), same.alias("same"))

@@ -16,7 +16,7 @@ by_value(__name__)
 BASE = 0x9E3779B97F4A7C17
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Texts are taken in pieces of about so many bytes; a longer text is a piece of its own.
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,42 +80,55 @@ def trade_paths(signals: DataFrame, bars: DataFrame, hold: int) -> DataFrame:
     return signals.join(bars.withColumn("path", ahead).select("code", "trade_date", "path"), ["code", "trade_date"])
 
 
+def outcomes(signals: DataFrame) -> DataFrame:
+    """Signals with a bar to fill and one to leave: fill (the next open), out_day, out (price before costs); the path is dropped.
+
+    Exits are an open at or under the stop or at or over the target, a close likewise, or the last day's open.
+    """
+    n = F.size("path")
+    hit = lambda x: (x <= F.col("stop")) | (x >= F.col("target"))
+    leave = lambda b, i: F.struct(b["trade_date"].alias("day"), F.when(hit(b["open"]) | (i == n - 2), b["open"]).when(hit(b["close"]), b["close"]).alias("price"))
+    first = F.get(F.filter(F.transform(F.slice("path", 2, n - 1), leave), lambda x: x["price"].isNotNull()), F.lit(0))
+    # a slice has no negative length, so shorter paths go first
+    return signals.where(n >= 2).withColumn("_out", first).select("grid", "code", "trade_date", "score", F.get("path", F.lit(0))["open"].alias("fill"), F.col("_out.day").alias("out_day"), F.col("_out.price").alias("out"))
+
+
 def backtest(signals: DataFrame, cash: float = 1_000_000.0, slots: int = 10, slippage: float = 0.001, commission: float = 0.0003, duty: float = 0.001, lot: int = 100) -> DataFrame:
     """grid, trades, wins, final_equity: the sequential ledger of every grid point.
 
-    signals: grid, code, trade_date, score, stop, target, hold, path. Cash and slots couple all stocks, so a grid point is one
-    group; signals are already cut to each day's best, which bounds it by the number of days. Grid points run in parallel.
-    A buy fills at the next open (one day at least is held): exits are an open at or under the stop or at or over the target,
-    a close likewise, or the last day's open. Profit leaves out costs, equity includes them.
+    signals: grid, code, trade_date, score, stop, target, hold, path. Cash and slots couple all stocks, so a grid point is walked by
+    one task; it is handed every signal, best first within a day, as a stream of sorted narrow rows, and keeps the open positions only.
+    Grid points run in parallel. A buy fills at the next open (one day at least is held). Profit leaves out costs, equity includes them.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["trade_date", "score", "code"], ascending=[True, False, True])
-        money, wins, trades = cash, 0, 0
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grid, money, wins, trades = None, cash, 0, 0
         held: list[tuple] = []  # exit day, amount that comes back
-        for s in pdf.itertuples(index=False):
-            path = list(s.path)
-            if len(path) < 2:
-                continue
-            money += sum(x[1] for x in held if x[0] <= s.trade_date)
-            held = [x for x in held if x[0] > s.trade_date]
-            if len(held) >= slots:
-                continue
-            price = path[0]["open"] * (1 + slippage)
-            shares = int(min(cash / slots, money) / (price * (1 + commission)) // lot * lot) if price > 0 else 0
-            if shares <= 0:
-                continue
-            out, day = path[-1]["open"], path[-1]["trade_date"]
-            for k, b in enumerate(path[1:], start=1):
-                if b["open"] <= s.stop or b["open"] >= s.target or k == len(path) - 1:
-                    out, day = b["open"], b["trade_date"]
-                    break
-                if b["close"] <= s.stop or b["close"] >= s.target:
-                    out, day = b["close"], b["trade_date"]
-                    break
-            money -= shares * price * (1 + commission)
-            held.append((day, shares * out * (1 - slippage) * (1 - commission - duty)))
-            trades, wins = trades + 1, wins + (out > price)
-        return pd.DataFrame({"grid": [pdf["grid"].iloc[0]], "trades": [trades], "wins": [wins], "final_equity": [money + sum(x[1] for x in held)]})
-
-    return signals.groupBy("grid").applyInPandas(run, "grid string, trades long, wins long, final_equity double")
+
+        def closed() -> pd.DataFrame:
+            return pd.DataFrame({"grid": [grid], "trades": [trades], "wins": [wins], "final_equity": [money + sum(x[1] for x in held)]})
+
+        for pdf in batches:
+            for s in pdf.itertuples(index=False):
+                if s.grid != grid:
+                    if grid is not None:
+                        yield closed()
+                    grid, money, wins, trades, held = s.grid, cash, 0, 0, []
+                back = [x for x in held if x[0] <= s.trade_date]
+                if back:
+                    money += sum(x[1] for x in back)
+                    held = [x for x in held if x[0] > s.trade_date]
+                if len(held) >= slots:
+                    continue
+                price = s.fill * (1 + slippage)
+                shares = int(min(cash / slots, money) / (price * (1 + commission)) // lot * lot) if price > 0 else 0
+                if shares <= 0:
+                    continue
+                money -= shares * price * (1 + commission)
+                held.append((s.out_day, shares * s.out * (1 - slippage) * (1 - commission - duty)))
+                trades, wins = trades + 1, wins + int(s.out > price)
+        if grid is not None:
+            yield closed()
+
+    placed = outcomes(signals).repartition("grid").sortWithinPartitions("grid", "trade_date", F.desc("score"), "code")
+    return placed.select("grid", "trade_date", "fill", "out_day", "out").mapInPandas(run, "grid string, trades long, wins long, final_equity double")

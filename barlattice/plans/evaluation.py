@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlattice.functions.scalars import BINS
@@ -10,6 +10,7 @@ from barlattice.operators import evaluation as e
 from barlattice.operators import news
 from barlattice.operators import windows as w
 from barlattice.plans.common import Catalogue, r, with_ctes
+from barlattice.plans.market import temperature
 from barlattice.sources import adapters as a
 
 CATALOGUE = Catalogue()
@@ -179,15 +180,18 @@ def theme_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news.theme_evidence(lexed(spark, sf_dir), THEMES).withColumn("score", r("score", 4))
 
 
+#: The sweep's grid: least market temperature, least strength, days held.
+GRID = [(t, s, h) for t in (30, 40, 50) for s in (90, 95, 98) for h in (10, 20, 30)]
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three strongest stocks of each day, for a grid of strength and holding days."""
+    """Every signal of every grid point: stocks at or over its strength on days at or over its temperature (a missing one counts 50)."""
     f = w.rps(w.features(a.bars(spark, sf_dir))).where("rps >= 90 AND atr14 IS NOT NULL")
-    best = f.withColumn("place", F.row_number().over(Window.partitionBy("trade_date").orderBy(F.desc("rps"), "code"))).where("place <= 3")
-    picked = best.select("code", "trade_date", F.col("rps").alias("score"), (F.col("close") * 0.9).alias("stop"), (F.col("close") * 1.3).alias("target"))
-    paths = e.trade_paths(picked, a.bars(spark, sf_dir), 30)
-    grid = F.array(*[F.struct(F.lit(f"rps{s}_hold{h}").alias("grid"), F.lit(float(s)).alias("least"), F.lit(h).alias("hold")) for s in (90, 95, 98) for h in (10, 20, 30)])
-    wide = paths.withColumn("g", F.explode(grid)).select("*", "g.*").where("score >= least")
-    return wide.select("grid", "code", "trade_date", "score", "stop", "target", F.slice("path", 1, F.col("hold") + 1).alias("path"))
+    picked = f.select("code", "trade_date", F.col("rps").alias("score"), (F.col("close") * 0.9).alias("stop"), (F.col("close") * 1.3).alias("target"))
+    paths = e.trade_paths(picked, a.bars(spark, sf_dir), 30).join(temperature(spark, sf_dir).select("trade_date", "temperature"), "trade_date", "left")
+    grid = F.array(*[F.struct(F.lit(f"temp{t}_rps{s}_hold{h}").alias("grid"), F.lit(float(t)).alias("warm"), F.lit(float(s)).alias("least"), F.lit(h).alias("hold")) for t, s, h in GRID])
+    wide = paths.withColumn("g", F.explode(F.filter(grid, lambda g: (F.col("score") >= g["least"]) & (F.coalesce("temperature", F.lit(50.0)) >= g["warm"])))).select("*", "g.*")
+    return wide.select("grid", "code", "trade_date", "score", "stop", "target", "hold", F.slice("path", 1, F.col("hold") + 1).alias("path"))
 
 
 @add("backtest_sweep")

@@ -174,3 +174,45 @@ def combined(components: dict[str, tuple[Column, float]]) -> Column:
     """Weighted mean of scores; weights are normalised, a missing score counts 50."""
     total = sum(w for _, w in components.values())
     return sum((F.coalesce(c, F.lit(50.0)) * (w / total) for c, w in components.values()), F.lit(0.0))
+
+
+#: The weights of the parts of the market's structure. Three more parts are known, of weight 0: broke rate, first against high boards, strong pool.
+STRUCTURE = {"limit_up": 0.13, "height": 0.10, "limit_down": 0.09, "breadth": 0.08, "strong": 0.09, "ma_bull": 0.09, "above_ma20": 0.09, "volatility": 0.08, "rotation": 0.08, "seal": 0.09, "ladder": 0.08}
+
+
+def ladder_health(l: DataFrame, step: float = 25.0) -> DataFrame:
+    """Per day: 100 less step times the ratio of each level to a smaller one below it; 50 with fewer than two levels."""
+    up = l.withColumn("above", F.lead("n").over(Window.partitionBy("trade_date").orderBy("streak")))
+    lost = F.coalesce(F.sum(F.when(F.col("above") > F.col("n"), F.col("above") / F.col("n"))), F.lit(0.0))
+    return up.groupBy("trade_date").agg(F.when(F.count(F.lit(1)) < 2, 50.0).otherwise(clamp(100 - step * lost)).alias("ladder_health"))
+
+
+def structure_days(p: DataFrame, ma: DataFrame, rotation: DataFrame) -> DataFrame:
+    """What structure() reads, per day. p: pool's result, ma: ma_breadth's, rotation: rotation_speed's."""
+    pct = F.col("pct_change")
+    spread = p.where(pct.isNotNull()).groupBy("trade_date").agg((F.count_if(pct > 5) / F.count(F.lit(1))).alias("strong_share"), F.stddev_samp(pct).alias("sd"))
+    guess = approximate_pools(p).select("trade_date", "ups", "downs", "streak_guess", F.col("seal_rate").alias("seal_guess"))
+    out = daily_pool(p)
+    for x in (spread, guess, ladder_health(ladder(p)), ma.select("trade_date", "bull_share", "above_share"), rotation.select("trade_date", "j1")):
+        out = out.join(x, "trade_date", "left")
+    return out
+
+
+def structure(d: DataFrame, scale: float = 1.0) -> DataFrame:
+    """d with p_<part> of every weighted part, approximate, and structure: their weighted mean, a missing part counting 50.
+
+    On a day whose pools are all empty, limits, height and seal rate are guessed from the distribution of changes and the ladder counts 50.
+    Leaders without a day before them count as half persistent. scale: as in temperature().
+    """
+    whole = (F.col("limit_up") + F.col("broke") + F.col("limit_down")) > 0
+    pick = lambda a, b: F.when(whole, a).otherwise(b)
+    sealed = F.coalesce(ratio(F.col("limit_up"), F.col("limit_up") + F.col("broke")), F.lit(0.0))
+    parts = {
+        "limit_up": anchor_score(pick(F.col("limit_up"), F.col("ups")) * scale, 15, 40, 80, 120), "height": anchor_score(pick(F.coalesce("max_streak", F.lit(0)), F.col("streak_guess")).cast("double"), 2, 4, 6, 8),
+        "limit_down": clamp(100 - pick(F.col("limit_down"), F.col("downs")) * scale / 60 * 100), "breadth": ratio(F.col("advance"), F.col("advance") + F.col("decline")) * 100,
+        "strong": anchor_score(F.col("strong_share") * 100, 2, 5, 15, 25), "ma_bull": anchor_score(F.col("bull_share") * 100, 10, 30, 60, 80), "above_ma20": anchor_score(F.col("above_share") * 100, 15, 35, 65, 85),
+        "volatility": F.bround(clamp(100 - (F.col("sd") - 3) / 3 * 100), 1), "rotation": anchor_score(F.coalesce("j1", F.lit(0.5)) * 100, 20, 40, 65, 85),
+        "seal": clamp(pick(sealed, F.col("seal_guess")) * 100), "ladder": F.bround(pick(F.col("ladder_health"), F.lit(50.0)), 1),
+    }
+    out = d.withColumns({"approximate": ~whole, **{f"p_{k}": c for k, c in parts.items()}})
+    return out.withColumn("structure", combined({k: (F.col(f"p_{k}"), w) for k, w in STRUCTURE.items()}))

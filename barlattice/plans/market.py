@@ -170,3 +170,19 @@ def market_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = with_feedback(spark, sf_dir)
     parts = {"limit_up": (F.col("s_limit_up"), 3), "streak": (F.col("s_streak"), 2), "broke": (F.col("s_broke"), 2), "down": (F.col("s_limit_down"), 1), "breadth": (F.col("s_breadth"), 1), "feedback": (clamp(50 + F.col("feedback") / 10), 1)}
     return d.select("trade_date", r(m.combined(parts), 4, "structure"))
+
+
+WHOLE = DAYPOOL + ", " + BOARDDAY + f""", mb AS (SELECT trade_date, avg(CASE WHEN ma5 > ma10 AND ma10 > ma20 THEN 1.0 ELSE 0.0 END) * 100 AS bull, avg(CASE WHEN close > ma20 THEN 1.0 ELSE 0.0 END) * 100 AS above FROM feat WHERE rn >= 21 GROUP BY 1),
+  sp AS (SELECT trade_date, count(*) AS total, count(*) FILTER (pct_change >= 9.8) AS ups, count(*) FILTER (pct_change <= -9.8) AS downs, count(*) FILTER (pct_change > 5) / count(*) * 100 AS strong, stddev_samp(pct_change) AS sd FROM ch WHERE pct_change IS NOT NULL GROUP BY 1),
+  lh AS (SELECT trade_date, CASE WHEN count(*) < 2 THEN 50.0 ELSE greatest(0, 100 - 25.0 * coalesce(sum(above / n) FILTER (above > n), 0)) END AS health FROM (SELECT *, lead(n) OVER (PARTITION BY trade_date ORDER BY streak) AS above FROM (SELECT trade_date, streak, count(*) AS n FROM pool WHERE is_up GROUP BY 1, 2)) GROUP BY 1),
+  al AS (SELECT *, limit_up + broke + limit_down = 0 AS guessed, CASE WHEN before IS NOT NULL THEN {jaccard_sql('now', 'before')} ELSE 0.5 END * 100 AS overlap FROM dp JOIN sp USING (trade_date) LEFT JOIN lh USING (trade_date) LEFT JOIN mb USING (trade_date) LEFT JOIN ld USING (trade_date)),
+  cm AS (SELECT *, (CASE WHEN guessed THEN ups ELSE limit_up END) * {SCALE} AS n_up, (CASE WHEN guessed THEN downs ELSE limit_down END) * {SCALE} AS n_down, CASE WHEN guessed THEN least(5, greatest(1, ups // 20 + 1)) ELSE coalesce(max_streak, 0) END AS height,
+    CASE WHEN guessed THEN least(0.95, 15 * ups / total) WHEN limit_up + broke > 0 THEN limit_up / (limit_up + broke) ELSE 0.0 END * 100 AS seal, round_even(least(greatest(100 - (sd - 3) / 3 * 100, 0), 100), 1) AS calm, round_even(CASE WHEN guessed THEN 50.0 ELSE health END, 1) AS rungs FROM al)"""
+
+
+@add("market_structure_full", with_ctes("ch", "stocks", "feat", more=WHOLE) + f"SELECT trade_date, guessed AS approximate, round(0.13 * {anchor_sql('n_up', 15, 40, 80, 120)} + 0.10 * {anchor_sql('height', 2, 4, 6, 8)} + 0.09 * least(greatest(100 - n_down / 60 * 100, 0), 100) + 0.08 * coalesce(advance / nullif(advance + decline, 0) * 100, 50) + 0.09 * {anchor_sql('strong', 2, 5, 15, 25)} + 0.09 * coalesce({anchor_sql('bull', 10, 30, 60, 80)}, 50) + 0.09 * coalesce({anchor_sql('above', 15, 35, 65, 85)}, 50) + 0.08 * CASE WHEN sd IS NULL THEN 50 ELSE calm END + 0.08 * {anchor_sql('overlap', 20, 40, 65, 85)} + 0.09 * seal + 0.08 * coalesce(rungs, 50), 4) AS structure FROM cm")
+def market_structure_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pool(spark, sf_dir)
+    boards = p.where("pct_change IS NOT NULL").join(a.stocks(spark, sf_dir).select("code", "board"), "code").groupBy("trade_date", "board").agg(F.avg("pct_change").alias("pct"))
+    d = m.structure_days(p, m.ma_breadth(w.features(a.bars(spark, sf_dir))), m.rotation_speed(m.leaders(boards)))
+    return m.structure(d, SCALE).select("trade_date", "approximate", r("structure", 4))

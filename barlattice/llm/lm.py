@@ -1,8 +1,8 @@
 """Language-model scoring by deleted interpolation: bigram, unigram and uniform estimates, mixed by context frequency.
 
 Tokens: words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, then one end per text, a token too. Texts whose
-crc32(doc_id as text) mod 5 is 1 are held out; all others train. Of those, the texts with remainder 4 are deleted
-in turn: maximum-likelihood estimates from the rest predict them, and expectation-maximisation over their tokens
+crc32(doc_id as text) mod 5 is 1 are held out; all others train. Of those, the texts with remainder 4 are deleted,
+once: maximum-likelihood estimates from the rest predict them, and expectation-maximisation over their tokens
 learns, for each bucket of context frequency (powers of two), the weights of the three estimates. The final model
 mixes, by those weights, the estimates from all training texts:
 
@@ -10,7 +10,7 @@ mixes, by those weights, the estimates from all training texts:
 
 Counts cover the whole corpus: blocks of documents send their distinct words and word pairs with counts and get the
 totals back (`blocks.exchange`), so what moves grows with the corpus and no task holds more than its share. For the
-weights, only a histogram of quantised estimate ratios reaches the driver; its size does not grow with the corpus.
+weights, only a histogram of quantised estimate ratios reaches the driver; its sides grow with the logarithm of counts, so no ratio is clipped.
 
 Defined results: null text is the empty text, whose only token is its end; a null doc_id counts as the empty string;
 repeated rows are scored and counted each. Without any training text counts are 0 and the uniform estimate remains.
@@ -19,6 +19,7 @@ An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -39,7 +40,7 @@ END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 PAIR = np.uint64(0xD6E8FEB86659FD93)
 #: Context-frequency buckets: none, then powers of two.
 BUCKETS = 24
-#: Steps per factor of two in the histogram of estimate ratios, and its bounds.
+#: Steps per factor of two in the histogram of estimate ratios, and its least number of places.
 STEPS, SPAN = 8, 320
 
 
@@ -141,18 +142,26 @@ def estimates(counts: tuple, total: int, types: int) -> tuple[np.ndarray, np.nda
     return np.divide(pair, context, out=np.zeros(len(pair)), where=context > 0), word / max(1, total), 1 / (types + 1)
 
 
+def span_of(total: int, types: int) -> int:
+    """Places that hold every ratio: of pair / context it lies within (types + 1) / total and types + 1, and of word / total likewise."""
+    largest = max(types + 1, total / (types + 1), 1)
+    return max(SPAN, 2 * (STEPS * math.ceil(math.log2(largest)) + 2))
+
+
 CELLS = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
 
 
-def quantised(ratio: np.ndarray) -> np.ndarray:
+def quantised(ratio: np.ndarray, span: int = SPAN) -> np.ndarray:
     """0 for a ratio of 0, else its logarithm in steps, from 1."""
     out = np.zeros(len(ratio), dtype=np.int64)
     some = ratio > 0
-    out[some] = np.clip(np.rint(STEPS * np.log2(ratio[some])) + SPAN // 2, 0, SPAN - 2).astype(np.int64) + 1
+    out[some] = np.clip(np.rint(STEPS * np.log2(ratio[some])) + span // 2, 0, span - 2).astype(np.int64) + 1
     return out
 
 
 def cells_of(total: int, types: int):
+    span = span_of(total, types)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = tc.Powers()
         for batch in batches:
@@ -161,18 +170,18 @@ def cells_of(total: int, types: int):
                 mine = np.repeat(c.fold == DELETED, np.diff(c.at))
                 counts = tuple(x[mine] for x in c.main)
                 two, one, zero = estimates(counts, total, types)
-                cell = (bucket_of(counts[1]) * SPAN + quantised(two / zero)) * SPAN + quantised(one / zero)
+                cell = (bucket_of(counts[1]) * span + quantised(two / zero, span)) * span + quantised(one / zero, span)
                 key, n = np.unique(cell, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], schema=CELLS)
 
     return run
 
 
-def fit_weights(cells: np.ndarray, counts: np.ndarray, rounds: int = 100) -> np.ndarray:
+def fit_weights(cells: np.ndarray, counts: np.ndarray, rounds: int = 100, span: int = SPAN) -> np.ndarray:
     """EM by bucket: weights of bigram, unigram and uniform estimates. Buckets without data take those of the next lower one that has."""
-    b, rest = cells // SPAN**2, cells % SPAN**2
-    ratio = lambda q: np.where(q > 0, 2.0 ** ((q - 1 - SPAN // 2) / STEPS), 0.0)
-    parts = np.stack([ratio(rest // SPAN), ratio(rest % SPAN), np.ones(len(cells))], axis=1)
+    b, rest = cells // span**2, cells % span**2
+    ratio = lambda q: np.where(q > 0, 2.0 ** ((q - 1 - span // 2) / STEPS), 0.0)
+    parts = np.stack([ratio(rest // span), ratio(rest % span), np.ones(len(cells))], axis=1)
     out = np.zeros((BUCKETS, 3))
     known = np.array([0.0, 0.9, 0.1])
     for k in range(BUCKETS):
@@ -219,5 +228,5 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     types, main, total = int(types or 0), int(main or 0), int((main or 0) + (deleted or 0))
     told = bl.attach(table, words, both)
     cells = told.mapInArrow(cells_of(main, types), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    weights = fit_weights(np.array([r["cell"] for r in cells], dtype=np.int64), np.array([r["n"] for r in cells], dtype=np.int64))
+    weights = fit_weights(np.array([r["cell"] for r in cells], dtype=np.int64), np.array([r["n"] for r in cells], dtype=np.int64), span=span_of(main, types))
     return told.mapInArrow(scorer(weights, total, types), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -2,8 +2,10 @@
 
 Layouts: the nested field paths of a record (lists as [], sorted) are hashed to a schema fingerprint; the
 fingerprint selects a declarative mapping (`LAYOUTS`) from the record's fields to turns (`Registry.turns`).
-Optional fields are part of a layout: each combination has its own fingerprint. A record whose fingerprint no
-mapping has gets no turns and keeps its fingerprint, so that a mapping can be added.
+Optional fields are part of a layout: each combination has its own fingerprint. Other fields are metadata: where the
+whole record's fingerprint has no mapping, the mapping with the most of its fields there is taken, the
+earlier one of two with as many. Fields missing in single elements of a
+list, and elements that are no objects, count as empty. A record that no mapping fits gets no turns; it keeps its fingerprint, so that a mapping can be added.
 
 Template: a turn is <|role|> newline text <|end|> newline. Inside roles and texts a backslash becomes two and a
 bar becomes backslash and slash, so no bar is left there and no text can open or close a turn; reading back undoes
@@ -45,6 +47,8 @@ LAYOUTS = (
 #: Other names of the three roles.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 ASSISTANT = "assistant"
+#: Fingerprints whose mapping is remembered at once.
+KNOWN = 4096
 HEAD, TAIL, END = "<|", "|>\n", "<|end|>\n"
 
 
@@ -66,20 +70,40 @@ class Registry:
 
     def __init__(self, layouts: Iterable[dict] = LAYOUTS) -> None:
         self.by_print: dict[str, dict] = {}
+        #: The fields of each variant and its fingerprint, most fields first, for records with metadata.
+        self.variants: list[tuple[set[str], str]] = []
         for layout in layouts:
             options = [[]]
             for name in layout.get("optional", []):
                 options += [[*o, name] for o in options]
             for o in options:
-                self.by_print[fingerprint([*layout["fields"], *o])] = layout
+                self.put([*layout["fields"], *o], layout)
             for step in layout["steps"]:
                 if step[0] == "each":
-                    self.by_print[fingerprint([f"{step[1]}[]", *[f for f in layout["fields"] if not f.startswith(f"{step[1]}[]")]])] = layout
+                    self.put([f"{step[1]}[]", *[f for f in layout["fields"] if not f.startswith(f"{step[1]}[]")]], layout)
+        self.variants.sort(key=lambda v: -len(v[0]))
+        self.known: dict[str, str | None] = {}
+
+    def put(self, fields: list[str], layout: dict) -> None:
+        self.by_print[fingerprint(fields)] = layout
+        self.variants.append((set(fields), fingerprint(fields)))
+
+    def fitting(self, mark: str, of: set[str]) -> str | None:
+        """The fingerprint of the mapping for a record with these paths; undeclared ones are ignored."""
+        if mark in self.by_print:
+            return mark
+        if mark not in self.known:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            self.known[mark] = next((m for fields, m in self.variants if fields <= of), None)
+        return self.known[mark]
 
     def turns(self, record: dict) -> tuple[str, list[tuple[str, str]] | None]:
         """The record's fingerprint, and its turns; None if no mapping has the fingerprint."""
-        mark = fingerprint(paths(record))
-        return mark, self.mapped(mark, record)
+        of = paths(record)
+        mark = fingerprint(of)
+        fit = self.fitting(mark, of)
+        return mark, None if fit is None else self.mapped(fit, record)
 
     def mapped(self, mark: str, record: dict) -> list[tuple[str, str]] | None:
         layout = self.by_print.get(mark)
@@ -89,9 +113,12 @@ class Registry:
         word = lambda x: "" if x is None else str(x)
         for step in layout["steps"]:
             if step[0] == "self":
-                out.append((word(record[step[1]]), word(record[step[2]])))
+                out.append((word(record.get(step[1])), word(record.get(step[2]))))
             elif step[0] == "each":
-                out += [(ROLES.get(word(x[step[2]]), word(x[step[2]])), word(x[step[3]])) for x in record[step[1]]]
+                items = record.get(step[1])
+                for x in items if isinstance(items, list) else []:
+                    role, text = (word(x.get(f)) if isinstance(x, dict) else "" for f in step[2:4])
+                    out.append((ROLES.get(role, role), text))
             else:
                 there = [word(record[f]) for f in step[2] if word(record.get(f))]
                 if there or step[1] != "system":
@@ -169,14 +196,13 @@ def format_rows(registry: Registry):
     """Sorted rows of turns, each a record of the layout role, text, to formatted pieces in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = fingerprint(["role", "text"])
         open_conv, number = object(), 0
         for batch in batches:
             numbers, pieces = [], []
             for conv, role, text in zip(batch.column("conv_id").to_pylist(), batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 number = number + 1 if conv == open_conv else 0
                 open_conv = conv
-                pieces.append("".join(format_turn(r, t) for r, t in registry.mapped(mark, {"role": role, "text": text})))
+                pieces.append("".join(format_turn(r, t) for r, t in registry.turns({"role": role, "text": text})[1]))
                 numbers.append(number)
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(numbers, type=pa.int64()), pa.array(pieces, type=pa.string())], schema=FORMATTED)
 

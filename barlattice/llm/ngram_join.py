@@ -1,11 +1,11 @@
-"""Jaccard self-join on word 5-grams: MinHash LSH forest, then exact verification.
+"""Jaccard self-join on word 5-grams: MinHash LSH banding, then exact verification.
 
 1. One pass over the texts gives each a signature of trees x depth minhashes over its set of word n-grams, and a
    128-bit digest of its word sequence. Equal sequences are one class with a number of copies; classes go on.
-2. Forest: each tree's label is `depth` minhashes. Prefixes of the labels are tries; the matched prefix is shortened
-   from the full depth until a pair at the threshold shares a prefix in at least one tree with the target recall
-   (`matched_depth`). Trie nodes with two or more classes give candidates.
-3. Inside a node, full signatures estimate the similarity; pairs under `estimate` (5 standard errors below the
+2. Banding: each tree's label is `depth` minhashes, of which a fixed prefix is hashed. Its length is the largest at
+   which a pair at the threshold shares a prefix in at least one tree with the target recall (`matched_depth`, a
+   formula of constants, 4 of 5); no trie is walked. Groups of two or more classes give candidates.
+3. Inside a group, full signatures estimate the similarity; pairs under `estimate` (5 standard errors below the
    threshold and more) go, and what stays is handed on as stars (class, smallest class), never as all pairs. The stars' connected
    components are candidate clusters.
 4. Exact verification: the n-gram sets of a cluster's texts meet in one task, or, for a large cluster, block by

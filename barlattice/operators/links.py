@@ -57,8 +57,8 @@ def last_board(members: DataFrame) -> DataFrame:
     return members.groupBy("code").agg(F.max_by("board", F.struct("place", "board")).alias("board"))
 
 
-def fuzzy_boards(stocks: DataFrame, boards: DataFrame) -> DataFrame:
-    """code, matched: the exact board, else the first (by name) that holds the stock's board's name or is held by it.
+def fuzzy_boards(stocks: DataFrame, boards: DataFrame, unmatched: bool = False) -> DataFrame:
+    """code, matched: the exact board, else the first (by name) that holds the stock's board's name or is held by it; with unmatched, stocks without any have null.
 
     boards is a list of some hundreds of names at any scale, so the nested-loop join broadcasts it; equal names are matched by key first.
     """
@@ -66,7 +66,7 @@ def fuzzy_boards(stocks: DataFrame, boards: DataFrame) -> DataFrame:
     distinct = stocks.select("board").distinct()
     met = distinct.join(F.broadcast(b), F.contains("board", "matched") | F.contains("matched", "board"))
     best = met.groupBy("board").agg(F.min(F.struct((F.col("board") != F.col("matched")).alias("far"), "matched")).alias("x")).select("board", "x.matched")
-    return stocks.join(best, "board").select("code", "board", "matched")
+    return stocks.join(best, "board", "left" if unmatched else "inner").select("code", "board", "matched")
 
 
 def news_links(news: DataFrame, names: DataFrame) -> DataFrame:

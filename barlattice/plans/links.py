@@ -30,6 +30,14 @@ def fuzzy_board_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.fuzzy_boards(s, s.where(F.regexp_extract("board", r"(\d+)", 1).try_cast("int") < 5))
 
 
+@add("fuzzy_board_match_full", with_ctes("stocks") + "SELECT code, label AS board, matched FROM (SELECT l.code, l.label, b.board AS matched, row_number() OVER (PARTITION BY l.code ORDER BY l.label <> b.board, b.board) AS n FROM (SELECT code, CASE CAST(code AS INTEGER) % 3 WHEN 0 THEN board WHEN 1 THEN region || ' ' || board ELSE region END AS label FROM stocks) l LEFT JOIN (SELECT DISTINCT board FROM stocks) b ON contains(l.label, b.board) OR contains(b.board, l.label)) WHERE n = 1")
+def fuzzy_board_match_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All boards, for stocks whose own label is a board's name, one with the region before it, or the region alone."""
+    s, kind = a.stocks(spark, sf_dir), F.col("code").cast("int") % 3
+    label = F.when(kind == 0, F.col("board")).when(kind == 1, F.concat_ws(" ", "region", "board")).otherwise(F.col("region"))
+    return links.fuzzy_boards(s.select("code", label.alias("board")), s, unmatched=True)
+
+
 @add("news_candidate_links", "SELECT DISTINCT doc_id, word AS code FROM documents, (VALUES ('idiot', 'pathetic'), ('password', 'License')) c(word, name) WHERE contains(text, word) OR contains(text, name)")
 def news_candidate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = spark.createDataFrame([("idiot", "pathetic"), ("password", "License")], "code string, name string")

@@ -1,112 +1,135 @@
 """Suffix dedup over prefix-free parsing: removes every byte that a string of `length` bytes covers which also starts elsewhere.
 
-Parse. A trigger is a place whose next eight bytes hash below a bound; phrases run from trigger to trigger, so equal
-strings are cut alike wherever they stand (about `phrase` bytes each). The dictionary is the set of distinct phrases,
-the parse each text's sequence of them.
-
-1. Dictionary: which phrases occur twice or more in the corpus. A window of `length` bytes that occurs twice has the
-   same triggers inside both times, so all whole phrases inside it are repeated ones; other windows are settled.
-2. Parse: windows with the same first and last trigger form a slot; all of a slot's windows lie in one string of the
-   text. If that string is repeated, so are all its windows: the usual case inside copies, at a cost of one key for
-   some tens of windows.
-3. Windows: what is left are the windows of slots that are not repeated as a whole, at the edges of repeated passages.
-   They are compared one by one, with the windows of one representative of each repeated string.
-
-Where suffix arrays of dictionary and parse would put equal suffixes next to each other in lexicographic order, each of
-the three rounds puts equal strings next to each other in the order of 64-bit hashes (`blocks.exchange`): each bucket
-sorts its share of the keys and looks at neighbours. Only whether a string has an equal one counts here, and hash order can be
-cut into even shares without a sort of the corpus in one place. The README says so too.
-
-All steps cover all bytes; nothing is sampled. Matches never cross texts. Defined results: null text is the empty
-text; texts shorter than `length` keep all bytes; repeated rows are texts like any others, so equal texts of at least
-`length` bytes lose everything. Removed bytes may cut a character; the hash is of the bytes. An empty table gives an
-empty result. Other columns are ignored.
+1. Parse. A trigger is a place whose next eight bytes hash below a bound; phrases run from trigger to trigger (about
+   `phrase` bytes each), so equal strings are cut alike wherever they stand. One exchange of phrase hashes tells each
+   block how often its phrases occur in the corpus. A string that occurs twice has the same phrases inside both times,
+   so starts whose next `short` bytes hold a phrase that occurs once are settled. (A hash that two phrases share only
+   leaves more starts open: no result depends on hashes here.)
+2. Shares. An open start belongs to its anchor: the rarest of the whole phrases in its next `short` bytes. The anchor
+   depends on these bytes alone, so equal strings share it. Runs of starts with one anchor are sent, as one string of
+   the text that reaches `length` bytes beyond the last of them, to the task of their anchor; equal ones once a block.
+3. Corpus order. A task parses the strings of its anchors again and combines the suffix arrays of their dictionary
+   and their parse into the order of their suffixes (`corpus_order`); neighbours, compared byte by byte, give the
+   longest prefix that each start has in common with another one. Strings that come twice have all of theirs.
+   Blocks get these lengths back, and mark what the repeated strings cover.
+4. Anchors in more than `hot` places (and starts whose next bytes hold no whole phrase) would gather in one task:
+   their starts are compared by 128-bit BLAKE2 digests of the strings themselves, as rows that Spark groups and joins.
+
+All steps cover all bytes; nothing is sampled. Matches never cross texts. Besides the removed bytes, `n_repeated` counts
+those under shorter passages that stay: any string of `words` words and the space after them (clipped to `short` to
+`length` bytes; the first word may be cut) that also starts elsewhere. Defined results: null text is the empty text; texts shorter than `length` keep all bytes; repeated
+rows are texts like any others, so equal texts of at least `length` bytes lose everything. Removed bytes may cut a
+character; the digest is of the bytes. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from barlattice.llm import blocks as bl
+from barlattice.llm import corpus_order as co
 from barlattice.llm import textcore as tc
-from barlattice.llm.common import by_value
+from barlattice.llm.common import by_value, materialise
+from barlattice.llm.grouped import by_runs
 
 by_value(__name__)
 
 LENGTH = 400
-PHRASE = 48
-GRAM = 8
-WHOLE, WINDOW = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
+SHORT = 200
+WORDS = 50
+PHRASE = 24
+GRAM = co.GRAM
+#: An anchor phrase in more places than this is hot.
+HOT = 1 << 13
 #: Parts of a block that are worked on at once, bytes.
 PART = 1 << 20
-
-
-def triggers(data: np.ndarray, offsets: np.ndarray, phrase: int) -> np.ndarray:
-    """Places whose next eight bytes, all in one text, hash below the bound."""
-    if len(data) < GRAM:
-        return np.zeros(0, dtype=np.int64)
-    raw = data.tobytes()
-    gram = np.ndarray((len(raw) - GRAM + 1,), dtype="<u8", buffer=raw, strides=(1,))
-    x = gram * np.uint64(0xE7037ED1A0B428DB)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0x8EBC6AF09C88C6E3)
-    at = np.flatnonzero(x < np.uint64((1 << 64) // phrase))
-    end = offsets[np.searchsorted(offsets, at, side="right")]
-    return at[at + GRAM <= end]
+#: Bytes of strings that one task puts in order, about.
+SHARE_BYTES = 8 << 20
 
 
 class Parsed:
-    """Phrases and slots of some texts."""
+    """Phrases of some texts, and the starts that may repeat."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, phrase: int, powers: tc.Powers) -> None:
-        self.data, self.offsets, self.length = data, offsets, length
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, phrase: int, powers: tc.Powers) -> None:
+        self.data, self.offsets = data, offsets
         self.roll = tc.Rolling(data, powers)
-        self.at = triggers(data, offsets, phrase)
+        self.at = co.triggers(data, offsets, phrase)
         self.of = np.searchsorted(offsets, self.at, side="right") - 1
         # phrase k runs from trigger k to trigger k + 1, where both are in one text
         self.whole = np.flatnonzero(self.of[1:] == self.of[:-1]) if len(self.at) else np.zeros(0, dtype=np.int64)
-
-    def phrase_keys(self) -> np.ndarray:
-        return self.roll(self.at[self.whole], self.at[self.whole + 1])
-
-    def slots(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last window start (exclusive) of the slots that may hold repeated windows. repeated: by phrase."""
-        n, g = self.length, GRAM
-        long = np.flatnonzero(np.diff(self.offsets) >= n)
-        first, past = self.offsets[long], self.offsets[long + 1] - n + 1
-        # a window's triggers change where its first is passed and where a further one comes in
-        own_past = self.offsets[self.of + 1] - n + 1
-        own_first = self.offsets[self.of]
-        cuts = np.concatenate([first, self.at + 1, self.at + g - n])
-        low = np.concatenate([first, own_first, own_first])
-        high = np.concatenate([past, own_past, own_past])
+        self.keys = self.roll(self.at[self.whole], self.at[self.whole + 1])
+
+    def slots(self, short: int, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First start, end of starts, anchor and its level of the open runs. level: by phrase, logarithm of its count, 0 for one that occurs once.
+
+        A start's triggers change where its first is passed and where a further one comes in; in between its phrases and so its anchor stay."""
+        first, past = self.offsets[:-1], self.offsets[1:] - short + 1
+        long = past > first
+        first, past = first[long], past[long]
+        own_first, own_past = self.offsets[self.of], self.offsets[self.of + 1] - short + 1
+        cuts = np.concatenate([first, self.at + 1, self.at + GRAM - short])
+        low, high = np.concatenate([first, own_first, own_first]), np.concatenate([past, own_past, own_past])
         cuts = np.unique(cuts[(cuts >= low) & (cuts < high)])
         if not len(cuts):
-            return cuts, cuts
+            return cuts, cuts, cuts.astype(np.uint64), cuts
         text = np.searchsorted(self.offsets, cuts, side="right") - 1
-        stop = np.append(cuts[1:], np.iinfo(np.int64).max)
-        stop = np.minimum(stop, self.offsets[text + 1] - n + 1)
+        stop = np.minimum(np.append(cuts[1:], np.iinfo(np.int64).max), self.offsets[text + 1] - short + 1)
         a = np.searchsorted(self.at, cuts)
-        z = np.searchsorted(self.at, cuts + n - g, side="right") - 1
-        odd = np.zeros(len(self.at) + 1, dtype=np.int64)
-        odd[self.whole + 1] = ~repeated
-        odd = np.cumsum(odd)
-        maybe = (z <= a) | (odd[np.maximum(z, a)] - odd[np.minimum(a, len(self.at))] == 0)
-        return cuts[maybe], stop[maybe]
-
-    def whole_keys(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return self.roll(start, stop - 1 + self.length) ^ WHOLE
-
-    def window_keys(self, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all windows of these slots, and where they start."""
-        size = stop - start
-        at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        return self.roll(at, at + self.length) ^ WINDOW, at
+        z = np.searchsorted(self.at, cuts + short - GRAM, side="right") - 1
+        # phrases a to z - 1 are whole; the least value among them is the rarest phrase
+        value = np.full(len(self.at) + 1, np.iinfo(np.uint64).max, dtype=np.uint64)
+        value[self.whole] = (level.astype(np.uint64) << np.uint64(56)) | (tc.mix(self.keys) >> np.uint64(8))
+        none = z <= a
+        anchor = range_min(value, np.where(none, 0, a), np.where(none, 1, z))
+        anchor[none] = np.uint64(0xFF) << np.uint64(56)
+        rare = (anchor >> np.uint64(56)).astype(np.int64)
+        open_ = rare > 0
+        cuts, stop, anchor, rare = cuts[open_], stop[open_], anchor[open_], rare[open_]
+        if not len(cuts):
+            return cuts, stop, anchor, rare
+        new = np.concatenate([[True], (cuts[1:] != stop[:-1]) | (anchor[1:] != anchor[:-1]) | (text[open_][1:] != text[open_][:-1])])
+        head = np.flatnonzero(new)
+        return cuts[head], stop[np.append(head[1:], len(cuts)) - 1], anchor[head], rare[head]
+
+    def spans(self, starts: np.ndarray, short: int, length: int, words: int) -> np.ndarray:
+        """Bytes of the string of so many words (the first may be cut) and the space after them, from each start on, clipped; length where the text has none."""
+        _, end, of = tc.words(self.data, self.offsets)
+        k = np.searchsorted(end, starts, side="right") + words - 1
+        text = np.searchsorted(self.offsets, starts, side="right") - 1
+        there = k < len(end)
+        there[there] = (of[k[there]] == text[there]) & (end[k[there]] < self.offsets[text[there] + 1])
+        out = np.full(len(starts), length, dtype=np.int64)
+        out[there] = np.clip(end[k[there]] + 1 - starts[there], short, length)
+        return out
+
+
+def range_min(value: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """The least of value[a:z], for each pair; a < z."""
+    out = np.empty(len(a), dtype=value.dtype)
+    if not len(a):
+        return out
+    width = np.floor(np.log2(z - a)).astype(np.int64)
+    table, w = value, 0
+    for level in range(int(width.max()) + 1):
+        pick = width == level
+        out[pick] = np.minimum(table[a[pick]], table[z[pick] - w if w else z[pick] - 1]) if level else table[a[pick]]
+        w = 1 << level
+        table = np.minimum(table[:-w], table[w:]) if len(table) > w else table
+        w *= 2
+    return out
+
+
+def expanded(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """All numbers of all ranges."""
+    size = stop - start
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,133 +138,241 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     order = np.argsort(flat, kind="stable")
     at, _ = tc.sorted_runs(flat[order])
     total = np.add.reduceat(np.concatenate(counts)[order], at) if len(at) else np.zeros(0, dtype=np.int64)
-    return flat[order[at]], np.minimum(total, 250).astype(np.uint32)
-
-
-def unique_counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key, n = np.unique(keys, return_counts=True)
-    return key, n.astype(np.int64)
-
-
-def flags(cells: list) -> np.ndarray:
-    parts = [bl.unpack_counts(c)[0] for c in cells]
-    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32)
-
-
-def repeat_flag(first: np.ndarray, second: np.ndarray, lead: np.ndarray) -> bytes:
-    """0 if the key occurs once, 1 if more often, 2 for that in the one block that represents it."""
-    return bl.pack_counts((first > 1) * (1 + lead))
+    return flat[order[at]], total.astype(np.uint32)
+
+
+def count_levels(first: np.ndarray, second: np.ndarray, lead: np.ndarray) -> bytes:
+    """The logarithm of each count, cut to a whole number: 0 for what occurs once."""
+    return bl.pack_counts(np.log2(np.maximum(first, 1)).astype(np.uint32))
+
+
+class Strings:
+    """A block's distinct strings of open starts: bytes, number of starts, anchor, whether they come twice, whether they are hot; and where they stand."""
+
+    def __init__(self, rounds: Rounds, row: dict) -> None:
+        parts = list(rounds.parts(row))
+        told = np.unique(np.concatenate([p.keys for p in parts])) if parts else np.zeros(0, dtype=np.uint64)
+        level = np.concatenate([bl.unpack_counts(c)[0] for c in row["replies"][0]] or [np.zeros(0, dtype=np.uint32)])
+        self.parts = parts
+        #: By part: first start, end of starts, number of the string.
+        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        seen: dict[tuple[int, bytes], int] = {}
+        anchors: list[int] = []
+        twice: list[bool] = []
+        hot: list[bool] = []
+        for p in parts:
+            start, stop, anchor, rare = p.slots(rounds.short, level[np.searchsorted(told, p.keys)])
+            end = np.minimum(stop - 1 + rounds.length, p.offsets[np.searchsorted(p.offsets, start, side="right")])
+            raw = p.data.tobytes()
+            number = np.empty(len(start), dtype=np.int64)
+            for k, (a, n, z, key, hub) in enumerate(zip(start.tolist(), (stop - start).tolist(), end.tolist(), anchor.tolist(), (rare >= rounds.hot_level).tolist(), strict=True)):
+                known = len(seen)
+                j = number[k] = seen.setdefault((n, raw[a:z]), known)
+                if j == known:
+                    anchors.append(key)
+                    twice.append(False)
+                    hot.append(hub)
+                else:
+                    twice[j] = True
+            self.runs.append((start, stop, number))
+        self.strings = list(seen)
+        self.anchors = tc.mix(np.array(anchors, dtype=np.uint64))
+        self.twice, self.hot = np.array(twice, dtype=bool), np.array(hot, dtype=bool)
+        #: Cold strings by share; hot ones.
+        self.hot_ones = np.flatnonzero(self.hot)
+        cold = np.flatnonzero(~self.hot)
+        self.cold = cold[np.argsort(self.anchors[cold], kind="stable")]
 
 
 class Rounds:
     """What a block says in each round, given the answers so far."""
 
-    def __init__(self, length: int, phrase: int) -> None:
-        self.length, self.phrase, self.powers = length, phrase, tc.Powers()
+    def __init__(self, length: int, short: int, words: int, phrase: int, hot: int) -> None:
+        self.length, self.short, self.words, self.phrase = length, short, words, phrase
+        self.hot_level = max(1, math.ceil(math.log2(hot)))
+        self.powers = tc.Powers()
 
     def parts(self, row: dict) -> Iterator[Parsed]:
         _, data, offsets = bl.docs_of(row)
         for _, _, part, off in bl.pieces_of(data, offsets, PART):
-            yield Parsed(part, off, self.length, self.phrase, self.powers)
+            yield Parsed(part, off, self.phrase, self.powers)
 
     def phrases(self, row: dict) -> tuple:
-        keys, counts = zip(*(unique_counts(p.phrase_keys()) for p in self.parts(row)), strict=True)
-        key, n = merged(list(keys), list(counts))
-        return key, n, np.zeros(len(n), dtype=np.uint32)
-
-    def known(self, row: dict) -> Iterator[tuple[Parsed, np.ndarray, np.ndarray, np.ndarray]]:
-        """Parts with the slots that may hold repeats, and their keys."""
-        told, flag = None, None
-        for p in self.parts(row):
-            if told is None:
-                told, flag = self.phrases(row)[0], flags(row["replies"][0])
-            mine = p.phrase_keys()
-            start, stop = p.slots(flag[np.searchsorted(told, mine)] > 0 if len(mine) else np.zeros(0, dtype=bool))
-            yield p, start, stop, p.whole_keys(start, stop)
-
-    def wholes(self, row: dict) -> tuple:
-        keys, counts = zip(*(unique_counts(k) for _, _, _, k in self.known(row)), strict=True)
-        key, n = merged(list(keys), list(counts))
-        return key, n, np.zeros(len(n), dtype=np.uint32)
-
-    def settled(self, row: dict) -> Iterator[tuple]:
-        """known, with whether each slot is repeated as a whole, and whether it represents its string."""
-        rows = list(self.known(row))
-        told, _ = merged([np.unique(k) for *_, k in rows], [np.zeros(len(np.unique(k)), dtype=np.int64) for *_, k in rows])
-        flag = flags(row["replies"][1])
-        seen = np.zeros(len(told), dtype=bool)
-        for p, start, stop, key in rows:
-            place = np.searchsorted(told, key)
-            f = flag[place] if len(key) else np.zeros(0, dtype=np.uint32)
-            _, once = np.unique(place, return_index=True)
-            first = np.zeros(len(key), dtype=bool)
-            first[once] = ~seen[place[once]]
-            seen[place] = True
-            yield p, start, stop, f > 0, (f == 2) & first
-
-    def sent_windows(self, row: dict) -> Iterator[tuple[Parsed, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Parts with the keys of the windows to compare, their starts, whether they are known to be repeated, and the slots settled so."""
-        for p, start, stop, repeated, represents in self.settled(row):
-            pick = ~repeated | represents
-            key, at = p.window_keys(start[pick], stop[pick])
-            yield p, key, at, np.repeat(repeated[pick], (stop - start)[pick]), np.stack([start[repeated], stop[repeated]])
-
-    def windows(self, row: dict) -> tuple:
-        keys, counts = [], []
-        for _, key, _, repeated, _ in self.sent_windows(row):
-            k, place = np.unique(key, return_inverse=True)
-            keys.append(k)
-            counts.append(np.bincount(place, weights=1.0 + repeated, minlength=len(k)).astype(np.int64))
-        key, n = merged(keys, counts)
+        found = [np.unique(p.keys, return_counts=True) for p in self.parts(row)]
+        key, n = merged([k for k, _ in found], [c for _, c in found])
         return key, n, np.zeros(len(n), dtype=np.uint32)
 
-    def cover(self, row: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Bytes, offsets and which bytes go, of each part."""
-        rows = list(self.sent_windows(row))
-        told, _ = merged([np.unique(k) for _, k, *_ in rows], [np.zeros(len(np.unique(k)), dtype=np.int64) for _, k, *_ in rows])
-        flag = flags(row["replies"][2])
-        for p, key, at, _, whole in rows:
-            mark = np.zeros(len(p.data) + 1, dtype=np.int32)
-            hit = at[flag[np.searchsorted(told, key)] > 0] if len(key) else at
-            np.add.at(mark, hit, 1)
-            np.add.at(mark, hit + self.length, -1)
-            np.add.at(mark, whole[0], 1)
-            np.add.at(mark, whole[1] - 1 + self.length, -1)
-            yield p.data, p.offsets, np.cumsum(mark[:-1]) > 0
-
-
-OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
-
-
-def remover(length: int, phrase: int, with_kept: bool):
+    def string_sender(self, bits: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in bl.rows_of(batch, 1):
+                    s = Strings(self, row)
+                    bucket = (s.anchors[s.cold] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(s.cold), dtype=np.int64)
+                    for a, n in zip(*tc.sorted_runs(bucket), strict=True):
+                        own = s.cold[a : a + n]
+                        size = np.array([len(s.strings[j][1]) for j in own], dtype=np.int64)
+                        starts = np.array([s.strings[j][0] for j in own], dtype=np.int64)
+                        cells = (b"".join(s.strings[j][1] for j in own), size.tobytes(), starts.tobytes(), s.anchors[own].tobytes(), s.twice[own].tobytes())
+                        yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], type=pa.int32()), pa.array([row["block"]], type=pa.int64()), *(pa.array([c], type=pa.binary()) for c in cells)], schema=SENT)
+
+        return run
+
+    def digest_sender(self):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in bl.rows_of(batch, 1):
+                    s = Strings(self, row)
+                    place = 0
+                    for j in s.hot_ones:
+                        n, raw = s.strings[j]
+                        span = spans_of(raw, n, self)
+                        found: list[tuple[bytes, int]] = []
+                        for i, w in enumerate(span.tolist()):
+                            if i + self.length <= len(raw):
+                                found.append((hashlib.blake2b(raw[i : i + self.length], digest_size=16).digest(), 2 * (place + i)))
+                            if w < self.length:
+                                found.append((hashlib.blake2b(raw[i : i + w], digest_size=16).digest(), 2 * (place + i) + 1))
+                        place += n
+                        for k in range(0, len(found), 1 << 16):
+                            some = found[k : k + (1 << 16)]
+                            both = np.frombuffer(b"".join(d for d, _ in some), dtype=np.int64).reshape(-1, 2)
+                            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.full(len(some), row["block"])), pa.array([x for _, x in some], type=pa.int64()), pa.array(np.full(len(some), 1 + int(s.twice[j])))], schema=DIGESTS)
+
+        return run
+
+    def orderer(self):
+        def each(t: pa.Table, a: int, b: int) -> Iterator[dict]:
+            cell = lambda name, k, kind: np.frombuffer(t.column(name)[k].as_buffer(), dtype=kind)
+            seen: dict[tuple[int, bytes], int] = {}
+            times: list[int] = []
+            anchors: list[int] = []
+            number: list[np.ndarray] = []
+            for k in range(a, b):
+                raw, end = t.column("data")[k].as_py(), np.cumsum(cell("sizes", k, np.int64)).tolist()
+                mine, at = [], 0
+                for z, n, anchor, more in zip(end, cell("starts", k, np.int64).tolist(), cell("anchors", k, np.uint64).tolist(), cell("twice", k, bool).tolist(), strict=True):
+                    known = len(seen)
+                    j = seen.setdefault((n, raw[at:z]), known)
+                    if j == known:
+                        times.append(0)
+                        anchors.append(anchor)
+                    times[j] += 1 + more
+                    mine.append(j)
+                    at = z
+                number.append(np.array(mine, dtype=np.int64))
+            code = self.repeats(list(seen), np.array(times), np.array(anchors, dtype=np.uint64))
+            for k, mine in zip(range(a, b), number, strict=True):
+                yield {"block": [t.column("block")[k].as_py()], "bucket": [t.column("bucket")[k].as_py()], "reply": [np.concatenate([code[j] for j in mine]).tobytes()]}
+
+        return by_runs(["bucket"], each, REPLY, rows=64)
+
+    def repeats(self, strings: list[tuple[int, bytes]], times: np.ndarray, anchors: np.ndarray) -> list[np.ndarray]:
+        """By string, for each of its starts: the bytes that it has in common with another start of the corpus."""
+        size = np.array([len(s) for _, s in strings], dtype=np.int64)
+        n = np.array([k for k, _ in strings], dtype=np.int64)
+        out = [np.minimum(s - np.arange(k), self.length).astype(np.uint16) if m > 1 else np.zeros(k, dtype=np.uint16) for s, k, m in zip(size, n, times, strict=True)]
+        # a string that is alone with its anchor can only repeat inside itself, which takes a repeated phrase in it
+        order = np.argsort(anchors, kind="stable")
+        at, run = tc.sorted_runs(anchors[order])
+        alone = np.zeros(len(strings), dtype=bool)
+        alone[order[at[run == 1]]] = True
+        pick = np.array([j for j, (_, raw) in enumerate(strings) if not alone[j] or (times[j] < 2 and self.repeats_inside(raw))], dtype=np.int64)
+        if len(pick):
+            data = np.frombuffer(b"".join(strings[j][1] for j in pick), dtype=np.uint8)
+            offsets = np.concatenate([[0], np.cumsum(size[pick])])
+            starts = expanded(offsets[:-1], offsets[:-1] + n[pick])
+            got = co.longest_repeats(data, offsets, starts, self.phrase, self.length).astype(np.uint16)
+            for j, part in zip(pick, np.split(got, np.cumsum(n[pick])[:-1]), strict=True):
+                if times[j] < 2:
+                    out[j] = part
+        return out
+
+    def repeats_inside(self, raw: bytes) -> bool:
+        """Whether the eight bytes at any trigger come twice; two equal strings in one have all triggers in common."""
+        data = np.frombuffer(raw, dtype=np.uint8)
+        at = co.triggers(data, np.array([0, len(data)]), self.phrase)
+        gram = co.grams_at(data)[at]
+        return len(np.unique(gram)) < len(gram)
+
+    def cover(self, row: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Bytes, offsets, which bytes go, and which are under repeated passages, of each part."""
+        s = Strings(self, row)
+        first = np.zeros(len(s.strings) + 1, dtype=np.int64)
+        order = np.concatenate([s.cold, s.hot_ones])
+        count = np.array([s.strings[j][0] for j in order], dtype=np.int64)
+        cold_starts = int(count[: len(s.cold)].sum())
+        first[order] = np.cumsum(count) - count
+        told = np.zeros(int(count.sum()), dtype=np.int64)
+        told[:cold_starts] = np.concatenate([np.frombuffer(c, dtype=np.uint16) for c in row["replies"][1]] or [np.zeros(0, dtype=np.uint16)])
+        full, part = told >= self.length, np.zeros(len(told), dtype=bool)
+        hits = row["hits"]
+        full[cold_starts + hits[hits % 2 == 0] // 2] = True
+        part[cold_starts + hits[hits % 2 == 1] // 2] = True
+        for p, (start, stop, number) in zip(s.parts, s.runs, strict=True):
+            at = expanded(start, stop)
+            j = expanded(first[number], first[number] + stop - start)
+            span = p.spans(at, self.short, self.length, self.words)
+            less = part[j] | (told[j] >= span)
+            gone = covered(len(p.data), at[full[j]], at[full[j]] + self.length)
+            yield p.data, p.offsets, gone, gone | covered(len(p.data), at[less], at[less] + span[less])
+
+
+def spans_of(raw: bytes, n: int, rounds: Rounds) -> np.ndarray:
+    data = np.frombuffer(raw, dtype=np.uint8)
+    p = Parsed.__new__(Parsed)
+    p.data, p.offsets = data, np.array([0, len(data)])
+    return p.spans(np.arange(n), rounds.short, rounds.length, rounds.words)
+
+
+def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    mark = np.bincount(start, minlength=n + 1) - np.bincount(end, minlength=n + 1)
+    return np.cumsum(mark[:n]) > 0
+
+
+SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary()), ("sizes", pa.binary()), ("starts", pa.binary()), ("anchors", pa.binary()), ("twice", pa.binary())])
+REPLY = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("reply", pa.binary())])
+DIGESTS = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("block", pa.int64()), ("place", pa.int64()), ("times", pa.int64())])
+OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_repeated", pa.int64()), ("kept", pa.binary())])
+
+
+def per_text(mark: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    sums = np.concatenate([[0], np.cumsum(mark, dtype=np.int64)])
+    return sums[offsets[1:]] - sums[offsets[:-1]]
+
+
+def remover(rounds: Rounds, with_kept: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rounds = Rounds(length, phrase)
         for batch in batches:
-            for row in bl.rows_of(batch, 3):
+            for k, row in enumerate(bl.rows_of(batch, 2)):
+                hits = batch.column("hits")[k].values
+                row["hits"] = np.zeros(0, dtype=np.int64) if hits is None else hits.to_numpy()
                 done = 0
-                for data, offsets, gone in rounds.cover(row):
+                for data, offsets, gone, repeated in rounds.cover(row):
                     texts = len(offsets) - 1
-                    sums = np.concatenate([[0], np.cumsum(gone, dtype=np.int64)])
-                    removed = sums[offsets[1:]] - sums[offsets[:-1]]
+                    removed = per_text(gone, offsets)
                     begins = gone.copy()
                     begins[1:] &= ~gone[:-1]
                     head = offsets[:-1][offsets[:-1] < len(data)]
                     begins[head] = gone[head]
-                    sums = np.concatenate([[0], np.cumsum(begins, dtype=np.int64)])
-                    spans = sums[offsets[1:]] - sums[offsets[:-1]]
                     kept = [data[a:b][~gone[a:b]].tobytes() if r else data[a:b].tobytes() for a, b, r in zip(offsets[:-1], offsets[1:], removed, strict=True)]
-                    yield pa.RecordBatch.from_arrays([row["ids"].slice(done, texts), pa.array(np.diff(offsets)), pa.array(removed), pa.array(spans), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(kept if with_kept else [None] * texts, type=pa.binary())], schema=OUT)
+                    yield pa.RecordBatch.from_arrays([row["ids"].slice(done, texts), pa.array(np.diff(offsets)), pa.array(removed), pa.array(per_text(begins, offsets)), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(per_text(repeated, offsets)), pa.array(kept if with_kept else [None] * texts, type=pa.binary())], schema=OUT)
                     done += texts
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, phrase: int = PHRASE, block_bytes: int = bl.BLOCK_BYTES, with_kept: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes, if asked for)."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, short: int = SHORT, words: int = WORDS, phrase: int = PHRASE, hot: int = HOT, block_bytes: int = bl.BLOCK_BYTES, with_kept: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated (bytes removed or under a repeated passage of so many words), kept (the remaining bytes, if asked for)."""
     table, size = bl.make_blocks(docs, id_col, text_col, block_bytes)
-    rounds = Rounds(length, phrase)
-    phrases = bl.exchange(table, rounds.phrases, repeat_flag, size / phrase)
-    wholes = bl.exchange(bl.attach(table, phrases), rounds.wholes, repeat_flag, size / phrase, 1)
-    windows = bl.exchange(bl.attach(table, phrases, wholes), rounds.windows, repeat_flag, size / 8, 2)
-    told = bl.attach(table, phrases, wholes, windows)
-    return told.mapInArrow(remover(length, phrase, with_kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    rounds = Rounds(length, min(short, length), words, phrase, hot)
+    phrases = bl.exchange(table, rounds.phrases, count_levels, size / phrase)
+    told = bl.attach(table, phrases)
+    bits = bl.bits_for(size / SHARE_BYTES * bl.KEYS_PER_BUCKET)
+    sent = told.mapInArrow(rounds.string_sender(bits), "bucket int, block long, data binary, sizes binary, starts binary, anchors binary, twice binary")
+    shares = sent.repartition("bucket").sortWithinPartitions("bucket", "block")
+    lengths = materialise(shares.mapInArrow(rounds.orderer(), "block long, bucket int, reply binary"), "lengths")
+    digests = materialise(told.mapInArrow(rounds.digest_sender(), "d1 long, d2 long, block long, place long, times long"), "digests")
+    often = digests.groupBy("d1", "d2").agg(F.sum("times").alias("n")).where("n > 1").select("d1", "d2")
+    hits = digests.join(often, ["d1", "d2"], "left_semi").groupBy("block").agg(F.collect_list("place").alias("hits"))
+    told = bl.attach(table, phrases, lengths).join(hits, "block", "left")
+    return told.mapInArrow(remover(rounds, with_kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, kept binary")

@@ -13,7 +13,7 @@
    longest prefix that each start has in common with another one. Strings that come twice have all of theirs.
    Blocks get these lengths back, and mark what the repeated strings cover.
 4. Anchors in more than `hot` places (and starts whose next bytes hold no whole phrase) would gather in one task:
-   their starts are compared by 128-bit BLAKE2 digests of the strings themselves, as rows that Spark groups and joins.
+   their starts are compared by 128-bit BLAKE2 digests of the strings themselves, each once a block, dealt by their bits.
 
 All steps cover all bytes; nothing is sampled. Matches never cross texts. Besides the removed bytes, `n_repeated` counts
 those under shorter passages that stay: any string of `words` words and the space after them (clipped to `short` to
@@ -31,7 +31,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from barlattice.llm import blocks as bl
 from barlattice.llm import corpus_order as co
@@ -54,11 +53,29 @@ PART = 1 << 20
 SHARE_BYTES = 8 << 20
 
 
-class Parsed:
+class Texts:
+    """Some texts, one after the other."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        self.data, self.offsets = data, offsets
+
+    def spans(self, starts: np.ndarray, short: int, length: int, words: int) -> np.ndarray:
+        """Bytes of the string of so many words (the first may be cut) and the space after them, from each start on, clipped; length where the text has none."""
+        _, end, of = tc.words(self.data, self.offsets)
+        k = np.searchsorted(end, starts, side="right") + words - 1
+        text = np.searchsorted(self.offsets, starts, side="right") - 1
+        there = k < len(end)
+        there[there] = (of[k[there]] == text[there]) & (end[k[there]] < self.offsets[text[there] + 1])
+        out = np.full(len(starts), length, dtype=np.int64)
+        out[there] = np.clip(end[k[there]] + 1 - starts[there], short, length)
+        return out
+
+
+class Parsed(Texts):
     """Phrases of some texts, and the starts that may repeat."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, phrase: int, powers: tc.Powers) -> None:
-        self.data, self.offsets = data, offsets
+        super().__init__(data, offsets)
         self.roll = tc.Rolling(data, powers)
         self.at = co.triggers(data, offsets, phrase)
         self.of = np.searchsorted(offsets, self.at, side="right") - 1
@@ -98,17 +115,6 @@ class Parsed:
         head = np.flatnonzero(new)
         return cuts[head], stop[np.append(head[1:], len(cuts)) - 1], anchor[head], rare[head]
 
-    def spans(self, starts: np.ndarray, short: int, length: int, words: int) -> np.ndarray:
-        """Bytes of the string of so many words (the first may be cut) and the space after them, from each start on, clipped; length where the text has none."""
-        _, end, of = tc.words(self.data, self.offsets)
-        k = np.searchsorted(end, starts, side="right") + words - 1
-        text = np.searchsorted(self.offsets, starts, side="right") - 1
-        there = k < len(end)
-        there[there] = (of[k[there]] == text[there]) & (end[k[there]] < self.offsets[text[there] + 1])
-        out = np.full(len(starts), length, dtype=np.int64)
-        out[there] = np.clip(end[k[there]] + 1 - starts[there], short, length)
-        return out
-
 
 def range_min(value: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
     """The least of value[a:z], for each pair; a < z."""
@@ -202,43 +208,56 @@ class Rounds:
         key, n = merged([k for k, _ in found], [c for _, c in found])
         return key, n, np.zeros(len(n), dtype=np.uint32)
 
-    def string_sender(self, bits: int):
+    def sender(self, bits: int):
+        """Cold strings go to the share of their anchor, the digests of hot ones' starts to that of their first bits."""
+
+        def dealt(keys: np.ndarray) -> list[np.ndarray]:
+            bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
+            return np.split(np.arange(len(keys)), np.searchsorted(bucket, np.arange(1, 1 << bits)))
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in bl.rows_of(batch, 1):
                     s = Strings(self, row)
-                    bucket = (s.anchors[s.cold] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(s.cold), dtype=np.int64)
-                    for a, n in zip(*tc.sorted_runs(bucket), strict=True):
-                        own = s.cold[a : a + n]
+                    digest, times, _ = self.digests(s)
+                    for bucket, (mine, marks) in enumerate(zip(dealt(s.anchors[s.cold]), dealt(digest[:, 0]), strict=True)):
+                        if not len(mine) and not len(marks):
+                            continue
+                        own = s.cold[mine]
                         size = np.array([len(s.strings[j][1]) for j in own], dtype=np.int64)
                         starts = np.array([s.strings[j][0] for j in own], dtype=np.int64)
-                        cells = (b"".join(s.strings[j][1] for j in own), size.tobytes(), starts.tobytes(), s.anchors[own].tobytes(), s.twice[own].tobytes())
-                        yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], type=pa.int32()), pa.array([row["block"]], type=pa.int64()), *(pa.array([c], type=pa.binary()) for c in cells)], schema=SENT)
+                        cells = (b"".join(s.strings[j][1] for j in own), size.tobytes(), starts.tobytes(), s.anchors[own].tobytes(), s.twice[own].tobytes(), digest[marks].tobytes(), times[marks].tobytes())
+                        yield pa.RecordBatch.from_arrays([pa.array([bucket], type=pa.int32()), pa.array([row["block"]], type=pa.int64()), *(pa.array([c], type=pa.binary()) for c in cells)], schema=SENT)
 
         return run
 
-    def digest_sender(self):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in bl.rows_of(batch, 1):
-                    s = Strings(self, row)
-                    place = 0
-                    for j in s.hot_ones:
-                        n, raw = s.strings[j]
-                        span = spans_of(raw, n, self)
-                        found: list[tuple[bytes, int]] = []
-                        for i, w in enumerate(span.tolist()):
-                            if i + self.length <= len(raw):
-                                found.append((hashlib.blake2b(raw[i : i + self.length], digest_size=16).digest(), 2 * (place + i)))
-                            if w < self.length:
-                                found.append((hashlib.blake2b(raw[i : i + w], digest_size=16).digest(), 2 * (place + i) + 1))
-                        place += n
-                        for k in range(0, len(found), 1 << 16):
-                            some = found[k : k + (1 << 16)]
-                            both = np.frombuffer(b"".join(d for d, _ in some), dtype=np.int64).reshape(-1, 2)
-                            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.full(len(some), row["block"])), pa.array([x for _, x in some], type=pa.int64()), pa.array(np.full(len(some), 1 + int(s.twice[j])))], schema=DIGESTS)
-
-        return run
+    def digests(self, s: Strings) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Sorted distinct digests of the strings at the starts of hot strings, as two numbers each; how often each comes here (2: twice or more); and each one's place: of the long string at each start, then of the passage, -1 for none."""
+        seen: dict[bytes, int] = {}
+        times: list[int] = []
+        place: tuple[list[int], list[int]] = ([], [])
+        for j in s.hot_ones:
+            n, raw = s.strings[j]
+            more = 1 + int(s.twice[j])
+            for i, w in enumerate(self.spans_of(raw, n).tolist()):
+                for kind, size in enumerate((self.length, w)):
+                    k = -1
+                    if i + size <= len(raw) and not (kind and w == self.length):
+                        known = len(times)
+                        k = seen.setdefault(hashlib.blake2b(raw[i : i + size], digest_size=16).digest(), known)
+                        if k == known:
+                            times.append(0)
+                        times[k] = min(2, times[k] + more)
+                    place[kind].append(k)
+        flat = np.frombuffer(b"".join(seen), dtype=np.uint64).reshape(-1, 2)
+        order = np.lexsort((flat[:, 1], flat[:, 0]))
+        new = np.empty(len(order) + 1, dtype=np.int64)
+        new[order], new[-1] = np.arange(len(order)), -1
+        return flat[order], np.array(times, dtype=np.uint8)[order], [new[np.array(x, dtype=np.int64)] for x in place]
+
+    def spans_of(self, raw: bytes, n: int) -> np.ndarray:
+        text = Texts(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
+        return text.spans(np.arange(n), self.short, self.length, self.words)
 
     def orderer(self):
         def each(t: pa.Table, a: int, b: int) -> Iterator[dict]:
@@ -261,8 +280,9 @@ class Rounds:
                     at = z
                 number.append(np.array(mine, dtype=np.int64))
             code = self.repeats(list(seen), np.array(times), np.array(anchors, dtype=np.uint64))
-            for k, mine in zip(range(a, b), number, strict=True):
-                yield {"block": [t.column("block")[k].as_py()], "bucket": [t.column("bucket")[k].as_py()], "reply": [np.concatenate([code[j] for j in mine]).tobytes()]}
+            again = repeated_digests([cell("digests", k, np.uint64).reshape(-1, 2) for k in range(a, b)], [cell("times", k, np.uint8) for k in range(a, b)])
+            for k, mine, marks in zip(range(a, b), number, again, strict=True):
+                yield {"block": [t.column("block")[k].as_py()], "bucket": [t.column("bucket")[k].as_py()], "reply": [b"".join([np.int64(len(marks)).tobytes(), marks.tobytes(), *(code[j].tobytes() for j in mine)])]}
 
         return by_runs(["bucket"], each, REPLY, rows=64)
 
@@ -271,12 +291,14 @@ class Rounds:
         size = np.array([len(s) for _, s in strings], dtype=np.int64)
         n = np.array([k for k, _ in strings], dtype=np.int64)
         out = [np.minimum(s - np.arange(k), self.length).astype(np.uint16) if m > 1 else np.zeros(k, dtype=np.uint16) for s, k, m in zip(size, n, times, strict=True)]
-        # a string that is alone with its anchor can only repeat inside itself, which takes a repeated phrase in it
+        # a string that is alone with its anchor can only repeat inside itself
         order = np.argsort(anchors, kind="stable")
         at, run = tc.sorted_runs(anchors[order])
         alone = np.zeros(len(strings), dtype=bool)
         alone[order[at[run == 1]]] = True
-        pick = np.array([j for j, (_, raw) in enumerate(strings) if not alone[j] or (times[j] < 2 and self.repeats_inside(raw))], dtype=np.int64)
+        single = np.flatnonzero(alone & (times < 2))
+        alone[single[self.repeat_inside([strings[j][1] for j in single])]] = False
+        pick = np.flatnonzero(~alone)
         if len(pick):
             data = np.frombuffer(b"".join(strings[j][1] for j in pick), dtype=np.uint8)
             offsets = np.concatenate([[0], np.cumsum(size[pick])])
@@ -287,12 +309,15 @@ class Rounds:
                     out[j] = part
         return out
 
-    def repeats_inside(self, raw: bytes) -> bool:
-        """Whether the eight bytes at any trigger come twice; two equal strings in one have all triggers in common."""
-        data = np.frombuffer(raw, dtype=np.uint8)
-        at = co.triggers(data, np.array([0, len(data)]), self.phrase)
-        gram = co.grams_at(data)[at]
-        return len(np.unique(gram)) < len(gram)
+    def repeat_inside(self, strings: list[bytes]) -> np.ndarray:
+        """Whether the eight bytes at any trigger of a string come twice in it; equal strings in one have all triggers in common."""
+        data = np.frombuffer(b"".join(strings), dtype=np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in strings])]).astype(np.int64)
+        at = co.triggers(data, offsets, self.phrase)
+        gram, of = co.grams_at(data)[at], np.searchsorted(offsets, at, side="right") - 1
+        order = np.lexsort((gram, of))
+        same = (gram[order][1:] == gram[order][:-1]) & (of[order][1:] == of[order][:-1])
+        return np.bincount(of[order][1:][same], minlength=len(strings)) > 0
 
     def cover(self, row: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Bytes, offsets, which bytes go, and which are under repeated passages, of each part."""
@@ -302,12 +327,16 @@ class Rounds:
         count = np.array([s.strings[j][0] for j in order], dtype=np.int64)
         cold_starts = int(count[: len(s.cold)].sum())
         first[order] = np.cumsum(count) - count
-        told = np.zeros(int(count.sum()), dtype=np.int64)
-        told[:cold_starts] = np.concatenate([np.frombuffer(c, dtype=np.uint16) for c in row["replies"][1]] or [np.zeros(0, dtype=np.uint16)])
+        _, _, place = self.digests(s)
+        told, again = [np.zeros(0, dtype=np.uint16)], [np.zeros(0, dtype=bool)]
+        for c in row["replies"][1]:
+            marks = int(np.frombuffer(c, dtype=np.int64, count=1)[0])
+            again.append(np.frombuffer(c, dtype=bool, count=marks, offset=8))
+            told.append(np.frombuffer(c, dtype=np.uint16, offset=8 + marks))
+        again = np.concatenate([*again, [False]])
+        told = np.concatenate([*told, np.zeros(int(count.sum()) - cold_starts, dtype=np.uint16)]).astype(np.int64)
         full, part = told >= self.length, np.zeros(len(told), dtype=bool)
-        hits = row["hits"]
-        full[cold_starts + hits[hits % 2 == 0] // 2] = True
-        part[cold_starts + hits[hits % 2 == 1] // 2] = True
+        full[cold_starts:], part[cold_starts:] = (again[x] for x in place)
         for p, (start, stop, number) in zip(s.parts, s.runs, strict=True):
             at = expanded(start, stop)
             j = expanded(first[number], first[number] + stop - start)
@@ -317,11 +346,17 @@ class Rounds:
             yield p.data, p.offsets, gone, gone | covered(len(p.data), at[less], at[less] + span[less])
 
 
-def spans_of(raw: bytes, n: int, rounds: Rounds) -> np.ndarray:
-    data = np.frombuffer(raw, dtype=np.uint8)
-    p = Parsed.__new__(Parsed)
-    p.data, p.offsets = data, np.array([0, len(data)])
-    return p.spans(np.arange(n), rounds.short, rounds.length, rounds.words)
+def repeated_digests(cells: list[np.ndarray], times: list[np.ndarray]) -> list[np.ndarray]:
+    """Which of the digests come twice or more, by block."""
+    flat, n = np.concatenate(cells), np.concatenate(times).astype(np.int64)
+    if not len(flat):
+        return [np.zeros(0, dtype=bool) for _ in cells]
+    order = np.lexsort((flat[:, 1], flat[:, 0]))
+    fresh = np.concatenate([[True], (flat[order][1:] != flat[order][:-1]).any(axis=1)])
+    run = np.cumsum(fresh) - 1
+    out = np.empty(len(flat), dtype=bool)
+    out[order] = (np.bincount(run, weights=n[order]) > 1)[run]
+    return np.split(out, np.cumsum([len(c) for c in cells])[:-1])
 
 
 def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -329,9 +364,8 @@ def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(mark[:n]) > 0
 
 
-SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary()), ("sizes", pa.binary()), ("starts", pa.binary()), ("anchors", pa.binary()), ("twice", pa.binary())])
+SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary()), ("sizes", pa.binary()), ("starts", pa.binary()), ("anchors", pa.binary()), ("twice", pa.binary()), ("digests", pa.binary()), ("times", pa.binary())])
 REPLY = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("reply", pa.binary())])
-DIGESTS = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("block", pa.int64()), ("place", pa.int64()), ("times", pa.int64())])
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_repeated", pa.int64()), ("kept", pa.binary())])
 
 
@@ -343,9 +377,7 @@ def per_text(mark: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def remover(rounds: Rounds, with_kept: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, row in enumerate(bl.rows_of(batch, 2)):
-                hits = batch.column("hits")[k].values
-                row["hits"] = np.zeros(0, dtype=np.int64) if hits is None else hits.to_numpy()
+            for row in bl.rows_of(batch, 2):
                 done = 0
                 for data, offsets, gone, repeated in rounds.cover(row):
                     texts = len(offsets) - 1
@@ -368,11 +400,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     phrases = bl.exchange(table, rounds.phrases, count_levels, size / phrase)
     told = bl.attach(table, phrases)
     bits = bl.bits_for(size / SHARE_BYTES * bl.KEYS_PER_BUCKET)
-    sent = told.mapInArrow(rounds.string_sender(bits), "bucket int, block long, data binary, sizes binary, starts binary, anchors binary, twice binary")
+    sent = told.mapInArrow(rounds.sender(bits), "bucket int, block long, data binary, sizes binary, starts binary, anchors binary, twice binary, digests binary, times binary")
     shares = sent.repartition("bucket").sortWithinPartitions("bucket", "block")
     lengths = materialise(shares.mapInArrow(rounds.orderer(), "block long, bucket int, reply binary"), "lengths")
-    digests = materialise(told.mapInArrow(rounds.digest_sender(), "d1 long, d2 long, block long, place long, times long"), "digests")
-    often = digests.groupBy("d1", "d2").agg(F.sum("times").alias("n")).where("n > 1").select("d1", "d2")
-    hits = digests.join(often, ["d1", "d2"], "left_semi").groupBy("block").agg(F.collect_list("place").alias("hits"))
-    told = bl.attach(table, phrases, lengths).join(hits, "block", "left")
+    told = bl.attach(table, phrases, lengths)
     return told.mapInArrow(remover(rounds, with_kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, kept binary")

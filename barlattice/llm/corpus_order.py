@@ -24,15 +24,9 @@ by_value(__name__)
 GRAM = 8
 
 
-def grams_at(data: np.ndarray, order: str = "<") -> np.ndarray:
-    """The eight bytes from every place on, as one number; zeros beyond the end."""
-    raw = data.tobytes() + b"\0" * GRAM
-    return np.ndarray((len(data),), dtype=f"{order}u8", buffer=raw, strides=(1,)) if len(data) else np.zeros(0, dtype=np.uint64)
-
-
 def triggers(data: np.ndarray, offsets: np.ndarray, phrase: int) -> np.ndarray:
     """Places whose next eight bytes, all in one text, hash below the bound."""
-    x = grams_at(data) * np.uint64(0xE7037ED1A0B428DB)
+    x = tc.eights(data) * np.uint64(0xE7037ED1A0B428DB)
     x ^= x >> np.uint64(32)
     x *= np.uint64(0x8EBC6AF09C88C6E3)
     at = np.flatnonzero(x < np.uint64((1 << 64) // phrase))
@@ -90,7 +84,7 @@ def dictionary_order(phrases: list[bytes], limit: int) -> tuple[np.ndarray, np.n
     data = np.frombuffer(b"".join(phrases), dtype=np.uint8)
     start = np.concatenate([[0], np.cumsum([len(p) for p in phrases])]).astype(np.int64)
     left = np.repeat(start[1:], np.diff(start)) - np.arange(len(data))
-    keys = grams_at(data, ">").astype(np.uint64)
+    keys = tc.eights(data, ">").astype(np.uint64)
     short = np.flatnonzero(left < GRAM)
     keys[short] &= ~((np.uint64(1) << (np.uint64(8) * (GRAM - left[short]).astype(np.uint64))) - np.uint64(1))
     rank = ranks(keys)
@@ -131,7 +125,7 @@ def suffix_order(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, phra
 
 def common_prefixes(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray, limit: int) -> np.ndarray:
     """How many bytes the suffixes at a and b have in common, compared byte for byte; most: their bounds, at most limit."""
-    gram = grams_at(data)
+    gram = tc.eights(data)
     out = most.astype(np.int64).copy()
     active = np.arange(len(a))
     for j in range(0, limit, GRAM):

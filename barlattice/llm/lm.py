@@ -48,7 +48,7 @@ def folds(ids: pa.Array) -> np.ndarray:
     return np.array([zlib.crc32(b"" if x is None else str(x).encode()) % FOLDS for x in ids.to_pylist()], dtype=np.int64)
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray, powers: tc.Powers) -> tuple[np.ndarray, np.ndarray]:
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, ends included, and offsets by text."""
     parts, counts = [], []
     for _, _, part, off in bl.pieces_of(data, offsets):
@@ -57,7 +57,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray, powers: tc.Powers) -> tuple[np
         n = np.bincount(of, minlength=texts)
         h = np.full(len(start) + texts, END, dtype=np.uint64)
         if len(start):
-            h[np.arange(len(start)) + of] = tc.Rolling(tc.LOWER[part], powers)(start, end)
+            h[np.arange(len(start)) + of] = tc.hashes(tc.LOWER[part], start, end)
         parts.append(h)
         counts.append(n + 1)
     size = np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)
@@ -82,12 +82,10 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def key_counter(kind: str):
-    powers = tc.Powers()
-
     def keys_of(row: dict) -> tuple:
         ids, data, offsets = bl.docs_of(row)
         fold = folds(ids)
-        h, at = tokens(data, offsets, powers)
+        h, at = tokens(data, offsets)
         token_fold = np.repeat(fold, np.diff(at))
         key, place = distinct(h if kind == "words" else pairs(h, at)[1])
         train = token_fold != HELD_OUT
@@ -115,10 +113,10 @@ def answers(cells: list) -> tuple[np.ndarray, np.ndarray]:
 class Counted:
     """A block's tokens with their corpus counts."""
 
-    def __init__(self, row: dict, powers: tc.Powers) -> None:
+    def __init__(self, row: dict) -> None:
         self.ids, data, offsets = bl.docs_of(row)
         self.fold = folds(self.ids)
-        h, self.at = tokens(data, offsets, powers)
+        h, self.at = tokens(data, offsets)
         before, pair = pairs(h, self.at)
         word, place = distinct(h)
         _, pair_place = distinct(pair)
@@ -163,10 +161,9 @@ def cells_of(total: int, types: int):
     span = span_of(total, types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = tc.Powers()
         for batch in batches:
             for row in bl.rows_of(batch, 2):
-                c = Counted(row, powers)
+                c = Counted(row)
                 mine = np.repeat(c.fold == DELETED, np.diff(c.at))
                 counts = tuple(x[mine] for x in c.main)
                 two, one, zero = estimates(counts, total, types)
@@ -204,10 +201,9 @@ SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens
 
 def scorer(weights: np.ndarray, total: int, types: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = tc.Powers()
         for batch in batches:
             for row in bl.rows_of(batch, 2):
-                c = Counted(row, powers)
+                c = Counted(row)
                 two, one, zero = estimates(c.all, total, types)
                 w = weights[bucket_of(c.all[1])]
                 p = w[:, 0] * two + w[:, 1] * one + w[:, 2] * zero

@@ -1,13 +1,16 @@
-"""Jaccard self-join on word 5-grams: MinHash LSH banding, then exact verification.
+"""Jaccard self-join on word 5-grams: a MinHash LSH forest, then exact verification.
 
 1. One pass over the texts gives each a signature of trees x depth minhashes over its set of word n-grams, and a
    128-bit digest of its word sequence. Equal sequences are one class with a number of copies; classes go on.
-2. Banding: each tree's label is `depth` minhashes, of which a fixed prefix is hashed. Its length is the largest at
-   which a pair at the threshold shares a prefix in at least one tree with the target recall (`matched_depth`, a
-   formula of constants, 4 of 5); no trie is walked. Groups of two or more classes give candidates.
-3. Inside a group, full signatures estimate the similarity; pairs under `estimate` (5 standard errors below the
-   threshold and more) go, and what stays is handed on as stars (class, smallest class), never as all pairs. The stars' connected
-   components are candidate clusters.
+2. Forest: a tree's label is `depth` minhashes; the classes that share a prefix of it are a node of its trie. Prefixes
+   are matched from full length on and shortened one minhash at a time until a pair at the threshold meets in some tree
+   with the target recall (`last_depth`). Only nodes that hold two groups or more (classes linked so far, `root`) are opened:
+   what long prefixes have linked is not compared again below shorter ones, so the crowded nodes near the roots are settled by then.
+3. An opened node is sorted by label and cut into blocks, which share one of its classes, its hub (`level`); so
+   a node takes rows in proportion to its classes. At the last length, nodes of several blocks that are still not
+   one group are finished: classes outside the largest group meet every block. Full signatures estimate the similarity;
+   pairs under `estimate` (5 standard errors below the threshold and more) go, and what stays is handed on as
+   stars (group, smallest group), never as all pairs. The groups at the end are candidate clusters.
 4. Exact verification: the n-gram sets of a cluster's texts meet in one task, or, for a large cluster, block by
    block; a task counts the exact intersections of its block pair and emits one row per class (its links, and a
    star), so rows grow with classes and blocks, not with pairs. No link between different texts is lost; each
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlattice.llm import textcore as tc
-from barlattice.llm.common import by_value, discard, materialise
+from barlattice.llm.common import by_value, discard, free_name, materialise
 from barlattice.llm.components import components
 from barlattice.llm.grouped import by_runs
 
@@ -50,40 +53,45 @@ BROADCAST_ROWS = 200_000
 STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def matched_depth(similarity: float, recall: float, trees: int, depth: int) -> int:
-    """The longest prefix at which a pair of this similarity meets in one of the trees with this probability."""
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
+def recall_at(similarity: float, trees: int, depth: int) -> float:
+    """How likely a pair of this similarity shares a prefix of so many minhashes in one of the trees."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def last_depth(similarity: float, recall: float, trees: int, depth: int) -> int:
+    """The longest prefix that meets the recall."""
+    while depth > 1 and recall_at(similarity, trees, depth) < recall:
         depth -= 1
     return depth
 
 
-def grams(data: np.ndarray, offsets: np.ndarray, powers: tc.Powers, n: int = N) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grams(data: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all n-grams in text order, offsets of each text's n-grams, and two digests of each text's words."""
     start, end, of = tc.words(data, offsets)
     texts = len(offsets) - 1
-    h = tc.Rolling(data, powers)(start, end) if len(start) else np.zeros(0, dtype=np.uint64)
+    h = tc.hashes(data, start, end)
     at = np.searchsorted(of, np.arange(texts + 1))
     count = np.diff(at)
-    up, down = powers.upto(len(h) + 1)
-    first, second = np.zeros((2, len(h) + 1), dtype=np.uint64)
-    np.cumsum(h * down[: len(h)], out=first[1:])
-    np.cumsum(tc.mix(h) * down[: len(h)], out=second[1:])
-    digest = np.stack([tc.mix((x[at[1:]] - x[at[:-1]]) * up[at[:-1]] + count.astype(np.uint64)) for x in (first, second)])
+    # a word counts with its place, so that no arithmetic of the words' hashes makes two sequences alike
+    place = tc.mix((np.arange(len(h)) - at[of]).astype(np.uint64) + np.uint64(1))
+    sums = np.zeros((2, len(h) + 1), dtype=np.uint64)
+    for k in range(2):
+        np.cumsum(tc.mix((h ^ place) * (STEP + np.uint64(2 * k)) + np.uint64(k)), out=sums[k, 1:])
+    digest = np.stack([tc.mix(x[at[1:]] - x[at[:-1]] + count.astype(np.uint64)) for x in sums])
     size = np.maximum(count - n + 1, np.minimum(count, 1))
     out_at = np.concatenate([[0], np.cumsum(size)])
     g = np.zeros(out_at[-1], dtype=np.uint64)
     if len(h) >= n:
         whole = h[: len(h) - n + 1].copy()
         for j in range(1, n):
-            whole *= STEP
-            whole += h[j : len(h) - n + 1 + j]
+            whole = tc.mix(whole * STEP) + h[j : len(h) - n + 1 + j]
         inside = of[: len(whole)] == of[n - 1 :]
         long = count >= n
         g[np.repeat(long, size)] = tc.mix(whole[inside])
     for d in np.flatnonzero((count > 0) & (count < n)):
         x = count[d : d + 1].astype(np.uint64)
         for v in h[at[d] : at[d + 1]]:
-            x = x * STEP + v
+            x = tc.mix(x * STEP) + v
         g[out_at[d]] = tc.mix(x)[0]
     return g, out_at, digest
 
@@ -114,10 +122,10 @@ SIGNED = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64(
 
 def signer(trees: int, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, factors = tc.Powers(), seeds(trees * depth)
+        factors = seeds(trees * depth)
         for batch in batches:
             for part in tc.pieces(batch, "text"):
-                g, at, digest = grams(*lowered(part), powers)
+                g, at, digest = grams(*lowered(part))
                 sig = iter(minhash(g, at, factors))
                 has = np.diff(at) > 0
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x.view(np.int64)) for x in digest), pa.array([next(sig).tobytes() if x else None for x in has], type=pa.binary())], schema=SIGNED)
@@ -152,20 +160,22 @@ def across(block: np.ndarray, bi: int, bj: int) -> np.ndarray:
 
 
 def estimated(estimate: float):
+    """Stars of the groups that meet in a block of a node: the estimate is taken between classes of different groups."""
+
     def each(t: pa.Table, a: int, b: int) -> Iterator[dict]:
         if b - a < 2:
             return
-        ids = t.column("cid").to_numpy()[a:b]
+        root = t.column("root").to_numpy()[a:b]
         sig = np.stack([np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in t.column("sig").slice(a, b - a)])
-        block = t.column("block").to_numpy()[a:b]
         need = int(np.ceil(estimate * sig.shape[1]))
-        near = np.stack([(sig == row).sum(axis=1) >= need for row in sig]) & across(block, int(t.column("bi")[a].as_py()), int(t.column("bj")[a].as_py()))
-        root = stars(near, ids)
-        moved = root != ids
-        if moved.any():
-            yield {"a": ids[moved], "b": root[moved]}
+        one = root[:, None] == root[None, :]
+        near = np.stack([(sig == row).sum(axis=1) >= need for row in sig]) & ~one
+        if near.any():
+            least = stars(near | one, root)
+            moved = least != root
+            yield {"a": root[moved], "b": least[moved]}
 
-    return by_runs(["node", "bi", "bj"], each, STAR)
+    return by_runs(["trie", "block"], each, STAR)
 
 
 SETS = pa.schema([("cid", pa.int64()), ("grams", pa.binary()), ("n_grams", pa.int64())])
@@ -173,10 +183,9 @@ SETS = pa.schema([("cid", pa.int64()), ("grams", pa.binary()), ("n_grams", pa.in
 
 def setter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sorted set of n-grams of each text whose digests are those of its class."""
-    powers = tc.Powers()
     for batch in batches:
         for part in tc.pieces(batch, "text"):
-            g, at, digest = grams(*lowered(part), powers)
+            g, at, digest = grams(*lowered(part))
             same = (digest[0].view(np.int64) == part.column("d1").to_numpy()) & (digest[1].view(np.int64) == part.column("d2").to_numpy())
             sets = [np.unique(g[at[i] : at[i + 1]]) for i in np.flatnonzero(same)]
             yield pa.RecordBatch.from_arrays([part.column("cid").filter(pa.array(same)), pa.array([x.tobytes() for x in sets], type=pa.binary()), pa.array([len(x) for x in sets], type=pa.int64())], schema=SETS)
@@ -237,6 +246,63 @@ def grouped(rows: DataFrame, *order: str) -> DataFrame:
     return rows.repartition("node", "bi", "bj").sortWithinPartitions("node", "bi", "bj", *order)
 
 
+def nodes_of(rooted: DataFrame, trees: int, depth: int, length: int) -> DataFrame:
+    """trie, cid, root: the node of every class in every tree, at prefixes of this length."""
+    label = [F.xxhash64(F.lit(t), F.substring("sig", 1 + 4 * depth * t, 4 * length)) for t in range(trees)]
+    return rooted.select("cid", "root", F.explode(F.array(*label)).alias("trie"))
+
+
+def level(rooted: DataFrame, similarity: float, trees: int, depth: int, length: int) -> tuple[DataFrame, bool]:
+    """Links between groups (a, b) of the nodes at prefixes of this length that hold two groups or more, and whether a node was too large to compare all its groups."""
+    nodes = nodes_of(rooted, trees, depth, length)
+    opened = nodes.groupBy("trie").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("root", "cid")).alias("hub"), F.max("root").alias("most")).where("hub.root < most")
+    opened = materialise(opened.select("trie", "hub.root", "hub.cid", F.expr(f"cast(ceil(n / {BLOCK}) as bigint)").alias("blocks")), "opened")
+    cut = not opened.where("blocks > 1").isEmpty()
+    own = nodes.join(opened.select("trie", "blocks", F.col("cid").alias("hub")), "trie").where("blocks = 1 or cid <> hub").select("trie", F.expr("pmod(xxhash64(cid), blocks)").alias("block"), "cid", "root")
+    hubs = opened.where("blocks > 1").select("trie", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), "cid", "root")
+    return estimated_links(own.union(hubs), rooted, similarity), cut
+
+
+def rest_of_nodes(rooted: DataFrame, similarity: float, trees: int, depth: int, length: int) -> DataFrame:
+    """Links between the groups of nodes of several blocks: classes outside a node's largest group meet all of its blocks."""
+    nodes = nodes_of(rooted, trees, depth, length)
+    sizes = nodes.groupBy("trie", "root").agg(F.count(F.lit(1)).alias("n"))
+    opened = sizes.groupBy("trie").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("groups")).where(f"groups > 1 and n > {BLOCK}")
+    opened = materialise(opened.select("trie", F.col("top.root").alias("top"), F.expr(f"cast(ceil(n / {BLOCK}) as bigint)").alias("blocks")), "unfinished")
+    members = nodes.join(opened, "trie")
+    own = F.expr("pmod(xxhash64(cid), blocks)")
+    at = F.explode(F.when(F.col("root") == F.col("top"), F.array(own)).otherwise(F.expr("sequence(0L, blocks - 1)")))
+    return estimated_links(members.select("trie", at.alias("block"), "cid", "root"), rooted, similarity)
+
+
+def estimated_links(members: DataFrame, rooted: DataFrame, similarity: float) -> DataFrame:
+    """a, b of the groups that the estimate links. members: trie, block, cid, root."""
+    signed = members.join(rooted.select("cid", "sig"), "cid").select("trie", "block", "cid", "root", "sig")
+    placed = signed.repartition("trie", "block").sortWithinPartitions("trie", "block", "cid")
+    return placed.mapInArrow(estimated(similarity - 0.2), "a long, b long")
+
+
+def forest(classes: DataFrame, similarity: float, trees: int, depth: int, recall: float) -> DataFrame:
+    """cid, sig, root: the classes with their groups, when prefixes have been shortened until the recall. classes: cid, sig."""
+    rooted = classes.withColumn("root", F.col("cid"))
+    last = last_depth(similarity, recall, trees, depth)
+    steps = [*range(depth, last - 1, -1), 0]
+    for length in steps:
+        if length:
+            links, cut = level(rooted, similarity, trees, depth, length)
+        elif cut:
+            links = rest_of_nodes(rooted, similarity, trees, depth, last)
+        else:
+            break
+        moves = components(links)
+        before = rooted
+        rooted = rooted.join(moves.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+        rooted = materialise(rooted.select("cid", "sig", F.coalesce("to", "root").alias("root")), "rooted")
+        if length != depth:
+            discard(before)
+    return rooted
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id it is linked to over any number of links), n_links (documents at the similarity or more), n_copies, copy_id."""
     spark = docs.sparkSession
@@ -245,16 +311,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = signed.where("sig is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
     classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    k = matched_depth(similarity, recall, trees, depth)
-    label = [F.xxhash64(F.lit(t), F.substring("sig", 1 + 4 * depth * t, 4 * k)) for t in range(trees)]
-    nodes = classes.select("cid", F.explode(F.array(*label)).alias("trie"))
-    shared = nodes.groupBy("trie").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = nodes.join(shared, "trie").select("trie", "cid", F.expr(f"cast(ceil(n / {BLOCK}) as bigint)").alias("blocks"))
-    members = materialise(members, "members")
-    sigs = members.join(classes.select("cid", "sig"), "cid")
-    candidates = grouped(in_blocks(sigs, "trie", "blocks", "cid").select("node", "bi", "bj", "block", "cid", "sig")).mapInArrow(estimated(similarity - 0.2), "a long, b long")
-    clusters = materialise(components(candidates).withColumnRenamed("node", "cid").withColumnRenamed("root", "cluster"), "clusters")
-    discard(members)
+    rooted = forest(classes.select("cid", "sig"), similarity, trees, depth, recall)
+    linked = rooted.where("root <> cid")
+    clusters = materialise(linked.select("cid", F.col("root").alias("cluster")).union(linked.select(F.col("root").alias("cid"), F.col("root").alias("cluster")).distinct()), "clusters")
 
     wanted = clusters.join(classes.select("cid", "rep", "d1", "d2"), "cid").select("cid", F.col("rep").alias("doc_id"), "d1", "d2")
     wanted = materialise(wanted, "wanted")
@@ -263,8 +322,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("cid", "d1", "d2", "text")
     sets = materialise(found.mapInArrow(setter, "cid long, grams binary, n_grams long"), "sets")
     sized = clusters.join(sets.select("cid", "n_grams").distinct(), "cid").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("g"))
-    sized = sized.where("n > 1").select("cluster", F.expr(f"cast(greatest(ceil(n / {BLOCK}), ceil(g / {BLOCK_GRAMS})) as bigint)").alias("blocks"))
-    rows = clusters.join(sized, "cluster").join(classes.select("cid", "copies"), "cid").join(sets.select("cid", "grams"), "cid")
+    # clusters of one block need no lookup; those of several are few (classes / BLOCK and n-grams / BLOCK_GRAMS at most)
+    large = materialise(sized.where(f"n > {BLOCK} or g > {BLOCK_GRAMS}").select("cluster", F.expr(f"cast(greatest(ceil(n / {BLOCK}), ceil(g / {BLOCK_GRAMS})) as bigint)").alias("blocks")), "large")
+    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    rows = clusters.join(large, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.join(classes.select("cid", "copies"), "cid").join(sets.select("cid", "grams"), "cid")
     verified = grouped(in_blocks(rows, "cluster", "blocks", "cid").select("node", "bi", "bj", "block", "cid", "copies", "grams"), "cid").mapInArrow(verifier(similarity), "cid long, root long, links long")
     verified = materialise(verified, "verified")
     discard(sets)
@@ -283,6 +345,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs, all columns, without those that are linked to a document with a smaller id (rows without an id stay)."""
-    gone = materialise(near_classes(docs, id_col, text_col, **how).where("doc_id <> class_id").select(F.col("doc_id").alias("x_gone")).distinct(), "gone")
+    name = free_name(docs, "x_gone")
+    gone = materialise(near_classes(docs, id_col, text_col, **how).where("doc_id <> class_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
     small = gone.count() <= 4 * BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if small else gone, docs[id_col] == gone["x_gone"], "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, F.col(id_col) == F.col(name), "left_anti")

@@ -78,7 +78,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray, powers: tc.Powers) -> dict
     start, end, of = tc.words(data, offsets)
     n = np.bincount(of, minlength=texts).astype(float)
     div = lambda a, b: np.divide(a, b, out=np.zeros(texts), where=b > 0)
-    h = tc.Rolling(data, powers)(start, end) if len(start) else np.zeros(0, dtype=np.uint64)
+    h = tc.hashes(data, start, end)
     again = np.zeros(len(h), dtype=bool)
     again[1:] = (h[1:] == h[:-1]) & (of[1:] == of[:-1])
     letters = np.concatenate([[0], np.cumsum(letter[data], dtype=np.int64)])

@@ -314,7 +314,7 @@ class Rounds:
         data = np.frombuffer(b"".join(strings), dtype=np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in strings])]).astype(np.int64)
         at = co.triggers(data, offsets, self.phrase)
-        gram, of = co.grams_at(data)[at], np.searchsorted(offsets, at, side="right") - 1
+        gram, of = tc.eights(data)[at], np.searchsorted(offsets, at, side="right") - 1
         order = np.lexsort((gram, of))
         same = (gram[order][1:] == gram[order][:-1]) & (of[order][1:] == of[order][:-1])
         return np.bincount(of[order][1:][same], minlength=len(strings)) > 0

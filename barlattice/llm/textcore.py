@@ -1,7 +1,12 @@
-"""Vectorised work on the bytes of many texts at once: offsets, words, rolling hashes."""
+"""Vectorised work on the bytes of many texts at once: offsets, words, hashes.
+
+`hashes` is for keys that decide results: it mixes after every eight bytes, so no algebra of the bytes is left in it.
+`Rolling` is a polynomial modulo 2**64, which structured texts (Thue-Morse words) can fool; it serves filters and statistics only.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,6 +76,34 @@ class Rolling:
         return mix(x + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
+def eights(data: np.ndarray, order: str = "<") -> np.ndarray:
+    """The eight bytes from every place on, as one number; zeros beyond the end."""
+    raw = data.tobytes() + b"\0" * 8
+    return np.ndarray((len(data),), dtype=f"{order}u8", buffer=raw, strides=(1,)) if len(data) else np.zeros(0, dtype=np.uint64)
+
+
+#: Byte ranges beyond this length are hashed one by one.
+LONG = 256
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes of each range, eight bytes at a time."""
+    gram, size = eights(data), end - start
+    h = mix(size.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    active, done = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(active):
+        x = gram[start[active] + done]
+        left = size[active] - done
+        cut = left < 8
+        x[cut] &= (np.uint64(1) << (np.uint64(8) * left[cut].astype(np.uint64))) - np.uint64(1)
+        h[active] = mix((h[active] ^ x) * np.uint64(0xD6E8FEB86659FD93))
+        done += 8
+        active = active[left > 8]
+    for k in np.flatnonzero(size > LONG):
+        h[k] = np.frombuffer(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest(), dtype=np.uint64)[0]
+    return h
+
+
 def bytes_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts one after the other, and n + 1 offsets into them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -58,6 +58,17 @@ def test_scores(docs, made, empty):
     assert lm.score_texts(empty).count() == 0
 
 
+def test_words_of_equal_structure_are_told_apart(spark):
+    """A word of 1,024 letters after the Thue-Morse sequence, and its complement: the second, held out, is unknown."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 1)
+    train = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 2)
+    rows = [(train, word), (held, word.translate(str.maketrans("ab", "ba")))]
+    got = {r["doc_id"]: r for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[train]["n_known"] == 2 and got[held]["n_known"] == 1
+    assert got[held]["base_score"] == pytest.approx(math.log10(0.5 / (2 + 1.5)) + math.log10(1.5 / (2 + 1.5)))
+
+
 def test_weights_of_a_known_mixture():
     rng = np.random.default_rng(1)
     q = lm.quantised(np.array([2.0**6]))[0]

@@ -1,5 +1,6 @@
 import collections
 
+import numpy as np
 import pytest
 
 from barlattice.llm import components, ngram_join
@@ -52,9 +53,54 @@ def test_keep_one(docs, made, empty):
     assert ngram_join.near_classes(empty).count() == 0
 
 
-def test_matched_depth_shortens_until_the_recall():
-    assert ngram_join.matched_depth(0.8, 0.99999, 24, 5) == 4
-    assert 1 - (1 - 0.8**4) ** 24 >= 0.99999 > 1 - (1 - 0.8**5) ** 24
+def test_prefixes_are_shortened_until_the_recall():
+    assert ngram_join.last_depth(0.8, 0.99999, 24, 5) == 4
+    assert ngram_join.recall_at(0.8, 24, 4) >= 0.99999 > ngram_join.recall_at(0.8, 24, 5)
+
+
+def test_measured_recall_of_each_prefix_length():
+    """Pairs of sets at the threshold: the share that meets in some tree, by length, is that of the formula."""
+    rng = np.random.default_rng(4)
+    trees, depth, pairs = 24, 5, 3000
+    meets = np.zeros(depth + 1)
+    factors = ngram_join.seeds(trees * depth)
+    for _ in range(pairs):
+        both, a, b = np.split(rng.integers(0, 2**63, 100, dtype=np.uint64), [80, 90])
+        sigs = [ngram_join.minhash(x, np.array([0, 90]), factors)[0].reshape(trees, depth) for x in (np.concatenate([both, a]), np.concatenate([both, b]))]
+        same = np.cumprod(sigs[0] == sigs[1], axis=1).any(axis=0)
+        meets[1:] += same
+    for length in range(1, depth + 1):
+        assert meets[length] / pairs == pytest.approx(ngram_join.recall_at(0.8, trees, length), abs=0.015)
+
+
+@pytest.mark.parametrize("block", [512, 4])
+def test_forest_finds_the_groups_and_shares_no_pair_twice(spark, block, monkeypatch):
+    """Near copies of a few bases and a crowded node: all members of a base end in one group, others stay alone."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = np.random.default_rng(9)
+    bases = rng.integers(0, 2**32, (6, 120), dtype=np.uint32)
+    rows, want = [], []
+    for k in range(90):
+        sig = bases[k % 6].copy()
+        sig[rng.integers(0, 120, 4)] = rng.integers(0, 2**32, 4, dtype=np.uint32)
+        rows.append((k, bytearray(sig.tobytes())))
+        want.append(k % 6)
+    for k in range(90, 120):  # these share the first tree's label and nothing else
+        sig = rng.integers(0, 2**32, 120, dtype=np.uint32)
+        sig[:5] = bases[0][:5]
+        rows.append((k, bytearray(sig.tobytes())))
+        want.append(k)
+    got = {r["cid"]: r["root"] for r in ngram_join.forest(spark.createDataFrame(rows, "cid long, sig binary"), 0.8, 24, 5, 0.99999).collect()}
+    assert [got[k] for k in range(120)] == want
+
+
+def test_texts_of_equal_structure_are_told_apart(spark):
+    """Sequences whose words follow the Thue-Morse sequence and its complement: no sum of powers tells them apart."""
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    words = "".join("ab"[b] for b in bits)
+    rows = [(1, " ".join("xy"[b] for b in bits)), (2, " ".join("yx"[b] for b in bits)), (3, words), (4, words.translate(str.maketrans("ab", "ba")))]
+    got = {r["doc_id"]: r["copy_id"] for r in ngram_join.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
 
 
 def test_components_of_chains_cliques_and_stars(spark):

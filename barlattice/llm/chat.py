@@ -250,6 +250,9 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     return placed.select("conv_id", "role", "text").mapInArrow(format_rows(Registry()), "conv_id long, turn_no long, formatted string")
 
 
-def read_conversations(formatted: DataFrame) -> DataFrame:
-    """A row per conversation of format_conversations' result: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
-    return formatted.mapInArrow(read_rows, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+def read_conversations(formatted: DataFrame, in_order: bool = False) -> DataFrame:
+    """A row per conversation of format_conversations' result: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars. in_order: the rows come straight from format_conversations, which has dealt and sorted them; a stored table is dealt and sorted anew."""
+    rows = formatted.select("conv_id", "turn_no", "formatted")
+    if not in_order:
+        rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no")
+    return rows.mapInArrow(read_rows, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

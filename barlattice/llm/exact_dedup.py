@@ -24,6 +24,10 @@ from pyspark.sql import functions as F
 from barlattice.llm.common import free_name, materialise
 
 
+#: Tables of at most so many rows (about 100 bytes each) are broadcast; beyond, joins shuffle.
+BROADCAST_ROWS = 500_000
+
+
 def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
@@ -63,12 +67,23 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy_items: int = 256, tracked: int = 4096) -> DataFrame:
-    """The rows of docs, all columns, without those whose text a row with a larger doc_id has."""
-    digests = materialise(docs.select(F.col(id_col).alias("doc_id"), digest_of(F.col(text_col)).alias("digest")), "digests")
-    winners = materialise(verified_winners(digests, heavy_items, tracked).coalesce(1), "winners")
-    digest, keep, size, rank = (free_name(docs, x) for x in ("x_digest", "x_keep", "x_size", "x_rank"))
-    named = winners.select(F.col("digest").alias(digest), F.col("w_keep").alias(keep), F.col("w_size").alias(size))
-    joined = docs.withColumn(digest, digest_of(F.col(text_col))).join(F.broadcast(named), digest, "left")
-    left = joined.where(F.col(size).isNull() | F.col(id_col).eqNullSafe(F.col(keep)))
-    order = Window.partitionBy(digest).orderBy(F.col(id_col).desc_nulls_last())
-    return left.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*docs.columns)
+    """The rows of docs, all columns, without those whose text a row with a larger doc_id has.
+
+    What is decided is decided on ids and digests; rows with their texts move only if the losers are too many to broadcast, or for rows that repeat both id and text."""
+    marks = materialise(mark_copies(docs, id_col, text_col, heavy_items, tracked).select("doc_id", "kept", "group_size", "text_sha256"), "marks")
+    digest, other, rank = (free_name(docs, x) for x in ("x_digest", "x_id", "x_rank"))
+    pair = [F.col("doc_id").alias(other), F.col("text_sha256").alias(digest)]
+    lost = materialise(marks.where(~F.col("kept")).select(*pair).distinct(), "losers")
+    twice = materialise(marks.where("kept and group_size > 1").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*pair), "repeated")
+    met = F.col(id_col).eqNullSafe(F.col(other)) & (digest_of(F.col(text_col)) == F.col(digest))
+    left = docs.join(few_or_not(lost), met, "left_anti")
+    if twice.isEmpty():
+        return left
+    order = Window.partitionBy(F.col(id_col), digest_of(F.col(text_col))).orderBy(F.lit(1))
+    once = left.join(few_or_not(twice), met, "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*docs.columns)
+    return left.join(few_or_not(twice), met, "left_anti").unionByName(once)
+
+
+def few_or_not(rows: DataFrame) -> DataFrame:
+    """Rows of an id and a digest, to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows

@@ -17,8 +17,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_classes(table(spark, sf_dir, "documents"))
 
 
+#: Small enough that buckets split at every size of the tables.
+SHARD_BYTES = 256 << 10
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +44,7 @@ ESCAPED = r"\### Assistant: </turn> ok"
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = spark.createDataFrame([(-7, 0, "user", ESCAPED), (-7, 1, "assistant", ESCAPED)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
-    return chat.read_conversations(chat.format_conversations(rows))
+    return chat.read_conversations(chat.format_conversations(rows), in_order=True)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,9 +87,9 @@ WITH k AS (
   FROM documents),
 up AS (SELECT d.depth, k.h >> CAST(60 - d.depth AS INTEGER) AS prefix, k.* FROM k, (SELECT unnest(range(0, 61)) AS depth) d),
 sums AS (SELECT depth, prefix, CAST(sum(doc_bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_docs, min(h) = max(h) AS alone FROM up GROUP BY 1, 2),
-leaf AS (SELECT up.doc_id, up.h, up.doc_bytes, min(up.depth) AS depth FROM up JOIN sums USING (depth, prefix) WHERE shard_bytes <= 67108864 OR alone GROUP BY 1, 2, 3)
+leaf AS (SELECT up.doc_id, up.h, up.doc_bytes, min(up.depth) AS depth FROM up JOIN sums USING (depth, prefix) WHERE shard_bytes <= 262144 OR alone GROUP BY 1, 2, 3)
 SELECT l.doc_id, l.doc_bytes, CASE WHEN l.depth = 0 THEN '' ELSE substr(lpad(bin(s.prefix), 60, '0'), CAST(61 - l.depth AS INTEGER)) END AS shard_id,
-       l.depth AS shard_depth, s.shard_bytes, s.shard_docs, s.shard_bytes > 67108864 AS oversized
+       l.depth AS shard_depth, s.shard_bytes, s.shard_docs, s.shard_bytes > 262144 AS oversized
 FROM leaf l JOIN sums s ON s.depth = l.depth AND s.prefix = l.h >> CAST(60 - l.depth AS INTEGER)
 """,
     "op3_exact_dedup": f"""

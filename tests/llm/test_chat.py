@@ -40,3 +40,11 @@ def test_conversations_read_back(spark):
         assert got[c]["n_turns"] == len(turns) and got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
         assert got[c]["loss_chars"] == len(loss) and got[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest() and got[c]["formatted_chars"] == len(chat.format_turns(turns)[0])
     assert chat.read_conversations(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_stored_conversations_read_back_in_any_order(spark):
+    rows = [(c, t, ("user", "assistant")[t % 2], f"{c} {t} |") for c in range(20) for t in range(12)]
+    formatted = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    want = sorted(map(tuple, chat.read_conversations(formatted, in_order=True).collect()))
+    stored = spark.createDataFrame(formatted.collect()[::-1], formatted.schema).repartition(7)
+    assert want == sorted(map(tuple, chat.read_conversations(stored).collect())) and len(want) == 20

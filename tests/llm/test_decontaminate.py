@@ -52,8 +52,25 @@ def test_shuffled_joins_give_the_same(spark, docs, made, monkeypatch):
     assert want == sorted(map(tuple, d.overlaps(docs, bench).collect())) and want
 
 
+def test_many_alignments_give_the_same(spark, docs, made, monkeypatch):
+    bench = spark.createDataFrame([(1, " ".join(made[61][1].split()[40:80]))], "item_id long, text string")
+    want = sorted(map(tuple, d.overlaps(docs, bench).collect()))
+    monkeypatch.setattr(d, "BROADCAST_HITS", 0)
+    assert want == sorted(map(tuple, d.overlaps(docs, bench).collect())) and want
+
+
+def test_helper_columns_take_free_names(spark, made):
+    docs = spark.createDataFrame([(1, made[61][1], 5), (2, "something else", 6)], "doc_id long, text string, x_bad int")
+    bench = spark.createDataFrame([(1, " ".join(made[61][1].split()[40:80]))], "item_id long, text string")
+    left = d.drop_contaminated(docs, bench)
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(2, "something else", 6)]
+
+
 def test_masks_lose_no_window():
+    assert d.lossless(d.MASKS, d.WINDOW) and not d.lossless(((0, 1, 2, 3, 4),), d.WINDOW)
     for n in range(d.SHORTEST, d.WINDOW + 1):
+        assert d.lossless(d.SHORT_MASKS, n), n
         for k in range(n - d.needed(n) + 1):
             for wrong in itertools.combinations(range(n), k):
-                assert any(all(a + o not in wrong for o in m) for m in d.MASKS for a in range(n - m[-1])), (n, wrong)
+                masks = d.MASKS if n == d.WINDOW else d.SHORT_MASKS
+                assert any(all(a + o not in wrong for o in m) for m in masks for a in range(n - m[-1])), (n, wrong)

@@ -38,6 +38,12 @@ def test_drop_copies_keeps_one_row_of_each_text(docs, made, empty):
     assert exact_dedup.drop_copies(empty).count() == 0
 
 
+def test_drop_copies_by_shuffles(docs, monkeypatch):
+    want = sorted(map(str, exact_dedup.drop_copies(docs).collect()))
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, exact_dedup.drop_copies(docs).collect())) == want
+
+
 def test_shards_fit_and_only_large_buckets_split(docs, made, empty, spark, tmp_path):
     limit = 6000
     rows = sharding.assign_shards(docs, limit).collect()

@@ -53,6 +53,12 @@ def test_keep_one(docs, made, empty):
     assert ngram_join.near_classes(empty).count() == 0
 
 
+def test_helper_columns_take_free_names(spark, made):
+    docs = spark.createDataFrame([(1, made[61][1], 5), (2, made[61][1], 6)], "doc_id long, text string, x_gone int")
+    left = ngram_join.keep_one(docs)
+    assert left.columns == docs.columns and [r["doc_id"] for r in left.collect()] == [1]
+
+
 def test_prefixes_are_shortened_until_the_recall():
     assert ngram_join.last_depth(0.8, 0.99999, 24, 5) == 4
     assert ngram_join.recall_at(0.8, 24, 4) >= 0.99999 > ngram_join.recall_at(0.8, 24, 5)

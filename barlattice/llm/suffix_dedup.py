@@ -226,7 +226,7 @@ class Rounds:
                         own = s.cold[mine]
                         size = np.array([len(s.strings[j][1]) for j in own], dtype=np.int64)
                         starts = np.array([s.strings[j][0] for j in own], dtype=np.int64)
-                        cells = (b"".join(s.strings[j][1] for j in own), size.tobytes(), starts.tobytes(), s.anchors[own].tobytes(), s.twice[own].tobytes(), digest[marks].tobytes(), times[marks].tobytes())
+                        cells = (pa.compress(b"".join(s.strings[j][1] for j in own), codec="zstd", asbytes=True), size.tobytes(), starts.tobytes(), s.anchors[own].tobytes(), s.twice[own].tobytes(), digest[marks].tobytes(), times[marks].tobytes())
                         yield pa.RecordBatch.from_arrays([pa.array([bucket], type=pa.int32()), pa.array([row["block"]], type=pa.int64()), *(pa.array([c], type=pa.binary()) for c in cells)], schema=SENT)
 
         return run
@@ -267,7 +267,9 @@ class Rounds:
             anchors: list[int] = []
             number: list[np.ndarray] = []
             for k in range(a, b):
-                raw, end = t.column("data")[k].as_py(), np.cumsum(cell("sizes", k, np.int64)).tolist()
+                size = cell("sizes", k, np.int64)
+                raw = pa.decompress(t.column("data")[k].as_buffer(), int(size.sum()), codec="zstd", asbytes=True)
+                end = np.cumsum(size).tolist()
                 mine, at = [], 0
                 for z, n, anchor, more in zip(end, cell("starts", k, np.int64).tolist(), cell("anchors", k, np.uint64).tolist(), cell("twice", k, bool).tolist(), strict=True):
                     known = len(seen)

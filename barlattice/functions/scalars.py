@@ -54,6 +54,31 @@ def market_prefix(code: Column) -> Column:
     return F.when(code.rlike("^[69]"), "sh").when(code.startswith("8"), "bj").otherwise("sz")
 
 
+def is_a_share(code: Column) -> Column:
+    """Six digits with the prefix of a main, growth or star board."""
+    return F.coalesce(code.rlike(r"^(60[0135]|688|00[0-3]|30[01])\d{3}$"), F.lit(False))
+
+
+def up_limit(code: Column) -> Column:
+    """The least change, per cent, that counts as the upper limit: 19.5 on the 20 per cent venues, else 9.5."""
+    return F.when(code.rlike("^(30|68)"), 19.5).otherwise(9.5)
+
+
+def mean_interval(x: str, z: float = 1.96) -> dict[str, Column]:
+    """Aggregates: normal interval of the mean; the mean itself for a single value."""
+    m, half = F.avg(x), F.when(F.count(x) >= 2, F.stddev_samp(x) / F.sqrt(F.count(x)) * z).otherwise(0.0)
+    return {"mean_low": m - half, "mean_high": m + half}
+
+
+def resolve(columns: list[str], wanted: list[str]) -> str | None:
+    """The column that the first of the wanted names to match means: the exact one, else one that starts with it, else the shortest that contains it."""
+    for name in wanted:
+        found = [c for c in columns if c == name] or [c for c in columns if c.startswith(name)][:1] or sorted((c for c in columns if name in c), key=len)
+        if found:
+            return found[0]
+    return None
+
+
 def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
     """Null stays null: greatest and least alone would skip it."""
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))

@@ -87,33 +87,35 @@ def outcomes(signals: DataFrame) -> DataFrame:
     """
     n = F.size("path")
     hit = lambda x: (x <= F.col("stop")) | (x >= F.col("target"))
-    leave = lambda b, i: F.struct(b["trade_date"].alias("day"), F.when(hit(b["open"]) | (i == n - 2), b["open"]).when(hit(b["close"]), b["close"]).alias("price"))
+    stopped = lambda x: F.when(x <= F.col("stop"), "stop").when(x >= F.col("target"), "target")
+    leave = lambda b, i: F.struct(b["trade_date"].alias("day"), F.when(hit(b["open"]) | (i == n - 2), b["open"]).when(hit(b["close"]), b["close"]).alias("price"), F.coalesce(stopped(b["open"]), F.when(i < n - 2, stopped(b["close"])), F.lit("expiry")).alias("reason"), (i + 1).alias("held"))
     first = F.get(F.filter(F.transform(F.slice("path", 2, n - 1), leave), lambda x: x["price"].isNotNull()), F.lit(0))
     # a slice has no negative length, so shorter paths go first
-    return signals.where(n >= 2).withColumn("_out", first).select("grid", "code", "trade_date", "score", F.get("path", F.lit(0))["open"].alias("fill"), F.col("_out.day").alias("out_day"), F.col("_out.price").alias("out"))
+    return signals.where(n >= 2).withColumn("_out", first).select("grid", "code", "trade_date", "score", F.get("path", F.lit(0))["open"].alias("fill"), F.get("path", F.lit(0))["trade_date"].alias("fill_day"), F.col("_out.day").alias("out_day"), F.col("_out.price").alias("out"), F.col("_out.reason").alias("reason"), F.col("_out.held").alias("held"))
 
 
-def backtest(signals: DataFrame, cash: float = 1_000_000.0, slots: int = 10, slippage: float = 0.001, commission: float = 0.0003, duty: float = 0.001, lot: int = 100) -> DataFrame:
-    """grid, trades, wins, final_equity: the sequential ledger of every grid point.
+TRADES = "grid string, code string, signal_day date, fill_day date, out_day date, shares long, entry_price double, exit_price double, paid double, received double, pnl double, pnl_pct double, reason string, holding_bars int"
+
+
+def trade_log(signals: DataFrame, cash: float = 1_000_000.0, slots: int = 10, slippage: float = 0.001, commission: float = 0.0003, duty: float = 0.001, lot: int = 100) -> DataFrame:
+    """Every trade of the sequential ledger of every grid point; a grid point with signals but no trade has one row with a null code.
 
     signals: grid, code, trade_date, score, stop, target, hold, path. Cash and slots couple all stocks, so a grid point is walked by
     one task; it is handed every signal, best first within a day, as a stream of sorted narrow rows, and keeps the open positions only.
-    Grid points run in parallel. A buy fills at the next open (one day at least is held). Profit leaves out costs, equity includes them.
+    Grid points run in parallel. A buy fills at the next open (one day at least is held). pnl leaves out costs; paid and received include them.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grid, money, wins, trades = None, cash, 0, 0
+        names = [c.split()[0] for c in TRADES.split(", ")]
+        grid, money, trades = None, cash, 0
         held: list[tuple] = []  # exit day, amount that comes back
-
-        def closed() -> pd.DataFrame:
-            return pd.DataFrame({"grid": [grid], "trades": [trades], "wins": [wins], "final_equity": [money + sum(x[1] for x in held)]})
-
+        rows: list[tuple] = []
         for pdf in batches:
             for s in pdf.itertuples(index=False):
                 if s.grid != grid:
-                    if grid is not None:
-                        yield closed()
-                    grid, money, wins, trades, held = s.grid, cash, 0, 0, []
+                    if grid is not None and not trades:
+                        rows.append((grid, *[None] * (len(names) - 1)))
+                    grid, money, trades, held = s.grid, cash, 0, []
                 back = [x for x in held if x[0] <= s.trade_date]
                 if back:
                     money += sum(x[1] for x in back)
@@ -124,11 +126,51 @@ def backtest(signals: DataFrame, cash: float = 1_000_000.0, slots: int = 10, sli
                 shares = int(min(cash / slots, money) / (price * (1 + commission)) // lot * lot) if price > 0 else 0
                 if shares <= 0:
                     continue
-                money -= shares * price * (1 + commission)
-                held.append((s.out_day, shares * s.out * (1 - slippage) * (1 - commission - duty)))
-                trades, wins = trades + 1, wins + int(s.out > price)
-        if grid is not None:
-            yield closed()
+                paid, left = shares * price * (1 + commission), s.out * (1 - slippage)
+                received = shares * left * (1 - commission - duty)
+                money -= paid
+                held.append((s.out_day, received))
+                trades += 1
+                rows.append((grid, s.code, s.trade_date, s.fill_day, s.out_day, shares, price, s.out, paid, received, shares * (left - price), left / price - 1, s.reason, s.held))
+            yield pd.DataFrame(rows, columns=names)
+            rows = []
+        if grid is not None and not trades:
+            yield pd.DataFrame([(grid, *[None] * (len(names) - 1))], columns=names)
 
     placed = outcomes(signals).repartition("grid").sortWithinPartitions("grid", "trade_date", F.desc("score"), "code")
-    return placed.select("grid", "trade_date", "fill", "out_day", "out").mapInPandas(run, "grid string, trades long, wins long, final_equity double")
+    return placed.select("grid", "code", "trade_date", "fill", "fill_day", "out_day", "out", "reason", "held").mapInPandas(run, TRADES)
+
+
+def backtest(signals: DataFrame, cash: float = 1_000_000.0, **how) -> DataFrame:
+    """grid, trades, wins, final_equity: the ledger's totals. A win leaves at more than it was bought for, before costs of leaving."""
+    log = trade_log(signals, cash, **how)
+    return log.groupBy("grid").agg(F.count("code").alias("trades"), F.count_if(F.col("exit_price") > F.col("entry_price")).alias("wins"), (F.coalesce(F.sum(F.col("received") - F.col("paid")), F.lit(0.0)) + cash).alias("final_equity"))
+
+
+def trade_stats(log: DataFrame) -> DataFrame:
+    """Per grid point: trades, win_rate, avg_win, avg_loss (per cent), profit_factor (null without losses), avg_hold, and how many left at the stop, at the target and by expiry."""
+    t, won = log.where("code IS NOT NULL"), F.col("pnl") > 0
+    reason = lambda x: F.count_if(F.col("reason") == x).alias(f"n_{x}")
+    loss = F.sum(F.when(~won, -F.col("pnl")))
+    return t.groupBy("grid").agg(F.count(F.lit(1)).alias("trades"), F.avg(F.when(won, 1.0).otherwise(0.0)).alias("win_rate"), F.avg(F.when(won, F.col("pnl_pct") * 100)).alias("avg_win"), F.avg(F.when(~won, F.col("pnl_pct") * 100)).alias("avg_loss"), ratio(F.sum(F.when(won, F.col("pnl"))), loss).alias("profit_factor"), F.avg("holding_bars").alias("avg_hold"), reason("stop"), reason("target"), reason("expiry"))
+
+
+def equity_curve(log: DataFrame, bars: DataFrame, cash: float = 1_000_000.0) -> DataFrame:
+    """grid, trade_date, cash, market_value, equity on each of the market's days from a grid point's first fill to its last exit.
+
+    Cash is a running sum of what was paid and received; positions are marked at the day's close, or the last one before it. Trades meet the days that they are open, no others."""
+    t = log.where("code IS NOT NULL")
+    moves = t.select("grid", F.col("fill_day").alias("trade_date"), (-F.col("paid")).alias("move")).unionByName(t.select("grid", F.col("out_day").alias("trade_date"), F.col("received").alias("move")))
+    span = t.groupBy("grid").agg(F.min("fill_day").alias("first"), F.max("out_day").alias("last"))
+    days = bars.select("trade_date").distinct()
+    calendar = span.join(days, (F.col("trade_date") >= F.col("first")) & (F.col("trade_date") <= F.col("last"))).select("grid", "trade_date")
+    marks = bars.withColumn("until", F.lead("trade_date").over(Window.partitionBy("code").orderBy("trade_date"))).select("code", F.col("trade_date").alias("day"), "close", "until")
+    open_days = t.select("grid", "code", "shares", "fill_day", "out_day").join(marks, "code").where("day < out_day AND (until IS NULL OR until > fill_day) AND day >= fill_day")
+    # a mark holds until the code's next bar or the exit
+    held = open_days.select("grid", "day", F.least(F.coalesce("until", "out_day"), "out_day").alias("end"), (F.col("shares") * F.col("close")).alias("value"))
+    steps = held.select("grid", F.col("day").alias("trade_date"), F.col("value").alias("step")).unionByName(held.select("grid", F.col("end").alias("trade_date"), (-F.col("value")).alias("step")))
+    daily = calendar.join(moves.groupBy("grid", "trade_date").agg(F.sum("move").alias("move")), ["grid", "trade_date"], "left").join(steps.groupBy("grid", "trade_date").agg(F.sum("step").alias("step")), ["grid", "trade_date"], "left")
+    w = Window.partitionBy("grid").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0.0))
+    out = daily.select("grid", "trade_date", (total("move") + cash).alias("cash"), total("step").alias("market_value"))
+    return out.withColumn("equity", F.col("cash") + F.col("market_value"))

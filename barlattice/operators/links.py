@@ -12,7 +12,7 @@ from barlattice.functions.scalars import first_true, number, word_hits
 
 #: Separators of theme lists, in order, and words for no theme.
 SEPARATORS = ["+", "、", ",", "，", ";", "；", "/", "|"]
-NO_THEME = ["", "nan", "none", "null", "-", "--"]
+NO_THEME = ["", "nan", "none", "null", "-"]
 
 
 def theme(x: Column) -> Column:
@@ -107,17 +107,6 @@ def overlay(base: DataFrame, over: DataFrame, key: str, columns: list[str]) -> D
     return out.drop(*[f"_{c}" for c in columns])
 
 
-def structured_score(df: DataFrame) -> DataFrame:
-    """Bonus and penalty of structured factors, ten at most each, with notes. Null factors say nothing."""
-    bonus = sum((F.when(t, p).otherwise(0) for t, p in ((F.col("dragon_net") > 0, 4), (F.col("hot_rank") <= 20, 3), (F.col("flow20") > 0, 3), (F.col("north5") > 0, 2))), F.lit(0))
-    penalty = sum((F.when(t, p).otherwise(0) for t, p in ((F.col("dragon_net") < 0, 4), (F.col("flow20") < 0, 3), (F.col("north5") < 0, 2), (F.col("unlock_share") > 0.05, 4), (F.col("announcement_risk"), 6))), F.lit(0))
-    note = lambda t, s: F.when(t, s)
-    reasons = F.array(note(F.col("dragon_net") > 0, "dragon-tiger net buying"), note(F.col("hot_rank") <= 20, "hot list"), note(F.col("flow20") > 0, "20-day inflow"), note(F.col("north5") > 0, "northbound buying"))
-    risks = F.array(note(F.col("dragon_net") < 0, "dragon-tiger net selling"), note(F.col("flow20") < 0, "20-day outflow"), note(F.col("unlock_share") > 0.05, "unlock ahead"), note(F.col("announcement_risk"), "risk announcement"))
-    some = lambda a: F.slice(F.filter(a, lambda x: x.isNotNull()), 1, 4)
-    return df.withColumns({"bonus": F.least(bonus, F.lit(10)), "penalty": F.least(penalty, F.lit(10)), "reasons": some(reasons), "risks": some(risks)})
-
-
 def short_line(p: DataFrame) -> DataFrame:
     """Per day of the limit-up pool: highest streak, how many with two and more, how many at one price all day, the first codes by streak."""
     one = F.abs(F.col("open") / F.col("close") - 1) <= 0.001

@@ -97,24 +97,81 @@ def position(account: float = 100_000.0, risk_share: float = 0.01, min_amount: f
     ]
 
 
+#: What a structured factor adds or takes: column, divisor, most; for sums that speak by their sign, in both directions.
+SIGNED_FACTORS = {"lhb_net_wan": (3_000.0, 4.0, 4_000.0, 3.0), "flow20": (80_000_000.0, 4.0, 120_000_000.0, 3.0), "north5": (100_000_000.0, 2.0, 150_000_000.0, 2.0)}
+
+
+def structured() -> Layers:
+    """Ten structured factors, each graded by its size: bonus and penalty, ten at most each. A null factor says nothing.
+
+    Columns: lhb_net_wan (net buying on the dragon-tiger list, 10,000 yuan), hot_rank, flow20 and north5 (net yuan), margin5 (change, yuan),
+    n_research, unlock_ratio (per cent), n_ann_risks, n_block_trades, holder_qoq (per cent)."""
+    up = {f"b_{c}": f"CASE WHEN {c} > 0 THEN least({most}, {c} / {by}) ELSE 0.0 END" for c, (by, most, _, _) in SIGNED_FACTORS.items()}
+    down = {f"p_{c}": f"CASE WHEN {c} < 0 THEN least({most}, -{c} / {by}) ELSE 0.0 END" for c, (_, _, by, most) in SIGNED_FACTORS.items()}
+    up |= {"b_hot": "CASE WHEN hot_rank > 0 AND hot_rank <= 100 THEN least(3.0, greatest(0.5, (101.0 - hot_rank) / 30.0)) ELSE 0.0 END", "b_margin": "CASE WHEN margin5 > 0 THEN least(1.5, margin5 / 100000000.0) ELSE 0.0 END", "b_research": flag("n_research > 0", 1), "b_holder": flag("holder_qoq < -3", 1)}
+    down |= {"p_unlock": "CASE WHEN unlock_ratio > 0 THEN least(5.0, unlock_ratio * 0.8) ELSE 0.0 END", "p_ann": "CASE WHEN n_ann_risks > 0 THEN least(5.0, n_ann_risks * 1.5) ELSE 0.0 END", "p_block": flag("n_block_trades > 0", 1), "p_holder": flag("holder_qoq > 5", 1)}
+    return [
+        {**up, **down},
+        {"all_bonus": " + ".join(up), "all_penalty": " + ".join(down)},
+        {"structured_score": f"CASE WHEN all_bonus > 0 OR all_penalty > 0 THEN {clip('all_bonus * 12.0 - all_penalty * 8.0 + 50.0', 0, 100)} ELSE 0.0 END", "structured_bonus": "round(least(10.0, all_bonus), 2)", "structured_penalty": "round(least(10.0, all_penalty), 2)"},
+    ]
+
+
+def news_bonus(weight: float = 0.08) -> Layers:
+    """Bonus of a positive news score (60 and more) with a theme: its share of the weight, in points. A theme is the last part of a path; any that isn't empty counts. Columns: news_score, news_theme."""
+    return [
+        {"theme_word": "trim(regexp_replace(coalesce(news_theme, ''), '^.*>', ''))"},
+        {"news_bonus": f"CASE WHEN coalesce(news_score, 0.0) >= 60 AND theme_word <> '' THEN least({weight * 100}, news_score / 100.0 * {weight * 100}) ELSE 0.0 END"},
+    ]
+
+
 def recommendation() -> Layers:
-    """Trend .36, fund .26, pattern .18, risk-reward .10, risk control .10; grades S, A, B, C."""
+    """Trend .36, fund .26, pattern .18, risk-reward .10, risk control .10, then at most 5 for news and the structured bonus less half the penalty; grades S, A, B, C.
+
+    Needs golden_cross, n_flags (risk flags of guards), and the columns of `structured` and `news_bonus`; null ones say nothing."""
     bull = "ma5 > ma10 AND ma10 > ma30"
     return [
-        {"s_trend": clip(f"{clip('(rps - 50.0) * 2.5', 0, 100)} + {flag(bull, 10)} + {flag('close > ma60', 10)}", 0, 100), "s_fund": "CASE WHEN inflow_days > 0 THEN least(100.0, inflow_days * 12.5) ELSE 0.0 END",
-         "s_pattern": clip(f"{flag(bull, 25)} + {flag('close > ma60', 15)} + {flag('volume_ratio_prev >= 1.5', 20)} + {clip('pct_change * 3.0', 0, 25)}", 0, 100), "risk_width": "(entry - stop) / entry"},
+        {"s_trend": clip(f"{clip('(coalesce(rps, 50.0) - 50.0) * 2.5', 0, 100)} + {flag(bull, 10)} + {flag('close > ma60', 10)} + {flag('golden_cross', 10)}", 0, 100), "s_fund": "CASE WHEN inflow_days > 0 THEN least(100.0, inflow_days * 12.5) ELSE 0.0 END",
+         "s_pattern": clip(f"{flag(bull, 25)} + {flag('close > ma60', 15)} + {flag('volume_ratio_prev >= 1.5', 20)} + {flag('golden_cross', 15)} + coalesce({clip('pct_change * 3.0', 0, 25)}, 0.0)", 0, 100), "risk_width": "CASE WHEN entry > stop AND stop > 0 THEN (entry - stop) / entry ELSE 0.0 END"},
         {"s_quality": "CASE WHEN risk_width BETWEEN 0.03 AND 0.08 THEN 100.0 WHEN risk_width < 0.015 THEN 40.0 WHEN risk_width < 0.03 THEN 70.0 WHEN risk_width <= 0.15 THEN 70.0 ELSE 40.0 END",
-         "s_control": "CASE WHEN turnover_rate BETWEEN 3 AND 15 THEN 100.0 - abs(turnover_rate - 8) * 4 WHEN turnover_rate < 3 THEN 40.0 ELSE greatest(0.0, 100.0 - (turnover_rate - 15) * 5) END"},
-        {"s_rr": clip(f"{clip('(risk_reward - 0.5) * 40.0', 0, 100)} * 0.6 + s_quality * 0.4", 0, 100)},
-        {"recommend_score": clip("s_trend * 0.36 + s_fund * 0.26 + s_pattern * 0.18 + s_rr * 0.10 + s_control * 0.10", 0, 100)},
-        {"grade": "CASE WHEN recommend_score >= 85 THEN 'S' WHEN recommend_score >= 70 THEN 'A' WHEN recommend_score >= 55 THEN 'B' ELSE 'C' END", "confidence": clip("35 + 0.35 * recommend_score", 30, 72)},
+         "s_turnover": "CASE WHEN turnover_rate BETWEEN 3 AND 15 THEN 100.0 - abs(turnover_rate - 8) * 4 WHEN turnover_rate > 15 THEN greatest(0.0, 100.0 - (turnover_rate - 15) * 5) ELSE 40.0 END",
+         "s_momentum": clip("coalesce(rps, 50.0) * 0.5 + coalesce(pct_change, 0.0) * 3.0 + coalesce(volume_ratio_prev, 0.0) * 5.0", 0, 100)},
+        {"s_control": f"greatest(0.0, greatest(0.0, {clip('s_turnover', 0, 100)} - least(40.0, 20.0 * coalesce(n_flags, 0))) - structured_penalty)", "s_rr": clip(f"{clip('(coalesce(risk_reward, 0.0) - 0.5) * 40.0', 0, 100)} * 0.6 + s_quality * 0.4", 0, 100)},
+        {"recommend_score": "least(100.0, s_trend * 0.36 + s_fund * 0.26 + s_pattern * 0.18 + s_rr * 0.10 + s_control * 0.10 + least(5.0, news_bonus))"},
+        {"recommend_score": clip("recommend_score + structured_bonus - structured_penalty * 0.5", 0, 100)},
+        {"grade": "CASE WHEN recommend_score >= 85 THEN 'S' WHEN recommend_score >= 70 THEN 'A' WHEN recommend_score >= 55 THEN 'B' ELSE 'C' END"},
+    ]
+
+
+def outlook() -> Layers:
+    """Confidence and target band: the calibrated ones where there are any to trust, else from the score and the stock's own features. Columns: cal_prob, cal_ret, cal_flag (of `predict`); null without calibration."""
+    trusted = "cal_ret > 0 AND cal_prob > 0 AND coalesce(cal_flag, '') NOT IN ('', 'fallback_baseline')"
+    return [
+        {"calibrated": f"coalesce({trusted}, false)", "f_ret": "CASE WHEN ma20 > 0 AND close > 0 THEN close / ma20 - 1 ELSE coalesce(rps, 50.0) / 100.0 * 0.2 END", "f_atr": "coalesce(round(atr14 / close * 100, 2), 1.5)", "f_volume": "greatest(1.0, coalesce(turnover_rate, 5.0) / 5.0)"},
+        {"f_base": f"(f_ret + coalesce(rps, 50.0) / 100.0 * 0.08 + {flag('ma5 > ma10 AND ma10 > ma30', 0.02)} + {flag('golden_cross', 0.015)}) * greatest(1.0, least(2.5, f_volume / 2.0))"},
+        {"target_high": "CASE WHEN calibrated THEN greatest(5.0, cal_ret * 300.0) ELSE greatest(5.0, f_base * 100 + f_atr * 1.2) END"},
+        {"target_low": "CASE WHEN calibrated THEN greatest(2.0, cal_ret * 150.0) ELSE least(greatest(2.0, f_base * 100 - f_atr * 0.6), target_high * 0.85) END", "confidence": f"CASE WHEN calibrated THEN cal_prob * 100 ELSE {clip('35 + 0.35 * recommend_score', 30, 72)} END"},
     ]
 
 
+#: The phrases of a recommendation's tag, in order, with the test for each.
+TAGS = (("趋势强", "s_trend >= 70"), ("资金流入", "s_fund >= 60"), ("动量强", "s_momentum >= 65"), ("突破", "t_break > 0"), ("放量", "t_volume > 0"), ("多头排列", "t_bull > 0"))
+NO_TAG, NEWS_TAG = "形态企稳", "催化"
+
+
+def tags() -> Layers:
+    """The first three phrases that hold, at most 16 characters; a news theme of two to eight characters comes last."""
+    tests = [*((f"'{word}'", test) for word, test in TAGS), (f"concat(theme_word, '{NEWS_TAG}')", "length(theme_word) BETWEEN 2 AND 8")]
+    on = {f"tag{k}": f"CASE WHEN {test} THEN 1 ELSE 0 END" for k, (_, test) in enumerate(tests)}
+    before = lambda k: " + ".join(["0", *(f"tag{j}" for j in range(k))])
+    parts = ", ".join(f"CASE WHEN tag{k} = 1 AND {before(k)} < 3 THEN {word} END" for k, (word, _) in enumerate(tests))
+    return [on, {"tag": f"CASE WHEN {before(len(tests))} = 0 THEN '{NO_TAG}' ELSE substr(concat_ws('+', {parts}), 1, 16) END"}]
+
+
 def debate() -> Layers:
-    """Verdict of bull and bear points around 50."""
+    """Verdict of bull and bear points around 50, kept between 0 and 100."""
     return [
-        {"debate_score": f"50 + {flag('ma5 > ma10 AND ma10 > ma20', 10, -8)} + {flag('close > prior_high20', 10, -5)} + {flag('volume_ratio_prev >= 1.5', 6, -3)} + {flag('inflow_days >= 2', 8, -4)} + {flag('pe > 100', -6)} + {flag('pe > 0 AND pe < 50', 3)} + {flag('debt_ratio > 70', -5)} + {flag('pct_change > 7', -4)}"},
+        {"debate_score": clip(f"50 + {flag('ma5 > ma10 AND ma10 > ma20', 10, -8)} + {flag('close > prior_high20', 10, -5)} + {flag('volume_ratio_prev >= 1.5', 6, -3)} + {flag('inflow_days >= 2', 8, -4)} + CASE WHEN pe > 100 THEN -6.0 WHEN pe > 0 AND pe < 50 THEN 3.0 ELSE 0.0 END + CASE WHEN pct_change > 7 THEN -8.0 WHEN pct_change > 0 THEN 3.0 ELSE 0.0 END", 0, 100)},
         {"verdict": "CASE WHEN debate_score >= 65 THEN 'recommend' WHEN debate_score >= 40 THEN 'watch' ELSE 'avoid' END"},
     ]
 
@@ -139,7 +196,9 @@ def layered_pool() -> Layers:
 
 #: Strategy pools: name to (test, score); each over the wide row.
 POOLS = {
-    "limit_up": ("is_up", clip("50 + 8 * streak + CASE WHEN turnover_rate BETWEEN 3 AND 20 THEN 5 WHEN turnover_rate >= 1 AND turnover_rate < 3 THEN 2 WHEN turnover_rate > 30 THEN -5 ELSE 0 END", 20, 95)),
+    # first_seal (HHMM), n_broken and seal_ratio (of the amount) may be null
+    "limit_up": ("is_up", clip("50 + 8 * streak + CASE WHEN pct_change > 19 THEN 5 ELSE 0 END + CASE WHEN first_seal <= 930 THEN 15 WHEN first_seal <= 940 THEN 12 WHEN first_seal <= 1000 THEN 8 WHEN first_seal <= 1030 THEN 4 ELSE 0 END - 8 * coalesce(n_broken, 0) "
+                               "+ CASE WHEN turnover_rate BETWEEN 3 AND 20 THEN 5 WHEN turnover_rate >= 1 AND turnover_rate < 3 THEN 2 WHEN turnover_rate > 30 THEN -5 ELSE 0 END + CASE WHEN seal_ratio > 0.1 THEN 5 ELSE 0 END", 20, 95)),
     "trend_pullback": ("rn >= 30 AND rps >= 60 AND turnover_rate >= 1 AND (close > ma20 * 0.95 AND close < ma20 * 1.03 OR close > ma20 * 1.05 AND prev_close <= ma20 * 1.05)", f"least(90.0, rps * 0.8 + {flag('close > ma20 * 0.95 AND close < ma20 * 1.03', 10)} + {flag('close > ma20 * 1.05 AND prev_close <= ma20 * 1.05', 10)} + {flag('volume_ratio_incl < 1.1', 5)})"),
     "oversold_rebound": ("rn >= 30 AND ret19 * 100 <= -15 AND (volume < volume_mean10 * 0.8 OR (high - low) / prev_close > 2 * abs(close - prev_close) / prev_close AND close > (high + low) / 2)", f"least(88.0, abs(ret19 * 100) * 1.5 + {flag('(high - low) / prev_close > 2 * abs(close - prev_close) / prev_close AND close > (high + low) / 2', 10)} + {flag('volume < volume_mean10 * 0.8', 5)})"),
     "small_quality": ("circ_mv_yi <= 200 AND turnover_rate >= 2 AND profit >= 0", "least(85.0, 50 + 0.2 * (100 - circ_mv_yi) + 2 * turnover_rate)"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barlattice.functions.scalars import BINS
@@ -199,6 +199,22 @@ def backtest_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.backtest(signals(spark, sf_dir)).withColumn("final_equity", r("final_equity", 2))
 
 
+@add("backtest_trades")
+def backtest_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every grid point's trades."""
+    return e.trade_stats(e.trade_log(signals(spark, sf_dir)))
+
+
+@add("backtest_curve")
+def backtest_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Return, volatility, drawdown and days of every grid point's equity curve, marked to market."""
+    curve = e.equity_curve(e.trade_log(signals(spark, sf_dir)), a.bars(spark, sf_dir).select("code", "trade_date", "close"))
+    order = Window.partitionBy("grid").orderBy("trade_date")
+    daily = curve.withColumn("ret", F.try_divide(F.col("equity"), F.lag("equity").over(order)) - 1).withColumn("peak", F.max("equity").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    g = daily.groupBy("grid").agg(F.count(F.lit(1)).alias("days"), F.max_by("equity", "trade_date").alias("last"), F.stddev_samp("ret").alias("sd"), F.avg("ret").alias("mean"), F.min(F.col("equity") / F.col("peak") - 1).alias("drawdown"))
+    return g.select("grid", "days", F.round(F.col("last") / 1_000_000.0 - 1, 6).alias("total_return"), F.round(F.try_divide(F.col("mean"), F.col("sd")) * F.sqrt(F.lit(252.0)), 4).alias("sharpe"), F.round(F.col("drawdown"), 6).alias("max_drawdown"))
+
+
 @add("event_rollup", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total, round(arg_min(value, (ts, event_id)), 4) AS open, max(value) AS high, min(value) AS low, round(arg_max(value, (ts, event_id)), 4) AS close FROM events GROUP BY 1, 2")
 def event_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barlattice.streaming.rollup import rollup

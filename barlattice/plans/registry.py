@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from barlattice.plans import evaluation, links, market, selection, series
+from barlattice.plans import decisions, evaluation, links, market, selection, series
 from barlattice.plans.common import Query
 
-MODULES = (series, market, selection, evaluation, links)
+MODULES = (series, market, selection, evaluation, links, decisions)
 
 
 def queries() -> dict[str, Query]:

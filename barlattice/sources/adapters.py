@@ -36,6 +36,17 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.groupBy(F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("code"), F.col("l_shipdate").cast("date").alias("trade_date")).agg(F.round(F.sum(signed), 2).alias("main_net"))
 
 
+def bars_and_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with main_net, from one pass and one shuffle."""
+    items = table(spark, sf_dir, "lineitem")
+    px = F.col("l_extendedprice") / F.col("l_quantity")
+    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    signed = F.when(F.col("l_returnflag") == "R", -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice"))
+    return items.groupBy(F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("code"), F.col("l_shipdate").cast("date").alias("trade_date")).agg(
+        F.min_by(px, order).alias("open"), F.max(px).alias("high"), F.min(px).alias("low"), F.max_by(px, order).alias("close"), F.sum("l_quantity").alias("volume"), F.round(F.sum("l_extendedprice"), 2).alias("amount"), F.round(F.sum(signed), 2).alias("main_net")
+    )
+
+
 def stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """code, name, board, region, profit, circ_mv_yi, debt_ratio: one row per supplier."""
     s, n, r = (table(spark, sf_dir, x) for x in ("supplier", "nation", "region"))

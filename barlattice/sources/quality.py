@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barlattice.functions.scalars import number
+
 
 def assess(df: DataFrame, fields: list[str], day_col: str | None = None, day: str | None = None, most_missing: float = 0.3) -> DataFrame:
     """One row: row_count, n_<field>, missing_<field>, date_match, status (failed without rows, degraded with too many nulls or another day)."""
@@ -71,3 +73,11 @@ def parse_quote_lines(lines: DataFrame, separator: str = "~", fields: int = 5) -
     d = lines.withColumn("p", parts).where(F.size("p") >= fields)
     num = lambda k: F.get("p", F.lit(k)).try_cast("double")
     return d.select(F.get("p", F.lit(0)).alias("name"), F.get("p", F.lit(1)).alias("code"), num(2).alias("price"), (num(3) * 100).alias("volume"), (num(4) * 1e4).alias("amount"))
+
+
+def turnover_fields(df: DataFrame, column: str | None, source: str = "") -> DataFrame:
+    """Adds turnover_rate, turnover_missing, turnover_source, turnover_status: a missing turnover is said to be missing, not 0. column: where it is (`scalars.resolve`), None for nowhere."""
+    value = number(F.col(f"`{column}`").cast("string")) if column else F.lit(None).cast("double")
+    out = df.withColumn("turnover_rate", value)
+    missing = F.col("turnover_rate").isNull()
+    return out.withColumns({"turnover_missing": missing, "turnover_source": F.lit((source or column) if column else "missing"), "turnover_status": F.when(missing, "missing").otherwise("ok")})

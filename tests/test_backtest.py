@@ -7,7 +7,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from barlattice.plans import registry
+from pyspark.sql import functions as F
+
+from barlattice.operators import evaluation as e
+from barlattice.plans import evaluation, registry
 from barlattice.plans.common import with_ctes
 from barlattice.plans.market import TEMP
 
@@ -76,3 +79,34 @@ def test_sweep_is_the_ledger_of_all_signals(spark, request, where):
         assert got[grid][:2] == (trades, wins), grid
         assert got[grid][2] == pytest.approx(equity, abs=0.02), grid
     assert len({got[g][0] for g in got if g.startswith("temp30") and g.endswith("hold10")}) == 3
+
+
+def test_trade_log_and_equity_curve_by_hand(spark):
+    """Two trades walked by hand: one meets its target at a close, one expires; the curve marks both at each day's close."""
+    day = lambda k: dt.date(2024, 1, k)
+    prices = {"a": [(2, 10.0, 10.0), (3, 10.0, 11.0), (4, 11.0, 14.0), (5, 15.0, 15.0), (8, 15.0, 15.0)], "b": [(2, 20.0, 20.0), (3, 20.0, 21.0), (5, 22.0, 22.0), (8, 21.0, 19.0)]}
+    bars = spark.createDataFrame([(c, day(k), o, x) for c, rows in prices.items() for k, o, x in rows], "code string, trade_date date, open double, close double")
+    told = spark.createDataFrame([("g", "a", day(2), 90.0, 8.0, 13.0, 3), ("g", "b", day(2), 80.0, 10.0, 99.0, 2), ("idle", "a", day(8), 90.0, 8.0, 13.0, 3), ("poor", "a", day(2), 90.0, 8.0, 13.0, 3)], "grid string, code string, trade_date date, score double, stop double, target double, hold int")
+    paths = e.trade_paths(told.drop("hold"), bars, 3).join(told.select("grid", "code", "trade_date", "hold"), ["grid", "code", "trade_date"]).withColumn("path", F.slice("path", 1, F.col("hold") + 1))
+    log = e.trade_log(paths.where("grid <> 'poor'"), cash=10_000.0, slots=2)
+    got = {r["code"]: r for r in log.collect()}
+    assert set(got) == {"a", "b"}
+    a, b = got["a"], got["b"]
+    assert (a["fill_day"], a["out_day"], a["shares"], a["reason"], a["holding_bars"], a["exit_price"]) == (day(3), day(4), 400, "target", 1, 14.0)
+    assert (b["fill_day"], b["out_day"], b["shares"], b["reason"], b["holding_bars"], b["exit_price"]) == (day(3), day(8), 200, "expiry", 2, 21.0)
+    cash = 10_000 - 400 * 10.01 * 1.0003 - 200 * 20.02 * 1.0003
+    back = 400 * 14 * 0.999 * (1 - 0.0013)
+    want = {day(3): cash + 400 * 11 + 200 * 21, day(4): cash + back + 200 * 21, day(5): cash + back + 200 * 22, day(8): cash + back + 200 * 21 * 0.999 * (1 - 0.0013)}
+    curve = {r["trade_date"]: r["equity"] for r in e.equity_curve(log, bars, 10_000.0).collect()}
+    assert set(curve) == set(want) and all(curve[k] == pytest.approx(v) for k, v in want.items())
+    stats = e.trade_stats(log).first()
+    assert (stats["trades"], stats["win_rate"], stats["n_target"], stats["n_expiry"], stats["n_stop"]) == (2, 1.0, 1, 1, 0) and stats["profit_factor"] is None
+    assert [tuple(r) for r in e.backtest(paths.where("grid = 'poor'"), cash=100.0).select("grid", "trades", "final_equity").collect()] == [("poor", 0, 100.0)]
+
+
+def test_curves_end_where_the_ledger_does(spark, crowded):
+    log = e.trade_log(evaluation.signals(spark, crowded))
+    bars = evaluation.a.bars(spark, crowded).select("code", "trade_date", "close")
+    last = {r["grid"]: r["x"] for r in e.equity_curve(log, bars).groupBy("grid").agg(F.max_by(F.struct("equity", "market_value"), "trade_date").alias("x")).collect()}
+    totals = {r["grid"]: r["final_equity"] for r in e.backtest(evaluation.signals(spark, crowded)).collect()}
+    assert last and all(x["market_value"] == pytest.approx(0, abs=0.01) and totals[g] == pytest.approx(x["equity"], abs=0.01) for g, x in last.items())

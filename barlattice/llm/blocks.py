@@ -21,19 +21,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlattice.llm import textcore as tc
-from barlattice.llm.common import by_value, materialise, scratch_path
+from barlattice.llm.common import by_value, materialise, scratch_path, small_batches
 from barlattice.llm.grouped import by_runs
 
 by_value(__name__)
 
 BLOCK_BYTES = 4 << 20
-#: Batches between the JVM and Python hold at most so many bytes of whole rows (a few blocks).
-BATCH_BYTES = 12 << 20
 KEYS_PER_BUCKET = 1_500_000
+#: Text that one bucket of the table holds, about; how many times larger text is than its files; Spark's own limit of buckets.
+BUCKET_BYTES, PACKED, MOST_BUCKETS = 8 << 20, 2, 100_000
 
 BLOCKS = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("offsets", pa.binary()), ("data", pa.binary()), ("n_bytes", pa.int64())])
 
@@ -68,17 +68,18 @@ def blocker(block_bytes: int):
     return run
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Rows of blocks are large: bound the bytes of Arrow batches in this session, where they aren't bounded tighter already."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
+def bucket_count(docs: DataFrame) -> int:
+    """So many buckets that each has about BUCKET_BYTES of text, by the size of the input's files; as many as shuffles have partitions where the input is no table of files."""
+    spark = docs.sparkSession
+    stored = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    by_files = math.ceil(PACKED * stored / BUCKET_BYTES) if stored < 1 << 56 else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(MOST_BUCKETS, max(8, by_files))
 
 
 def make_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, buckets: int | None = None) -> tuple[DataFrame, int]:
-    """Table of blocks: block, ids, offsets, data, n_bytes; and the bytes of all texts. Null text counts as empty. The table lives in the shared folder; by default it has as many buckets as shuffles have partitions."""
+    """Table of blocks: block, ids, offsets, data, n_bytes; and the bytes of all texts. Null text counts as empty. The table lives in the shared folder; its buckets grow with the input (`bucket_count`)."""
     spark = docs.sparkSession
-    buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or bucket_count(docs)
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     packed = texts.mapInArrow(blocker(block_bytes), "block long, ids array<long>, offsets binary, data binary, n_bytes long")

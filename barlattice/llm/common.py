@@ -18,10 +18,23 @@ def by_value(module_name: str) -> None:
 by_value(__name__)
 
 
+#: Batches between the JVM and Python hold at most so many bytes of whole rows (a few blocks, some thousands of texts).
+BATCH_BYTES = 12 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows of texts and blocks are large: bound the bytes of Arrow batches in this session, where they aren't bounded tighter already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir; a folder of this machine only where none is named (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         named = f"file://{tempfile.gettempdir()}/barlattice-scratch"
     return named.rstrip("/")
 

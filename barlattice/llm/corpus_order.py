@@ -36,7 +36,7 @@ def triggers(data: np.ndarray, offsets: np.ndarray, phrase: int) -> np.ndarray:
 
 def ranks(keys: np.ndarray) -> np.ndarray:
     """How many keys are smaller, for each."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     at, run = tc.sorted_runs(keys[order])
     out = np.empty(len(keys), dtype=np.int64)
     out[order] = np.repeat(at, run)
@@ -53,7 +53,7 @@ def refine(rank: np.ndarray, active: np.ndarray, minor: np.ndarray) -> np.ndarra
     if not len(active):
         return active
     key = (rank[active].astype(np.uint64) << np.uint64(32)) | minor.astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key, at = key[order], active[order]
     top = key >> np.uint64(32)
     fresh = np.concatenate([[True], key[1:] != key[:-1]])
@@ -120,7 +120,7 @@ def suffix_order(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, phra
     k = np.searchsorted(heads, starts, side="right") - 1
     then = np.where(left[k] > 1, follows[np.minimum(k + 1, len(heads) - 1)] + 1, 0)
     key = (suffix[first[ids[k]] + starts - heads[k]].astype(np.uint64) << np.uint64(32)) | then.astype(np.uint64)
-    return starts[np.argsort(key, kind="stable")]
+    return starts[np.argsort(key)]
 
 
 def common_prefixes(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray, limit: int) -> np.ndarray:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlattice.llm import textcore as tc
-from barlattice.llm.common import by_value, discard, free_name, materialise
+from barlattice.llm.common import by_value, discard, free_name, materialise, small_batches
 from barlattice.llm.components import components
 from barlattice.llm.grouped import by_runs
 
@@ -305,7 +305,7 @@ def forest(classes: DataFrame, similarity: float, trees: int, depth: int, recall
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id it is linked to over any number of links), n_links (documents at the similarity or more), n_copies, copy_id."""
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialise(texts.mapInArrow(signer(trees, depth), "doc_id long, d1 long, d2 long, sig binary"), "signed")
     classes = signed.where("sig is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlattice.llm import textcore as tc
-from barlattice.llm.common import by_value, materialise
+from barlattice.llm.common import by_value, materialise, small_batches
 
 by_value(__name__)
 
@@ -221,6 +221,7 @@ def scorer(w: np.ndarray, b: float, known: dict[int, float], prior: float):
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> dict:
     """The model: labeller accuracies, posteriors by pattern and the scorer's weights."""
+    small_batches(docs.sparkSession)
     keyed = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     voted = materialise(keyed.mapInArrow(patterns, "key long, pattern long"), "votes")
     rows = voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()

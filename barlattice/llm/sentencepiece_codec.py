@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlattice.llm import textcore as tc
-from barlattice.llm.common import by_value
+from barlattice.llm.common import by_value, small_batches
 
 by_value(__name__)
 
@@ -39,7 +39,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE_MARK = "▁"
 #: Units whose segmentation a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 UNIT = re.compile(" +[^ ]*")
 
 
@@ -218,6 +218,7 @@ def decoder(raw):
 
 def shared_model(df: DataFrame, model_path: str):
     """The model file's bytes, read once by the driver and sent to all executors; such files have a few MB at most."""
+    small_batches(df.sparkSession)
     with open(model_path, "rb") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
 

@@ -4,7 +4,8 @@
    `phrase` bytes each), so equal strings are cut alike wherever they stand. One exchange of phrase hashes tells each
    block how often its phrases occur in the corpus. A string that occurs twice has the same phrases inside both times,
    so starts whose next `short` bytes hold a phrase that occurs once are settled. (A hash that two phrases share only
-   leaves more starts open: no result depends on hashes here.)
+   leaves more starts open: no result depends on hashes here.) Where these bytes hold no whole phrase, the phrases of a
+   denser parse take their place.
 2. Shares. An open start belongs to its anchor: the rarest of the whole phrases in its next `short` bytes. The anchor
    depends on these bytes alone, so equal strings share it. Runs of starts with one anchor are sent, as one string of
    the text that reaches `length` bytes beyond the last of them, to the task of their anchor; equal ones once a block.
@@ -44,6 +45,8 @@ LENGTH = 400
 SHORT = 200
 WORDS = 50
 PHRASE = 24
+#: How much denser the triggers of the second parse are, and what sets its phrases apart.
+DENSER, FINE = 4, np.uint64(0xA24BAED4963EE407)
 GRAM = co.GRAM
 #: An anchor phrase in more places than this is hot.
 HOT = 1 << 13
@@ -71,49 +74,76 @@ class Texts:
         return out
 
 
+class Level:
+    """The phrases of one density of triggers, and the runs of starts in some ranges whose next `short` bytes hold the same ones."""
+
+    def __init__(self, at: np.ndarray, first: np.ndarray, past: np.ndarray, short: int) -> None:
+        """at: triggers; first, past: the ranges of starts, ascending; windows of starts in a range stay in one text.
+
+        A start's triggers change where its first is passed and where a further one comes in."""
+        self.at = at
+        cuts = np.concatenate([first, at + 1, at + GRAM - short])
+        of = np.searchsorted(first, cuts, side="right") - 1
+        inside = of >= 0
+        inside[inside] = cuts[inside] < past[of[inside]]
+        self.start = distinct_sorted(cuts[inside])
+        self.stop = np.minimum(np.append(self.start[1:], np.iinfo(np.int64).max), past[np.searchsorted(first, self.start, side="right") - 1]) if len(self.start) else self.start
+        # phrase k runs from trigger k to trigger k + 1; a to z - 1 are whole in the windows of a run
+        self.a = np.searchsorted(at, self.start)
+        self.z = np.searchsorted(at, self.start + short - GRAM, side="right") - 1
+        self.none = self.z <= self.a
+        some = ~self.none
+        mark = np.bincount(self.a[some], minlength=len(at) + 1) - np.bincount(self.z[some], minlength=len(at) + 1)
+        #: The phrases that any of the windows holds whole.
+        self.held = np.flatnonzero(np.cumsum(mark)[: len(at)] > 0)
+
+    def ranges_of_none(self) -> tuple[np.ndarray, np.ndarray]:
+        start, stop = self.start[self.none], self.stop[self.none]
+        head = np.concatenate([[True], start[1:] != stop[:-1]]) if len(start) else np.zeros(0, dtype=bool)
+        return start[head], stop[np.append(np.flatnonzero(head)[1:], len(start)) - 1] if len(start) else stop
+
+    def anchors(self, value: np.ndarray) -> np.ndarray:
+        """The least value of the phrases of each run that has any. value: by held phrase."""
+        full = np.full(len(self.at) + 1, np.iinfo(np.uint64).max, dtype=np.uint64)
+        full[self.held] = value
+        return range_min(full, self.a[~self.none], self.z[~self.none])
+
+
 class Parsed(Texts):
-    """Phrases of some texts, and the starts that may repeat."""
+    """Phrases of some texts, and the starts that may repeat. Where the next bytes hold no whole phrase, phrases of a denser parse serve."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, phrase: int, powers: tc.Powers) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, short: int, phrase: int, powers: tc.Powers) -> None:
         super().__init__(data, offsets)
-        self.roll = tc.Rolling(data, powers)
-        self.at = co.triggers(data, offsets, phrase)
-        self.of = np.searchsorted(offsets, self.at, side="right") - 1
-        # phrase k runs from trigger k to trigger k + 1, where both are in one text
-        self.whole = np.flatnonzero(self.of[1:] == self.of[:-1]) if len(self.at) else np.zeros(0, dtype=np.int64)
-        self.keys = self.roll(self.at[self.whole], self.at[self.whole + 1])
-
-    def slots(self, short: int, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """First start, end of starts, anchor and its level of the open runs. level: by phrase, logarithm of its count, 0 for one that occurs once.
-
-        A start's triggers change where its first is passed and where a further one comes in; in between its phrases and so its anchor stay."""
-        first, past = self.offsets[:-1], self.offsets[1:] - short + 1
+        roll = tc.Rolling(data, powers)
+        first, past = offsets[:-1], offsets[1:] - short + 1
         long = past > first
-        first, past = first[long], past[long]
-        own_first, own_past = self.offsets[self.of], self.offsets[self.of + 1] - short + 1
-        cuts = np.concatenate([first, self.at + 1, self.at + GRAM - short])
-        low, high = np.concatenate([first, own_first, own_first]), np.concatenate([past, own_past, own_past])
-        cuts = np.unique(cuts[(cuts >= low) & (cuts < high)])
-        if not len(cuts):
-            return cuts, cuts, cuts.astype(np.uint64), cuts
-        text = np.searchsorted(self.offsets, cuts, side="right") - 1
-        stop = np.minimum(np.append(cuts[1:], np.iinfo(np.int64).max), self.offsets[text + 1] - short + 1)
-        a = np.searchsorted(self.at, cuts)
-        z = np.searchsorted(self.at, cuts + short - GRAM, side="right") - 1
-        # phrases a to z - 1 are whole; the least value among them is the rarest phrase
-        value = np.full(len(self.at) + 1, np.iinfo(np.uint64).max, dtype=np.uint64)
-        value[self.whole] = (level.astype(np.uint64) << np.uint64(56)) | (tc.mix(self.keys) >> np.uint64(8))
-        none = z <= a
-        anchor = range_min(value, np.where(none, 0, a), np.where(none, 1, z))
-        anchor[none] = np.uint64(0xFF) << np.uint64(56)
-        rare = (anchor >> np.uint64(56)).astype(np.int64)
-        open_ = rare > 0
-        cuts, stop, anchor, rare = cuts[open_], stop[open_], anchor[open_], rare[open_]
-        if not len(cuts):
-            return cuts, stop, anchor, rare
-        new = np.concatenate([[True], (cuts[1:] != stop[:-1]) | (anchor[1:] != anchor[:-1]) | (text[open_][1:] != text[open_][:-1])])
-        head = np.flatnonzero(new)
-        return cuts[head], stop[np.append(head[1:], len(cuts)) - 1], anchor[head], rare[head]
+        coarse = Level(co.triggers(data, offsets, phrase), first[long], past[long], short)
+        fine = Level(co.triggers(data, offsets, max(2, phrase // DENSER)), *coarse.ranges_of_none(), short)
+        self.levels = (coarse, fine)
+        self.keys = np.concatenate([roll(x.at[x.held], x.at[x.held + 1]) ^ salt for x, salt in zip(self.levels, (np.uint64(0), FINE), strict=True)])
+
+    def runs(self, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First start, end of starts, anchor and its level of the open runs. level: by key, the logarithm of its count, 0 for one that occurs once."""
+        value = (level.astype(np.uint64) << np.uint64(56)) | (tc.mix(self.keys) >> np.uint64(8))
+        coarse, fine = self.levels
+        n = len(coarse.held)
+        bare = np.full(int(fine.none.sum()), np.uint64(0xFF) << np.uint64(56))
+        start = np.concatenate([coarse.start[~coarse.none], fine.start[~fine.none], fine.start[fine.none]])
+        stop = np.concatenate([coarse.stop[~coarse.none], fine.stop[~fine.none], fine.stop[fine.none]])
+        anchor = np.concatenate([coarse.anchors(value[:n]), fine.anchors(value[n:]), bare])
+        order = np.argsort(start, kind="stable")
+        order = order[anchor[order] >> np.uint64(56) > 0]
+        start, stop, anchor = start[order], stop[order], anchor[order]
+        if not len(start):
+            return start, stop, anchor, start
+        text = np.searchsorted(self.offsets, start, side="right")
+        head = np.flatnonzero(np.concatenate([[True], (start[1:] != stop[:-1]) | (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
+        return start[head], stop[np.append(head[1:], len(start)) - 1], anchor[head], (anchor[head] >> np.uint64(56)).astype(np.int64)
+
+
+def distinct_sorted(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def range_min(value: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -138,15 +168,6 @@ def expanded(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
-def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys of all parts, with summed counts."""
-    flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
-    order = np.argsort(flat, kind="stable")
-    at, _ = tc.sorted_runs(flat[order])
-    total = np.add.reduceat(np.concatenate(counts)[order], at) if len(at) else np.zeros(0, dtype=np.int64)
-    return flat[order[at]], total.astype(np.uint32)
-
-
 def count_levels(first: np.ndarray, second: np.ndarray, lead: np.ndarray) -> bytes:
     """The logarithm of each count, cut to a whole number: 0 for what occurs once."""
     return bl.pack_counts(np.log2(np.maximum(first, 1)).astype(np.uint32))
@@ -157,7 +178,7 @@ class Strings:
 
     def __init__(self, rounds: Rounds, row: dict) -> None:
         parts = list(rounds.parts(row))
-        told = np.unique(np.concatenate([p.keys for p in parts])) if parts else np.zeros(0, dtype=np.uint64)
+        told = distinct_sorted(np.concatenate([p.keys for p in parts])) if parts else np.zeros(0, dtype=np.uint64)
         level = np.concatenate([bl.unpack_counts(c)[0] for c in row["replies"][0]] or [np.zeros(0, dtype=np.uint32)])
         self.parts = parts
         #: By part: first start, end of starts, number of the string.
@@ -167,7 +188,7 @@ class Strings:
         twice: list[bool] = []
         hot: list[bool] = []
         for p in parts:
-            start, stop, anchor, rare = p.slots(rounds.short, level[np.searchsorted(told, p.keys)])
+            start, stop, anchor, rare = p.runs(level[np.searchsorted(told, p.keys)])
             end = np.minimum(stop - 1 + rounds.length, p.offsets[np.searchsorted(p.offsets, start, side="right")])
             raw = p.data.tobytes()
             number = np.empty(len(start), dtype=np.int64)
@@ -201,12 +222,12 @@ class Rounds:
     def parts(self, row: dict) -> Iterator[Parsed]:
         _, data, offsets = bl.docs_of(row)
         for _, _, part, off in bl.pieces_of(data, offsets, PART):
-            yield Parsed(part, off, self.phrase, self.powers)
+            yield Parsed(part, off, self.short, self.phrase, self.powers)
 
     def phrases(self, row: dict) -> tuple:
-        found = [np.unique(p.keys, return_counts=True) for p in self.parts(row)]
-        key, n = merged([k for k, _ in found], [c for _, c in found])
-        return key, n, np.zeros(len(n), dtype=np.uint32)
+        keys = np.sort(np.concatenate([p.keys for p in self.parts(row)]))
+        at, n = tc.sorted_runs(keys)
+        return keys[at], n.astype(np.uint32), np.zeros(len(n), dtype=np.uint32)
 
     def sender(self, bits: int):
         """Cold strings go to the share of their anchor, the digests of hot ones' starts to that of their first bits."""
@@ -298,6 +319,8 @@ class Rounds:
         at, run = tc.sorted_runs(anchors[order])
         alone = np.zeros(len(strings), dtype=bool)
         alone[order[at[run == 1]]] = True
+        if len(at):  # nor does an anchor matter whose strings all come twice
+            alone[order] |= np.repeat(np.minimum.reduceat(times[order], at) > 1, run)
         single = np.flatnonzero(alone & (times < 2))
         alone[single[self.repeat_inside([strings[j][1] for j in single])]] = False
         pick = np.flatnonzero(~alone)
@@ -315,7 +338,7 @@ class Rounds:
         """Whether the eight bytes at any trigger of a string come twice in it; equal strings in one have all triggers in common."""
         data = np.frombuffer(b"".join(strings), dtype=np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in strings])]).astype(np.int64)
-        at = co.triggers(data, offsets, self.phrase)
+        at = co.triggers(data, offsets, max(2, self.phrase // DENSER))
         gram, of = tc.eights(data)[at], np.searchsorted(offsets, at, side="right") - 1
         order = np.lexsort((gram, of))
         same = (gram[order][1:] == gram[order][:-1]) & (of[order][1:] == of[order][:-1])

@@ -139,10 +139,13 @@ def first_true(*cases: tuple[Column, object], default: object = None) -> Column:
 
 #: Labelled half-open bins of the calibration's features: (upper bound, label).
 BINS: dict[str, list[tuple[float | None, str]]] = {
-    "rps": [(60.0, "<60"), (70.0, "60-70"), (80.0, "70-80"), (90.0, "80-90"), (95.0, "90-95"), (None, "95+")],
-    "ret20": [(-0.1, "<-10%"), (0.0, "-10-0%"), (0.1, "0-10%"), (0.3, "10-30%"), (None, "30%+")],
-    "volume_ratio": [(0.8, "<0.8"), (1.2, "0.8-1.2"), (2.0, "1.2-2"), (None, "2+")],
-    "atr_share": [(0.02, "<2%"), (0.05, "2-5%"), (None, "5%+")],
+    "rps": [(60.0, "<60"), (70.0, "60-70"), (80.0, "70-80"), (90.0, "80-90"), (95.0, "90-95"), (None, "95-100")],
+    "ret20": [(-0.1, "<-10"), (-0.05, "-10--5"), (0.0, "-5-0"), (0.05, "0-5"), (0.1, "5-10"), (0.2, "10-20"), (None, "20+")],
+    "volume_ratio": [(1.0, "<1.0"), (1.5, "1.0-1.5"), (2.5, "1.5-2.5"), (5.0, "2.5-5"), (None, "5+")],
+    "atr_share": [(0.02, "<2"), (0.04, "2-4"), (0.07, "4-7"), (0.12, "7-12"), (None, "12+")],
+    "inflow_days": [(1.0, "0"), (2.0, "1"), (3.0, "2"), (4.0, "3"), (5.0, "4"), (None, "5")],
+    "ma_bull": [(1.0, "0"), (None, "1")],
+    "breakout": [(1.0, "0"), (None, "1")],
 }
 
 

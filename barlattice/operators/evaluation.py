@@ -11,9 +11,15 @@ from pyspark.sql import functions as F
 from barlattice.functions.scalars import BINS, bin_of, ratio, wilson
 
 
+def binned_features() -> dict[str, Column]:
+    """The seven features of calibration, by the names of their bins."""
+    yes = lambda test: F.when(test, 1.0).otherwise(0.0)
+    return {"rps": F.col("rps"), "ret20": F.col("ret20"), "volume_ratio": F.col("volume_ratio_prev"), "atr_share": ratio(F.col("atr14"), F.col("close")), "inflow_days": F.col("inflow_days"), "ma_bull": yes((F.col("ma5") > F.col("ma10")) & (F.col("ma10") > F.col("ma20"))), "breakout": yes((F.col("prior_n") == 20) & (F.col("close") > F.col("prior_high20")))}
+
+
 def observations(f: DataFrame, horizons: tuple[int, ...] = (5, 10)) -> DataFrame:
     """One row per bar, horizon and feature: its bin and the forward return; f has the features and fwd_ret<h>."""
-    feats = {"rps": F.col("rps"), "ret20": F.col("ret20"), "volume_ratio": F.col("volume_ratio_prev"), "atr_share": ratio(F.col("atr14"), F.col("close"))}
+    feats = binned_features()
     binned = f.withColumns({f"b_{k}": bin_of(c, BINS[k]) for k, c in feats.items()})
     parts = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(k).alias("feature"), F.col(f"b_{k}").alias("bin"), F.col(f"fwd_ret{h}").alias("ret")) for h in horizons for k in feats])
     return binned.select(F.explode(parts).alias("x")).select("x.*").where("bin IS NOT NULL AND ret IS NOT NULL")
@@ -32,7 +38,7 @@ def predict(rows: DataFrame, bins: DataFrame, base: DataFrame, horizon: int = 5)
 
     The bins are a few dozen rows whatever the input, so they are broadcast.
     """
-    feats = {"rps": F.col("rps"), "ret20": F.col("ret20"), "volume_ratio": F.col("volume_ratio_prev"), "atr_share": ratio(F.col("atr14"), F.col("close"))}
+    feats = binned_features()
     long = rows.select("code", F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), bin_of(c, BINS[k]).alias("bin")) for k, c in feats.items()])).alias("x")).select("code", "x.*")
     known = bins.where(F.col("horizon") == horizon).select("feature", "bin", "n", "up_share", "mean", (F.sqrt("n") / (F.col("ci_high") - F.col("ci_low") + 0.05)).alias("w"))
     met = long.join(F.broadcast(known), ["feature", "bin"]).groupBy("code").agg(ratio(F.sum(F.col("up_share") * F.col("w")), F.sum("w")).alias("p"), ratio(F.sum(F.col("mean") * F.col("w")), F.sum("w")).alias("e"), F.max("n").alias("n"))

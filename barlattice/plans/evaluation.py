@@ -21,8 +21,9 @@ def bin_sql(x: str, name: str) -> str:
     return "CASE " + " ".join(f"WHEN {x} < {hi} THEN '{label}'" if hi is not None else f"WHEN {x} IS NOT NULL THEN '{label}'" for hi, label in BINS[name]) + " END"
 
 
-FEATS = {"rps": "rps", "ret20": "ret20", "volume_ratio": "volume_ratio_prev", "atr_share": "atr14 / nullif(close, 0)"}
-AHEAD = """ahead AS (SELECT code, trade_date, """ + ", ".join(f"CASE WHEN count(close) OVER (c ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) = {h} THEN lead(close, {h}) OVER c / close - 1 END AS fwd_ret{h}" for h in (5, 10)) + """ FROM bars WINDOW c AS (PARTITION BY code ORDER BY trade_date)), ob AS (SELECT * FROM rps JOIN ahead USING (code, trade_date))"""
+FEATS = {"rps": "rps", "ret20": "ret20", "volume_ratio": "volume_ratio_prev", "atr_share": "atr14 / nullif(close, 0)", "inflow_days": "inflow_days", "ma_bull": "CASE WHEN ma5 > ma10 AND ma10 > ma20 THEN 1 ELSE 0 END", "breakout": "CASE WHEN prior_n = 20 AND close > prior_high20 THEN 1 ELSE 0 END"}
+IN_DAYS = "ind AS (SELECT code, trade_date, CASE WHEN main_net > 0 THEN count(*) FILTER (main_net > 0) OVER (PARTITION BY code, island ORDER BY trade_date) ELSE 0 END AS inflow_days FROM (SELECT *, sum(CASE WHEN main_net > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY code ORDER BY trade_date) AS island FROM flows)), "
+AHEAD = IN_DAYS + """ahead AS (SELECT code, trade_date, """ + ", ".join(f"CASE WHEN count(close) OVER (c ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) = {h} THEN lead(close, {h}) OVER c / close - 1 END AS fwd_ret{h}" for h in (5, 10)) + """ FROM bars WINDOW c AS (PARTITION BY code ORDER BY trade_date)), ob AS (SELECT * FROM rps JOIN ahead USING (code, trade_date) JOIN ind USING (code, trade_date))"""
 LONG = "lo AS (" + " UNION ALL ".join(f"SELECT {h} AS horizon, '{k}' AS feature, {bin_sql(x, k)} AS bin, fwd_ret{h} AS ret FROM ob WHERE fwd_ret{h} IS NOT NULL AND ({x}) IS NOT NULL" for h in (5, 10) for k, x in FEATS.items()) + ")"
 
 
@@ -33,20 +34,20 @@ def stats_sql(keys: str, source: str) -> str:
 
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features, strength and forward returns: one shuffle by code, one by day."""
-    f = w.features(a.bars(spark, sf_dir)).withColumns({k: c for h in (5, 10) for k, c in w.forward(h).items() if k.startswith("fwd_ret")})
-    return w.rps(f)
+    f = w.features(a.bars_and_flows(spark, sf_dir)).withColumns({k: c for h in (5, 10) for k, c in w.forward(h).items() if k.startswith("fwd_ret")})
+    return w.rps(w.streak(f, F.col("main_net") > 0, "inflow_days"))
 
 
 def shown(g: DataFrame, *keys: str) -> DataFrame:
     return g.select(*keys, F.col("n").cast("double"), F.col("ups").cast("double"), r("mean"), r("sd", 4), r("ci_low"), r("ci_high"))
 
 
-@add("calibration_bins", with_ctes("rps", more=AHEAD + ", " + LONG) + stats_sql("horizon, feature, bin", "lo"))
+@add("calibration_bins", with_ctes("rps", "flows", more=AHEAD + ", " + LONG) + stats_sql("horizon, feature, bin", "lo"))
 def calibration_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(e.bin_stats(e.observations(observed(spark, sf_dir)), "horizon", "feature", "bin"), "horizon", "feature", "bin")
 
 
-@add("calibration_pairs", with_ctes("rps", more=AHEAD) + stats_sql("horizon, bin_x, bin_y", "(" + " UNION ALL ".join(f"SELECT {h} AS horizon, {bin_sql('rps', 'rps')} AS bin_x, {bin_sql('ret20', 'ret20')} AS bin_y, fwd_ret{h} AS ret FROM ob WHERE fwd_ret{h} IS NOT NULL" for h in (5, 10)) + ")"))
+@add("calibration_pairs", with_ctes("rps", "flows", more=AHEAD) + stats_sql("horizon, bin_x, bin_y", "(" + " UNION ALL ".join(f"SELECT {h} AS horizon, {bin_sql('rps', 'rps')} AS bin_x, {bin_sql('ret20', 'ret20')} AS bin_y, fwd_ret{h} AS ret FROM ob WHERE fwd_ret{h} IS NOT NULL" for h in (5, 10)) + ")"))
 def calibration_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = observed(spark, sf_dir).withColumn("bin_x", e.bin_of(F.col("rps"), BINS["rps"])).withColumn("bin_y", e.bin_of(F.col("ret20"), BINS["ret20"]))
     long = o.select("bin_x", "bin_y", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"fwd_ret{h}").alias("ret")) for h in (5, 10)])).alias("x")).select("bin_x", "bin_y", "x.*").where("ret IS NOT NULL")
@@ -61,7 +62,7 @@ def baseline(o: DataFrame) -> DataFrame:
     return e.bin_stats(long, "horizon")
 
 
-@add("calibration_baseline", with_ctes("rps", more=AHEAD) + stats_sql("horizon", BASE))
+@add("calibration_baseline", with_ctes("rps", "flows", more=AHEAD) + stats_sql("horizon", BASE))
 def calibration_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(baseline(observed(spark, sf_dir)), "horizon")
 
@@ -69,7 +70,7 @@ def calibration_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 PREDICT = AHEAD + ", " + LONG + ", st AS (SELECT *, ups / n AS share FROM (" + stats_sql("horizon, feature, bin", "lo").replace("round(mean, 6)", "mean").replace("round(greatest(0, ", "(greatest(0, ").replace("round(least(1, ", "(least(1, ").replace("), 6) AS ci", ")) AS ci") + ")), bs AS (SELECT horizon, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS bp, avg(ret) AS be FROM " + BASE + " GROUP BY 1), last AS (SELECT * FROM ob QUALIFY row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) = 1)"
 
 
-@add("predict_lookup", with_ctes("rps", more=PREDICT) + "SELECT code, round(p * (1 - k) + bp * k, 6) AS probability, round(x * (1 - k) + be * k, 6) AS expected FROM (SELECT code, sum(share * wt) / sum(wt) AS p, sum(mean * wt) / sum(wt) AS x, CASE WHEN max(n) < 30 THEN 0.6 WHEN max(n) < 100 THEN 0.3 ELSE 0.15 END AS k FROM (SELECT l.code, st.*, sqrt(n) / (ci_high - ci_low + 0.05) AS wt FROM (" + " UNION ALL ".join(f"SELECT code, '{k}' AS feature, {bin_sql(x, k)} AS bin FROM last" for k, x in FEATS.items()) + ") l JOIN st USING (feature, bin) WHERE horizon = 5) GROUP BY 1) CROSS JOIN (SELECT * FROM bs WHERE horizon = 5)")
+@add("predict_lookup", with_ctes("rps", "flows", more=PREDICT) + "SELECT code, round(p * (1 - k) + bp * k, 6) AS probability, round(x * (1 - k) + be * k, 6) AS expected FROM (SELECT code, sum(share * wt) / sum(wt) AS p, sum(mean * wt) / sum(wt) AS x, CASE WHEN max(n) < 30 THEN 0.6 WHEN max(n) < 100 THEN 0.3 ELSE 0.15 END AS k FROM (SELECT l.code, st.*, sqrt(n) / (ci_high - ci_low + 0.05) AS wt FROM (" + " UNION ALL ".join(f"SELECT code, '{k}' AS feature, {bin_sql(x, k)} AS bin FROM last" for k, x in FEATS.items()) + ") l JOIN st USING (feature, bin) WHERE horizon = 5) GROUP BY 1) CROSS JOIN (SELECT * FROM bs WHERE horizon = 5)")
 def predict_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = observed(spark, sf_dir)
     last = e.keep_last(o, ["code"], ["trade_date"])

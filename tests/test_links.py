@@ -8,7 +8,7 @@ def test_themes_industries_and_bounds(spark):
     df = spark.createDataFrame([("a、b,c",), ("x,y+z",), ("nan",), (None,), ("q" * 30,), ("--",)], "t string")
     assert [r[0] for r in df.select(links.theme(F.col("t"))).collect()] == ["a", "x,y", "", "", "q" * 18, "--"]
     assert spark.range(1).select(links.industry(F.lit("abc bank"), [("tech", ["chip"]), ("finance", ["bank"])])).first()[0] == "finance"
-    assert ("rps", "<60", None, 60.0) in links.bin_bounds(BINS) and ("rps", "95+", 95.0, None) in links.bin_bounds(BINS)
+    assert ("rps", "<60", None, 60.0) in links.bin_bounds(BINS) and ("rps", "95-100", 95.0, None) in links.bin_bounds(BINS)
 
 
 def test_json_and_finite(spark):

@@ -223,3 +223,34 @@ def factor_notes() -> tuple[Column, Column]:
 def executed(trades: DataFrame) -> DataFrame:
     """Sells with whether the stop or the target was what they met. trades: price, stop, target."""
     return trades.withColumns({"hit_stop": F.coalesce((F.col("stop") > 0) & (F.col("price") <= F.col("stop")), F.lit(False)), "hit_target": F.coalesce((F.col("target") > 0) & (F.col("price") >= F.col("target")), F.lit(False))})
+
+
+def point_in_time(bars: DataFrame, first: str, last: str, step: str = "INTERVAL 1 MONTH") -> DataFrame:
+    """day and each code's last bar up to it, for the days from first to last: what was known then. Days are few and go to each bar's own span; bars don't meet other bars."""
+    marks = bars.withColumn("_until", F.lead("trade_date").over(Window.partitionBy("code").orderBy("trade_date")))
+    days = F.expr(f"sequence(DATE '{first}', DATE '{last}', {step})")
+    own = F.filter(days, lambda x: (x >= F.col("trade_date")) & (F.col("_until").isNull() | (x < F.col("_until"))))
+    return marks.withColumn("day", F.explode(own)).drop("_until")
+
+
+def board_view(spot: DataFrame, stocks: DataFrame, *keys: str) -> DataFrame:
+    """Boards rebuilt from the bars of their stocks: n, up, mean change, amount; by keys and board."""
+    g = spot.join(stocks.select("code", "board"), "code").groupBy(*keys, "board")
+    return g.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pct_change") > 0).alias("up"), F.avg("pct_change").alias("mean_pct"), F.sum("amount").alias("amount"))
+
+
+def tag_strength(spot: DataFrame, tags: DataFrame) -> DataFrame:
+    """tag, n, up, mean_pct, amount, place: stocks counted under each of their tags. tags: code, tags array; a tag counts once a stock."""
+    long = spot.join(tags.select("code", F.explode(F.array_distinct("tags")).alias("tag")), "code")
+    g = long.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pct_change") > 0).alias("up"), F.avg("pct_change").alias("mean_pct"), F.sum("amount").alias("amount"))
+    return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean_pct"), "tag")))
+
+
+def posture(temperature: Column) -> Column:
+    """Cold under 40, hot over 85, else normal; null without a temperature."""
+    return F.when(temperature < 40, "cold").when(temperature > 85, "hot").when(temperature.isNotNull(), "normal")
+
+
+def broke_share(broken: Column, held: Column) -> Column:
+    """Broken seals of all seals, per cent: sum of broken over held and broken; null where nobody counted."""
+    return ratio(F.sum(broken), F.count(held) + F.sum(broken)) * 100

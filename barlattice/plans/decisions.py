@@ -12,7 +12,7 @@ from barlattice.operators import links, news, rules
 from barlattice.operators import windows as w
 from barlattice.plans.common import Catalogue, layered, r, with_ctes
 from barlattice.plans.evaluation import LEX, THEME_SQL, THEMES, lexed
-from barlattice.plans.market import DAY, POOL, pool
+from barlattice.plans.market import DAY, POOL, TEMP, pool, temperature
 from barlattice.plans.selection import BASE, GIVEN, WIDE_SQL, wide
 from barlattice.sources import adapters as a
 from barlattice.sources import quality as q
@@ -258,3 +258,72 @@ def candidate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = rules.derive(wide(spark, sf_dir), [*BASE, *rules.debate(), *rules.gate()])
     out = d.evidence_of(x.withColumns({"status": F.col("bucket"), "signal_score": F.col("rps"), "trigger": F.lit("rule"), "guarded": F.col("guard_status")}))
     return out.select("code", "status", "guarded_state", F.col("strategy_evidence.strategy").alias("strategy"), F.col("strategy_evidence.is_trend_only").alias("is_trend_only"), r("price_action.rps", alias="rps"), F.col("liquidity.turnover_missing").alias("turnover_missing"))
+
+
+@add("point_in_time", with_ctes("ch") + "SELECT d.day, b.code, CAST(b.trade_date AS VARCHAR) AS known, round(b.close, 6) AS close FROM (SELECT CAST(unnest(generate_series(DATE '1996-01-31', DATE '2001-01-31', INTERVAL 6 MONTH)) AS DATE) AS day) d CROSS JOIN (SELECT DISTINCT code FROM bars) c ASOF JOIN bars b ON b.code = c.code AND d.day >= b.trade_date")
+def point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d.point_in_time(a.bars(spark, sf_dir), "1996-01-31", "2001-01-31", "INTERVAL 6 MONTH").select("day", "code", F.col("trade_date").cast("string").alias("known"), r("close"))
+
+
+@add("point_in_time_boards", with_ctes("ch", "stocks") + "SELECT day, board, count(*) AS n, count(*) FILTER (pct_change > 0) AS up, round(avg(pct_change), 6) AS mean_pct, round(sum(amount), 2) AS amount FROM (SELECT d.day, b.* FROM (SELECT CAST(unnest(generate_series(DATE '1996-01-31', DATE '2001-01-31', INTERVAL 6 MONTH)) AS DATE) AS day) d CROSS JOIN (SELECT DISTINCT code FROM bars) c ASOF JOIN ch b ON b.code = c.code AND d.day >= b.trade_date) JOIN stocks USING (code) GROUP BY 1, 2")
+def point_in_time_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    then = d.point_in_time(a.changes(a.bars(spark, sf_dir)), "1996-01-31", "2001-01-31", "INTERVAL 6 MONTH")
+    return d.board_view(then, a.stocks(spark, sf_dir), "day").select("day", "board", "n", "up", r("mean_pct"), r("amount", 2))
+
+
+@add("tag_strength", with_ctes("spot") + ", t AS (SELECT code, board AS tag FROM spot UNION SELECT code, region FROM spot UNION SELECT code, CASE WHEN circ_mv_yi > 300 THEN 'large' ELSE 'small' END FROM spot) SELECT *, row_number() OVER (ORDER BY mean_pct DESC, tag) AS place FROM (SELECT tag, count(*) AS n, count(*) FILTER (pct_change > 0) AS up, round(avg(pct_change), 6) AS mean_pct, round(sum(amount), 2) AS amount FROM spot JOIN t USING (code) GROUP BY 1)")
+def tag_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spot = a.spot(spark, sf_dir)
+    tags = spot.select("code", F.array("board", "region", F.when(F.col("circ_mv_yi") > 300, "large").otherwise("small")).alias("tags"))
+    return d.tag_strength(spot.select("code", "pct_change", "amount"), tags).select("tag", "n", "up", r("mean_pct"), r("amount", 2), "place")
+
+
+@add("market_posture", with_ctes("ch", more=TEMP) + "SELECT trade_date, round(temperature, 6) AS temperature, CASE WHEN temperature < 40 THEN 'cold' WHEN temperature > 85 THEN 'hot' ELSE 'normal' END AS posture FROM tp")
+def market_posture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = temperature(spark, sf_dir)
+    return t.select("trade_date", r("temperature"), d.posture(F.col("temperature")).alias("posture"))
+
+
+@add("broke_share", "SELECT CAST(ts AS DATE) AS day, round(sum(broken) * 100.0 / (count(*) + sum(broken)), 6) AS broke_share FROM (SELECT ts, CASE WHEN day(ts) % 3 > 0 THEN event_id % 4 END AS broken FROM events) GROUP BY 1")
+def broke_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = a.table(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("day"), "event_id", F.when(F.day("ts") % 3 > 0, F.col("event_id") % 4).alias("broken"))
+    return x.groupBy("day").agg(d.broke_share(F.col("broken"), F.col("event_id")).alias("broke_share")).select("day", r("broke_share"))
+
+
+@add("theme_names", "SELECT s_suppkey AS key, CASE WHEN s_suppkey % 10 = 9 THEN '' ELSE substr('Theme ' || s_suppkey, 1, 18) END AS theme FROM supplier")
+def theme_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    rest = F.element_at(F.array(*[F.lit(x) for x in ("、b,c", ",b", "/b|c", " + d", "，x", ";y", "；z", "|w", "")]), (k % 9 + 1).cast("int"))
+    text = F.when(k % 10 == 9, F.when(k % 20 == 9, "NaN").otherwise(" - ")).otherwise(F.concat(F.lit(" Theme "), k.cast("string"), rest))
+    return a.table(spark, sf_dir, "supplier").select(k.alias("key"), links.theme(text).alias("theme"))
+
+
+@add("finite_values", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value END AS value FROM events")
+def finite_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") % 3
+    return links.finite(a.table(spark, sf_dir, "events").select("event_id", F.when(k == 0, F.col("value")).when(k == 1, F.lit(float("nan"))).otherwise(F.lit(float("-inf"))).alias("value")))
+
+
+@add("reply_verdicts", "SELECT s_suppkey AS key, CASE s_suppkey % 4 WHEN 3 THEN NULL WHEN 0 THEN 'watch' ELSE 'avoid' END AS verdict, CASE s_suppkey % 4 WHEN 3 THEN NULL ELSE CAST(s_suppkey % 100 AS DOUBLE) END AS confidence FROM supplier")
+def reply_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    n = (k % 100).cast("string")
+    text = F.when(k % 4 == 0, F.concat(F.lit('well: {"verdict": "watch", "confidence": '), n, F.lit("} so"))).when(k % 4 == 1, F.concat(F.lit("{verdict: 'avoid', confidence: "), n, F.lit("}"))).when(k % 4 == 2, F.concat(F.lit("verdict = avoid; confidence = "), n)).otherwise("no idea")
+    return a.table(spark, sf_dir, "supplier").select(k.alias("key"), links.verdict_json(text).alias("v")).select("key", "v.*")
+
+
+@add("quote_lines", "SELECT s_name AS name, lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code, CAST(s_suppkey AS DOUBLE) / 4 AS price, s_suppkey * 100.0 AS volume, CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey * 20000.0 END AS amount FROM supplier WHERE s_suppkey % 7 > 0")
+def quote_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    amount = F.when(k % 5 > 0, (k * 2).cast("string")).otherwise("--")
+    line = F.when(k % 7 > 0, F.concat_ws("~", "s_name", F.lpad(k.cast("string"), 6, "0"), (k / 4).cast("string"), k.cast("string"), amount)).otherwise(F.concat_ws("~", "s_name", F.lit("x")))
+    return q.parse_quote_lines(a.table(spark, sf_dir, "supplier").select(line.alias("value")))
+
+
+@add("inherited_evidence", with_ctes("stocks") + ", " + EVIDENCE_SQL.removeprefix("WITH ") + ", th AS (SELECT theme, score, row_number() OVER (ORDER BY theme) - 1 AS k FROM ev), m AS (SELECT count(*) AS n FROM ev), g AS (SELECT code FROM stocks, m JOIN th ON th.k = CAST(stocks.code AS INTEGER) % (2 * m.n) GROUP BY 1) SELECT code, CASE WHEN CAST(code AS INTEGER) % 4 = 0 THEN 'direct' ELSE 'inherited' END AS kind, CASE WHEN CAST(code AS INTEGER) % 4 = 0 THEN CAST(code AS DOUBLE) ELSE 50.0 END AS score FROM stocks WHERE CAST(code AS INTEGER) % 4 = 0 OR code IN (SELECT code FROM g)")
+def inherited_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = news.theme_evidence(lexed(spark, sf_dir), THEMES).select("theme", "score")
+    placed = found.withColumn("k", F.row_number().over(Window.orderBy("theme")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
+    code = a.stocks(spark, sf_dir).select("code", F.col("code").cast("int").alias("i"))
+    themes = code.join(F.broadcast(placed), F.expr("i % (2 * n) = k")).select("code", "theme")
+    return links.inherited(code.where("i % 4 = 0").select("code", F.col("i").cast("double").alias("score")), themes, found)

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from barlattice.functions.scalars import BINS
@@ -39,3 +41,12 @@ def test_markdown(spark):
     text = "intro\n## Robots\n| 600001 | up |\nand 1.600002\n### Chips\n000003, 000003\n"
     got = links.markdown_sections(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect()
     assert [(r["heading"], r["codes"]) for r in got] == [("", []), ("Robots", ["600001"]), ("Chips", ["000003"])]
+
+
+def test_links_by_grams_are_those_of_the_search(spark):
+    rnd = random.Random(2)
+    word = lambda n: "".join(rnd.choice("ab1") for _ in range(n))
+    names = spark.createDataFrame([(f"{k:06d}", word(rnd.randint(1, 6)) if k % 7 else None) for k in range(60)], "code string, name string")
+    docs = spark.createDataFrame([(k, None if k == 5 else word(rnd.randint(0, 40)) + (f" {k:06d} " if k % 3 else "")) for k in range(50)], "doc_id long, text string")
+    want = sorted(map(tuple, links.news_links(docs, names).collect()))
+    assert want and want == sorted(map(tuple, links.news_links(docs, names, few=0).collect()))

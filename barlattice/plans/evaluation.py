@@ -185,12 +185,16 @@ def theme_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRID = [(t, s, h) for t in (30, 40, 50) for s in (90, 95, 98) for h in (10, 20, 30)]
 
 
-def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: The usual grid of that kind, with strengths from 70 on.
+USUAL_GRID = [(t, s, h) for t in (30, 40, 50) for s in (70, 80, 90) for h in (10, 20, 30)]
+
+
+def signals(spark: SparkSession, sf_dir: str, points: list[tuple[int, int, int]] = GRID) -> DataFrame:
     """Every signal of every grid point: stocks at or over its strength on days at or over its temperature (a missing one counts 50)."""
-    f = w.rps(w.features(a.bars(spark, sf_dir))).where("rps >= 90 AND atr14 IS NOT NULL")
+    f = w.rps(w.features(a.bars(spark, sf_dir))).where((F.col("rps") >= min(s for _, s, _ in points)) & F.col("atr14").isNotNull())
     picked = f.select("code", "trade_date", F.col("rps").alias("score"), (F.col("close") * 0.9).alias("stop"), (F.col("close") * 1.3).alias("target"))
-    paths = e.trade_paths(picked, a.bars(spark, sf_dir), 30).join(temperature(spark, sf_dir).select("trade_date", "temperature"), "trade_date", "left")
-    grid = F.array(*[F.struct(F.lit(f"temp{t}_rps{s}_hold{h}").alias("grid"), F.lit(float(t)).alias("warm"), F.lit(float(s)).alias("least"), F.lit(h).alias("hold")) for t, s, h in GRID])
+    paths = e.trade_paths(picked, a.bars(spark, sf_dir), max(h for *_, h in points)).join(temperature(spark, sf_dir).select("trade_date", "temperature"), "trade_date", "left")
+    grid = F.array(*[F.struct(F.lit(f"temp{t}_rps{s}_hold{h}").alias("grid"), F.lit(float(t)).alias("warm"), F.lit(float(s)).alias("least"), F.lit(h).alias("hold")) for t, s, h in points])
     wide = paths.withColumn("g", F.explode(F.filter(grid, lambda g: (F.col("score") >= g["least"]) & (F.coalesce("temperature", F.lit(50.0)) >= g["warm"])))).select("*", "g.*")
     return wide.select("grid", "code", "trade_date", "score", "stop", "target", "hold", F.slice("path", 1, F.col("hold") + 1).alias("path"))
 
@@ -200,6 +204,11 @@ def backtest_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.backtest(signals(spark, sf_dir)).withColumn("final_equity", r("final_equity", 2))
 
 
+@add("backtest_sweep_usual")
+def backtest_sweep_usual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return e.backtest(signals(spark, sf_dir, USUAL_GRID)).withColumn("final_equity", r("final_equity", 2))
+
+
 @add("backtest_trades")
 def backtest_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every grid point's trades."""

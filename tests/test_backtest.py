@@ -30,7 +30,7 @@ def crowded(tmp_path_factory):
     return str(root)
 
 
-def brute(sf_dir):
+def brute(sf_dir, strengths=(90, 95, 98)):
     """Per grid point: trades, wins, equity; each day's candidates are walked in order, every one of them."""
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{sf_dir}/lineitem.parquet'")
@@ -38,10 +38,10 @@ def brute(sf_dir):
     for code, day, o, c in con.execute(with_ctes("bars") + "SELECT code, trade_date, open, close FROM bars ORDER BY 1, 2").fetchall():
         bars.setdefault(code, []).append((day, o, c))
     at = {(code, b[0]): k for code, path in bars.items() for k, b in enumerate(path)}
-    told = con.execute(with_ctes("rps", "ch", more=TEMP) + "SELECT trade_date, code, rps, close, coalesce(temperature, 50) FROM rps LEFT JOIN tp USING (trade_date) WHERE rps >= 90 AND atr14 IS NOT NULL ORDER BY trade_date, rps DESC, code").fetchall()
+    told = con.execute(with_ctes("rps", "ch", more=TEMP) + f"SELECT trade_date, code, rps, close, coalesce(temperature, 50) FROM rps LEFT JOIN tp USING (trade_date) WHERE rps >= {min(strengths)} AND atr14 IS NOT NULL ORDER BY trade_date, rps DESC, code").fetchall()
     out = {}
     for temp in (30, 40, 50):
-        for least in (90, 95, 98):
+        for least in strengths:
             for hold in (10, 20, 30):
                 money, held, trades, wins, any_signal = 1e6, [], 0, 0, False
                 for day, code, score, close, heat in told:
@@ -110,3 +110,10 @@ def test_curves_end_where_the_ledger_does(spark, crowded):
     last = {r["grid"]: r["x"] for r in e.equity_curve(log, bars).groupBy("grid").agg(F.max_by(F.struct("equity", "market_value"), "trade_date").alias("x")).collect()}
     totals = {r["grid"]: r["final_equity"] for r in e.backtest(evaluation.signals(spark, crowded)).collect()}
     assert last and all(x["market_value"] == pytest.approx(0, abs=0.01) and totals[g] == pytest.approx(x["equity"], abs=0.01) for g, x in last.items())
+
+
+def test_the_usual_grid(spark, crowded):
+    got = {r["grid"]: (r["trades"], r["wins"], r["final_equity"]) for r in registry.queries()["backtest_sweep_usual"](spark, crowded).collect()}
+    want = brute(crowded, (70, 80, 90))
+    assert set(got) == set(want) == {f"temp{t}_rps{s}_hold{h}" for t, s, h in evaluation.USUAL_GRID}
+    assert all(got[g][:2] == w[:2] and got[g][2] == pytest.approx(w[2], abs=0.02) for g, w in want.items())

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from barlattice.functions import scalars as s
 from barlattice.operators import decisions as d
-from barlattice.operators import evaluation as e
 from barlattice.operators import links, news, rules
 from barlattice.operators import windows as w
 from barlattice.plans.common import Catalogue, layered, r, with_ctes

@@ -121,11 +121,13 @@ def overlay(base: DataFrame, over: DataFrame, key: str, columns: list[str]) -> D
     return out.drop(*[f"_{c}" for c in columns])
 
 
-def short_line(p: DataFrame) -> DataFrame:
+def short_line(p: DataFrame, leaders: int = 8) -> DataFrame:
     """Per day of the limit-up pool: highest streak, how many with two and more, how many at one price all day, the first codes by streak."""
     one = F.abs(F.col("open") / F.col("close") - 1) <= 0.001
-    g = p.where("is_up").groupBy("trade_date").agg(F.max("streak").alias("highest"), F.count_if(F.col("streak") >= 2).alias("ladder"), F.count_if(one & (F.col("low") >= F.col("close") * 0.999)).alias("one_price"), F.sort_array(F.collect_list(F.struct((-F.col("streak")).alias("k"), "code"))).alias("codes"))
-    return g.withColumn("leaders", F.transform(F.slice("codes", 1, 8), lambda x: x["code"])).drop("codes")
+    ranked = p.where("is_up").withColumn("_k", F.row_number().over(Window.partitionBy("trade_date").orderBy(F.desc("streak"), "code")))
+    first = F.sort_array(F.collect_list(F.when(F.col("_k") <= leaders, F.struct("_k", "code"))))  # nulls are not collected
+    g = ranked.groupBy("trade_date").agg(F.max("streak").alias("highest"), F.count_if(F.col("streak") >= 2).alias("ladder"), F.count_if(one & (F.col("low") >= F.col("close") * 0.999)).alias("one_price"), first.alias("codes"))
+    return g.withColumn("leaders", F.transform("codes", lambda x: x["code"])).drop("codes")
 
 
 def technical_snapshot(f: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def strategy_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
 def broad_watch_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = a.spot(spark, sf_dir)
     seen = s.where(F.col("pct_change").between(0.5, 9.8)).select("code")
-    valid = s.withColumn("valid", F.avg(F.when(F.col("circ_mv_yi") > 0, 1.0).otherwise(0.0)).over(Window.partitionBy()))
+    valid = s.crossJoin(F.broadcast(s.agg(F.avg(F.when(F.col("circ_mv_yi") > 0, 1.0).otherwise(0.0)).alias("valid"))))  # one row
     left = valid.where((F.col("pct_change") >= 1) & ((F.col("valid") <= 0.5) | F.col("circ_mv_yi").between(30, 500))).join(seen, "code", "left_anti")
     return left.orderBy(F.desc("pct_change"), "code").limit(30).select("code", r("pct_change"), r(F.least(F.lit(99.0), F.greatest(F.lit(40.0), 50 + 2 * F.col("pct_change"))), alias="proxy_rps"))
 

@@ -32,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlattice.llm.common import by_value, scratch_path
+from barlattice.llm.common import by_value, materialise, scratch_path
 
 by_value(__name__)
 
 ARCHIVE_BYTES = 8 << 20
+#: So many digests (about 100 bytes each) are broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 300_000
 REVISIT_FROM = 0
 #: Fixed values of the ZIP format: signatures, and the marks that stand for "see the ZIP64 field".
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
@@ -215,8 +217,10 @@ def with_revisits(pages: DataFrame, revisit_from: int) -> DataFrame:
     """page_id, url, html, refers_to, revisit."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
+    # only digests that come twice are looked up, so pages move with their payload only where these are too many to broadcast
     shared = rows.where(F.octet_length("html") >= revisit_from).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).where("n > 1").select("digest", "first")
-    joined = rows.join(shared, "digest", "left")
+    shared = materialise(shared, "shared")
+    joined = rows.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
 

@@ -32,7 +32,9 @@ def test_an_archive_of_another_writer():
         warc.ZipReader(lambda a, b: b"x" * (b - a), 100)
 
 
-def test_pages_come_back(spark, tmp_path):
+@pytest.mark.parametrize("few", [300_000, 0])
+def test_pages_come_back(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", few)
     rows = [(5, "http://a\r\nX: y", "<p>é</p>"), (3, "u", "<p>é</p>"), (3, "u", "<p>é</p>"), (7, None, None), (8, "v", ""), (None, "w", "solo"), (9, "w", "z" * 300_000), (None, "w", "<p>é</p>")]
     pages = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, digest int, revisit string")
     warc.write_archives(pages, str(tmp_path / "w"), archive_bytes=200)

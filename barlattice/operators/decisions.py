@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlattice.functions.scalars import ratio
+from barlattice.operators.ranking import numbered, running_total
 from barlattice.sources.quality import by_priority
 
 
@@ -77,8 +78,8 @@ def approximate_rps(closes: DataFrame, changes: DataFrame) -> DataFrame:
     steps = both.where("is_change = 1").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     asked = both.where("is_change = 0").select("v").distinct().withColumn("n", F.lit(0).cast("long"))
     runs = steps.unionByName(asked).groupBy("v").agg(F.sum("n").alias("n"))
-    order = Window.orderBy("v")
-    below = runs.select("v", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    total = changes.agg(F.count("pct_change").alias("total"))
+    below = running_total(runs, [F.col("v").asc()], "n", "below").select("v", "below").crossJoin(F.broadcast(total))
     ranked = closes.join(below, closes["ret20"] == below["v"], "left")
     return ranked.select("code", F.when(F.col("ret20").isNull() | F.coalesce(F.col("total") == 0, F.lit(True)), 50.0).otherwise(ratio(F.col("below"), F.col("total")) * 100).alias("rps"))
 
@@ -118,7 +119,7 @@ def board_flow_status(flows: DataFrame, name: str = "board", net: str = "net", s
 def ordered_verdicts(df: DataFrame, order: list[str]) -> DataFrame:
     """Rows with their place by falling score, then by the order of verdicts."""
     rank = F.coalesce(*[F.when(F.col("verdict") == v, k) for k, v in enumerate(order)], F.lit(len(order)))
-    return df.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), rank, "code")))
+    return numbered(df.withColumn("_v", rank), [F.desc("score"), F.col("_v").asc(), F.col("code").asc()]).drop("_v")
 
 
 def top_of_groups(df: DataFrame, group: str, score: str, sizes: dict[str, int]) -> DataFrame:
@@ -127,6 +128,11 @@ def top_of_groups(df: DataFrame, group: str, score: str, sizes: dict[str, int])
     return df.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), "code"))).where(F.col("place") <= most)
 
 
+def first_rows(df: DataFrame, order: list[Column], size: int) -> DataFrame:
+    """The first rows in this order with their place; each task hands on no more than size rows."""
+    return df.orderBy(*order).limit(size).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
 def label_of(score: Column) -> Column:
     """Bullish over 55, bearish under 45."""
     return F.when(score > 55, "bullish").when(score < 45, "bearish").otherwise("neutral")
@@ -134,7 +140,7 @@ def label_of(score: Column) -> Column:
 
 def narrative(e: DataFrame, size: int = 8) -> DataFrame:
     """The strongest themes with any support: place, theme, label, score, summary. e: theme, support, bull, bear, risk, score."""
-    told = e.where("support > 0").withColumn("label", label_of(F.col("score"))).withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "theme"))).where(F.col("place") <= size)
+    told = first_rows(e.where("support > 0").withColumn("label", label_of(F.col("score"))), [F.desc("score"), F.asc("theme")], size)
     text = F.when(F.col("label") == "bullish", F.format_string("%s driven by good news (%d)", "theme", "bull")).when(F.col("label") == "bearish", F.format_string("%s under bad news or risk (%d / %d)", "theme", "bear", "risk")).otherwise(F.format_string("%s mixed (%d / %d / %d)", "theme", "bull", "bear", "risk"))
     return told.select("place", "theme", "label", F.round("score", 1).alias("score"), text.alias("summary"))
 
@@ -143,7 +149,7 @@ def catalysts(e: DataFrame, candidates: DataFrame, size: int = 15) -> DataFrame:
     """kind, name, support: bullish candidates with news of their own, then bullish themes with two and more items. candidates: code, label, direct, support."""
     own = candidates.where("label = 'bullish' AND direct > 0").select(F.lit("candidate").alias("kind"), F.col("code").alias("name"), "support")
     themes = e.withColumn("label", label_of(F.col("score"))).where("label = 'bullish' AND support >= 2").select(F.lit("theme").alias("kind"), F.col("theme").alias("name"), "support")
-    return own.unionByName(themes).withColumn("place", F.row_number().over(Window.orderBy("kind", F.desc("support"), "name"))).where(F.col("place") <= size)
+    return first_rows(own.unionByName(themes), [F.asc("kind"), F.desc("support"), F.asc("name")], size)
 
 
 def evolution(daily: DataFrame, key: str, value: str, rows: int = 7) -> DataFrame:
@@ -192,7 +198,8 @@ def collect_factors(candidates: DataFrame, market: dict[str, DataFrame], per_cod
     for table in market.values():
         out = out.crossJoin(F.broadcast(table.limit(1)))
     if budget is not None:
-        out = out.withColumn("in_budget", F.row_number().over(Window.orderBy(F.desc("score"), "code")) <= budget)
+        first = candidates.orderBy(F.desc("score"), "code").limit(budget).select("code", F.lit(True).alias("in_budget"))
+        out = out.join(F.broadcast(first), "code", "left").withColumn("in_budget", F.coalesce("in_budget", F.lit(False)))
     for name, table in per_code.items():
         t = table.withColumn("_has", F.lit(True)).select("code", F.struct(*[c for c in table.columns if c != "code"]).alias(name))
         out = out.join(t, "code", "left")

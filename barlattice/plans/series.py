@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barlattice.operators import windows as w
+from barlattice.operators.ranking import numbered, percentile, ranked
 from barlattice.plans.common import Catalogue, r, with_ctes
 from barlattice.sources import adapters as a
 
@@ -41,7 +42,15 @@ def rps_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def volatility_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features(spark, sf_dir).where(F.col("vol60").isNotNull() & (F.col("trade_date") <= F.lit(a.AS_OF).cast("date")))
     last = f.groupBy("code").agg(F.round(F.max_by("vol60", "trade_date"), 4).alias("vol60"))
-    return last.withColumn("place", F.row_number().over(Window.orderBy("vol60", "code")))
+    return numbered(last, [F.asc("vol60"), F.asc("code")])
+
+
+@add("return_percentile", with_ctes("feat") + """SELECT code, trade_date, r6 AS ret20, rank() OVER (ORDER BY r6) AS rank, round((rank() OVER (ORDER BY r6) + (count(*) OVER (PARTITION BY r6) - 1) / 2) / count(*) OVER () * 100, 6) AS percentile
+FROM (SELECT code, trade_date, round(ret20, 3) AS r6 FROM feat WHERE ret20 IS NOT NULL)""")
+def return_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each 20-row return stands among those of all stocks and days; returns of three digits, so ties are long."""
+    ranks = ranked(features(spark, sf_dir).where("ret20 IS NOT NULL").select(*KEY, r("ret20", 3)), "ret20")
+    return ranks.select(*KEY, "ret20", "rank", r(percentile(F.col("rank"), F.col("ties"), F.col("of")), alias="percentile"))
 
 
 def trend_sql(n: int) -> str:

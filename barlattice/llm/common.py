@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+from barlattice.scratch import scratch_dir, scratch_path, stored as materialise
+
+__all__ = ["by_value", "discard", "free_name", "materialise", "scratch_dir", "scratch_path", "small_batches"]
+
 
 def by_value(module_name: str) -> None:
     """Functions of this module travel with the task, so workers need no copy of the package."""
@@ -29,28 +31,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a folder of this machine only where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        named = f"file://{tempfile.gettempdir()}/barlattice-scratch"
-    return named.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialised table that no later step reads."""
     spark = df.sparkSession

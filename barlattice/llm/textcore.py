@@ -136,13 +136,13 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE) -> Iterator[pa.
         start = stop
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text number of every word [^\\x20\\x09-\\x0D]+."""
+def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of every word: [^\\x20\\x09-\\x0D]+, or runs of the bytes that inside says."""
     n = len(data)
     if n == 0:
         z = np.zeros(0, dtype=np.int64)
         return z, z, z
-    solid = ~SPACE[data]
+    solid = ~SPACE[data] if inside is None else inside[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     heads = offsets[:-1][offsets[:-1] < n]

@@ -4,8 +4,8 @@
    number of documents for each pattern of votes: at most 3**10 rows, whatever the input.
 2. Expectation-maximisation over those counts estimates the share of good documents and, for each labeller, how
    likely a vote it casts is right on good and on bad documents (`fit_labellers`). That gives each pattern a posterior.
-3. A logistic scorer over hashed features (byte trigrams, and the statistics in bins) is trained on the posteriors
-   of a bounded sample: about `sample` documents, those with the smallest hashes (default 8,000). No gold label is used.
+3. A logistic scorer over hashed features (byte trigrams, and the statistics in bins) is trained on the posteriors of a
+   bounded sample: the `sample` distinct texts with the smallest hashes (default 8,000), each with the number of its rows as weight. No gold label is used.
 4. Every document is scored whole; it is kept if its score is at least 0.5.
 
 Defined results: null, empty and blank texts get score 0 and are not kept. Repeated rows get equal scores. An empty
@@ -165,10 +165,11 @@ def features(data: np.ndarray, offsets: np.ndarray, stats: dict[str, np.ndarray]
     return out
 
 
-def train(x: np.ndarray, y: np.ndarray, rounds: int = 300, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels, by accelerated gradient steps; both classes weigh the same."""
-    share = float(np.clip(y.mean(), 0.02, 0.98)) if len(y) else 0.5
-    weight = np.where(y > 0.5, 0.5 / share, 0.5 / (1 - share)) / max(1, len(y))
+def train(x: np.ndarray, y: np.ndarray, times: np.ndarray, rounds: int = 300, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels of rows that stand for so many each, by accelerated gradient steps; both classes weigh the same."""
+    times = times / times.sum()
+    share = float(np.clip(y @ times, 0.02, 0.98))
+    weight = np.where(y > 0.5, 0.5 / share, 0.5 / (1 - share)) * times
     w, b = np.zeros(x.shape[1]), 0.0
     vw, vb = w.copy(), b
     x = x.astype(np.float64)
@@ -183,7 +184,7 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 300, decay: float = 1e-4)
 
 
 PATTERN = pa.schema([("key", pa.int64()), ("pattern", pa.int64())])
-SAMPLED = pa.schema([("pattern", pa.int64()), ("x", pa.binary())])
+SAMPLED = pa.schema([("key", pa.int64()), ("pattern", pa.int64()), ("x", pa.binary())])
 
 
 def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +202,7 @@ def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data, offsets = tc.bytes_of(part.column("text"))
             stats = statistics(data, offsets, powers)
             x = features(data, offsets, stats).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([pa.array(pattern_of(votes(stats))), pa.array([r.tobytes() for r in x], type=pa.binary())], schema=SAMPLED)
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(pattern_of(votes(stats))), pa.array([r.tobytes() for r in x], type=pa.binary())], schema=SAMPLED)
 
 
 def scorer(w: np.ndarray, b: float, known: dict[int, float], prior: float):
@@ -222,19 +223,23 @@ def scorer(w: np.ndarray, b: float, known: dict[int, float], prior: float):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> dict:
     """The model: labeller accuracies, posteriors by pattern and the scorer's weights."""
     small_batches(docs.sparkSession)
-    keyed = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(F.xxhash64(text).alias("key"), text.alias("text"))
     voted = materialise(keyed.mapInArrow(patterns, "key long, pattern long"), "votes")
     rows = voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()
     codes, counts = np.array([r["pattern"] for r in rows], dtype=np.int64), np.array([r["n"] for r in rows], dtype=float)
     if not len(rows):
         return {"w": np.zeros(DIMS), "b": 0.0, "known": {}, "prior": 0.5, "table": None}
+    order = np.argsort(codes)
+    codes, counts = codes[order], counts[order]
     prior, table, post = fit_labellers(codes, counts)
     known = dict(zip(codes.tolist(), post.tolist(), strict=True))
-    share = min(1.0, sample / counts.sum())
-    edge = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
-    taken = keyed.where(F.col("key") <= edge).mapInArrow(sampled, "pattern long, x binary").limit(2 * sample).collect()
+    times = {r["key"]: r["n"] for r in voted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).orderBy("key").limit(sample).collect()}
+    # a text is taken once however often it is there: one row per task and key is shuffled
+    texts = keyed.where(F.col("key") <= max(times)).groupBy("key").agg(F.first("text").alias("text"))
+    taken = sorted(texts.mapInArrow(sampled, "key long, pattern long, x binary").collect(), key=lambda r: r["key"])
     x = np.stack([np.frombuffer(r["x"], dtype=np.float16) for r in taken]).astype(np.float32)
-    w, b = train(x, np.array([known[r["pattern"]] for r in taken]))
+    w, b = train(x, np.array([known[r["pattern"]] for r in taken]), np.array([times[r["key"]] for r in taken], dtype=float))
     return {"w": w, "b": b, "known": known, "prior": prior, "table": table}
 
 

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barlattice.llm import quality
 
@@ -120,3 +121,24 @@ def test_posteriors_are_those_of_plain_em(docs, made):
             break
     for q, v in zip(post, every, strict=True):
         assert model["known"][sum(k * 3**j for j, k in enumerate(v))] == pytest.approx(q, abs=1e-6)
+
+
+@pytest.mark.parametrize("text", ["the same words again and again, said once more.", "#### $$$$ !!!!", "", None])
+def test_a_table_of_equal_rows(spark, text):
+    rows = spark.range(80_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).cast("string").alias("text"))
+    got = quality.score_documents(rows).groupBy("score", "keep").count().collect()
+    assert len(got) == 1 and got[0]["count"] == 80_000
+    assert quality.keep_good(rows).count() == (80_000 if got[0]["keep"] else 0)
+
+
+def test_sample_is_bounded_weighted_and_the_same_in_any_order(spark, docs, made, monkeypatch):
+    """Half of the rows are copies of one text; the fit takes 20 distinct texts whatever the order of rows."""
+    seen = []
+    plain = quality.train
+    monkeypatch.setattr(quality, "train", lambda x, y, times, **how: seen.append((len(x), times.sum())) or plain(x, y, times, **how))
+    some = docs.select("doc_id", "text").where("text is not null")
+    many = some.unionByName(spark.range(200).select(F.col("id").alias("doc_id"), F.lit(made[5][1]).alias("text")))
+    models = [quality.fit(many.repartition(n), sample=20) for n in (1, 5)]
+    assert all(n == 20 for n, _ in seen) and seen[0] == seen[1]
+    assert (models[0]["w"] == models[1]["w"]).all() and models[0]["b"] == models[1]["b"]
+    assert quality.fit(some, sample=1000)["known"].keys() == quality.fit(docs, sample=1000)["known"].keys()

@@ -8,7 +8,8 @@
    what long prefixes have linked is not compared again below shorter ones, so the crowded nodes near the roots are settled by then.
 3. An opened node is sorted by label and cut into blocks, which share one of its classes, its hub (`level`); so
    a node takes rows in proportion to its classes. At the last length, nodes of several blocks that are still not
-   one group are finished: classes outside the largest group meet every block. Full signatures estimate the similarity;
+   one group are finished (`rest_of_nodes`): the classes outside the largest group are cut into blocks, and each of these
+   meets each other one and each block of the largest group, two blocks in a task. Full signatures estimate the similarity;
    pairs under `estimate` (5 standard errors below the threshold and more) go, and what stays is handed on as
    stars (group, smallest group), never as all pairs. The groups at the end are candidate clusters.
 4. Exact verification: the n-gram sets of a cluster's texts meet in one task, or, for a large cluster, block by
@@ -159,17 +160,29 @@ def across(block: np.ndarray, bi: int, bj: int) -> np.ndarray:
     return block[:, None] != block[None, :]
 
 
+def agreeing(x: np.ndarray, y: np.ndarray, need: int) -> np.ndarray:
+    """Which signatures of x and y have so many minhashes in common."""
+    return np.stack([(y == row).sum(axis=1) >= need for row in x]) if len(x) and len(y) else np.zeros((len(x), len(y)), dtype=bool)
+
+
 def estimated(estimate: float):
-    """Stars of the groups that meet in a block of a node: the estimate is taken between classes of different groups."""
+    """Stars of the groups that meet in a block of a node: the estimate is taken between classes of different groups, and only across where rows stand on two sides."""
 
     def each(t: pa.Table, a: int, b: int) -> Iterator[dict]:
         if b - a < 2:
             return
-        root = t.column("root").to_numpy()[a:b]
+        root, side = (t.column(c).to_numpy()[a:b] for c in ("root", "side"))
         sig = np.stack([np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in t.column("sig").slice(a, b - a)])
         need = int(np.ceil(estimate * sig.shape[1]))
+        if side.any():
+            near = np.zeros((b - a, b - a), dtype=bool)
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            near[np.ix_(left, right)] = agreeing(sig[left], sig[right], need)
+            near |= near.T
+        else:
+            near = agreeing(sig, sig, need)
         one = root[:, None] == root[None, :]
-        near = np.stack([(sig == row).sum(axis=1) >= need for row in sig]) & ~one
+        near &= ~one
         if near.any():
             least = stars(near | one, root)
             moved = least != root
@@ -258,26 +271,36 @@ def level(rooted: DataFrame, similarity: float, trees: int, depth: int, length:
     opened = nodes.groupBy("trie").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("root", "cid")).alias("hub"), F.max("root").alias("most")).where("hub.root < most")
     opened = materialise(opened.select("trie", "hub.root", "hub.cid", F.expr(f"cast(ceil(n / {BLOCK}) as bigint)").alias("blocks")), "opened")
     cut = not opened.where("blocks > 1").isEmpty()
-    own = nodes.join(opened.select("trie", "blocks", F.col("cid").alias("hub")), "trie").where("blocks = 1 or cid <> hub").select("trie", F.expr("pmod(xxhash64(cid), blocks)").alias("block"), "cid", "root")
-    hubs = opened.where("blocks > 1").select("trie", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), "cid", "root")
+    own = nodes.join(opened.select("trie", "blocks", F.col("cid").alias("hub")), "trie").where("blocks = 1 or cid <> hub").select("trie", F.expr("pmod(xxhash64(cid), blocks)").alias("block"), "cid", "root", F.lit(0).alias("side"))
+    hubs = opened.where("blocks > 1").select("trie", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), "cid", "root", F.lit(0).alias("side"))
     return estimated_links(own.union(hubs), rooted, similarity), cut
 
 
 def rest_of_nodes(rooted: DataFrame, similarity: float, trees: int, depth: int, length: int) -> DataFrame:
-    """Links between the groups of nodes of several blocks: classes outside a node's largest group meet all of its blocks."""
+    """Links between the groups of nodes of several blocks. No task gets more than two blocks of a node (hashes fill them, so a block has BLOCK classes give or take a few deviations)."""
     nodes = nodes_of(rooted, trees, depth, length)
+    return estimated_links(block_pairs(nodes), rooted, similarity)
+
+
+def block_pairs(nodes: DataFrame) -> DataFrame:
+    """trie, block, cid, root, side: the classes outside a node's largest group, and those inside, in blocks; a pair of blocks is a block of the result, and its sides are the two. nodes: trie, cid, root."""
     sizes = nodes.groupBy("trie", "root").agg(F.count(F.lit(1)).alias("n"))
     opened = sizes.groupBy("trie").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("groups")).where(f"groups > 1 and n > {BLOCK}")
-    opened = materialise(opened.select("trie", F.col("top.root").alias("top"), F.expr(f"cast(ceil(n / {BLOCK}) as bigint)").alias("blocks")), "unfinished")
+    opened = materialise(opened.select("trie", F.col("top.root").alias("top"), F.expr(f"cast(ceil((n - top.n) / {BLOCK}) as bigint)").alias("outer"), F.expr(f"cast(ceil(top.n / {BLOCK}) as bigint)").alias("inner")), "unfinished")
     members = nodes.join(opened, "trie")
-    own = F.expr("pmod(xxhash64(cid), blocks)")
-    at = F.explode(F.when(F.col("root") == F.col("top"), F.array(own)).otherwise(F.expr("sequence(0L, blocks - 1)")))
-    return estimated_links(members.select("trie", at.alias("block"), "cid", "root"), rooted, similarity)
+    outside = members.where("root <> top").withColumn("own", F.expr("pmod(xxhash64(cid), outer)"))
+    inside = members.where("root = top").withColumn("own", F.expr("pmod(xxhash64(cid), inner)"))
+    # a pair of outer blocks i <= j is block i * outer + j, of an outer block i and an inner block j the block outer * outer + i * inner + j
+    other = outside.withColumn("other", F.explode(F.expr("sequence(0L, outer - 1)")))
+    met = other.select("trie", F.expr("least(own, other) * outer + greatest(own, other)").alias("block"), "cid", "root", F.expr("if(own > other, 1, 0)").alias("side"))
+    left = outside.withColumn("other", F.explode(F.expr("sequence(0L, inner - 1)"))).select("trie", F.expr("outer * outer + own * inner + other").alias("block"), "cid", "root", F.lit(0).alias("side"))
+    right = inside.withColumn("other", F.explode(F.expr("sequence(0L, outer - 1)"))).select("trie", F.expr("outer * outer + other * inner + own").alias("block"), "cid", "root", F.lit(1).alias("side"))
+    return met.union(left).union(right)
 
 
 def estimated_links(members: DataFrame, rooted: DataFrame, similarity: float) -> DataFrame:
-    """a, b of the groups that the estimate links. members: trie, block, cid, root."""
-    signed = members.join(rooted.select("cid", "sig"), "cid").select("trie", "block", "cid", "root", "sig")
+    """a, b of the groups that the estimate links. members: trie, block, cid, root, side."""
+    signed = members.join(rooted.select("cid", "sig"), "cid").select("trie", "block", "cid", "root", "side", "sig")
     placed = signed.repartition("trie", "block").sortWithinPartitions("trie", "block", "cid")
     return placed.mapInArrow(estimated(similarity - 0.2), "a long, b long")
 

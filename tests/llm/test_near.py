@@ -114,3 +114,33 @@ def test_components_of_chains_cliques_and_stars(spark):
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{k: 0 for k in range(21)}, **{100 + k: 100 for k in range(6)}, **{200 + k: 200 for k in range(40)}}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("top", [0, 1500])
+def test_blocks_of_a_crowded_node_are_bounded_and_cover_every_pair(spark, top):
+    """A node of 4,000 classes, `top` of them in one group: no block holds over two blocks' classes, and any two classes of different groups meet once."""
+    n = 4000
+    rows = [(9, k, 0 if k < top else k) for k in range(n)] + [(8, 10_000 + k, 10_000 + k) for k in range(20)]
+    blocks = collections.defaultdict(list)
+    for r in ngram_join.block_pairs(spark.createDataFrame(rows, "trie long, cid long, root long")).collect():
+        assert r["trie"] == 9
+        blocks[r["block"]].append((r["cid"], r["root"], r["side"]))
+    assert max(map(len, blocks.values())) < 2 * ngram_join.BLOCK * 1.3
+    met = np.zeros((n, n), dtype=np.int8)
+    for members in blocks.values():
+        left, right = ([c for c, _, s in members if s == k] for k in range(2))
+        met[np.ix_(left, right if right else left)] += 1
+    met += met.T
+    root = np.array([r[2] for r in rows[:n]])
+    apart = root[:, None] != root[None, :]
+    assert (met[apart] >= 1).all() and (met[apart] <= 2).all()
+
+
+def test_texts_of_one_template_are_not_linked(spark):
+    """Texts that share 300 words of 520 in one run: crowded nodes, no links; two of them are near copies."""
+    rng = np.random.default_rng(2)
+    shared = [f"s{k}" for k in range(300)]
+    texts = [" ".join(shared + [f"w{x}" for x in rng.integers(0, 10**9, 220)]) for _ in range(1500)]
+    texts.append(texts[3] + " tail")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    assert got == {k: (3, 1) if k in (3, 1500) else (k, 0) for k in range(1501)}

@@ -22,9 +22,9 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+def stored(df: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,9 +3,10 @@
 1. Blocks of some MB of text are cut into pre-tokens (`cuts`): pre-tokens cover a text without gaps, so they are its bytes
    between cuts, and an exact dictionary of the block gives each a number. A block yields its dictionary, a row per distinct
    pre-token, and one packed row that says how often each of its documents has which number.
-2. The distinct pre-tokens of all blocks are counted once each by the tokenizer's own model, and joined to the
-   dictionaries. A frequent pre-token has a row per block there, not per occurrence or document, and no text moves.
-3. What each number counts goes back to its block, and each document sums frequency x pieces. Ids never exist.
+2. The dictionaries' rows meet by pre-token, in order: each distinct pre-token of the corpus is counted once by the
+   tokenizer's own model, and its count goes to all of its rows (`counter`). A frequent pre-token has a row per block there, not per
+   occurrence or document; a task streams them and keeps one pre-token. No text moves.
+3. The counts go back to their blocks, packed, and each document sums frequency x pieces. Ids never exist.
 
 Where cuts go depends on classes of characters (letter, number, white space, other) as the tokenizer's library has them; each
 character beyond ASCII is asked for once per worker. The places of special strings are cut first, as the library does.
@@ -25,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -184,9 +186,13 @@ def block_rows(parts: list[pa.RecordBatch], block: int, model: Model) -> Iterato
     begin = np.concatenate(start)
     bounds = np.append(begin, len(data)).astype(np.int64)
     tokens = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-    known = tokens.dictionary
+    # neighbours of a sorted dictionary share their beginnings, which compresses well
+    order = pc.array_sort_indices(tokens.dictionary).to_numpy()
+    known = tokens.dictionary.take(pa.array(order))
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
     of = np.searchsorted(offsets, begin, side="right") - 1
-    key, times = np.unique(of * max(1, len(known)) + tokens.indices.to_numpy().astype(np.int64), return_counts=True)
+    key, times = np.unique(of * max(1, len(known)) + place[tokens.indices.to_numpy()], return_counts=True)
     of, number = key // max(1, len(known)), key % max(1, len(known))
     step = number.copy()
     step[1:] -= np.where(of[1:] == of[:-1], number[:-1], 0)
@@ -217,17 +223,41 @@ def blocker(path: str, size: int):
     return run
 
 
-#: Pre-tokens that the model is handed at once.
-AT_ONCE = 8192
+COUNTED = pa.schema([("block", pa.int64()), ("kind", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("ends", pa.binary()), ("numbers", pa.binary()), ("times", pa.binary())])
+#: Rows that a task holds before it packs them by block.
+HELD = 1 << 20
 
 
-def piece_counter(path: str):
+def counted_rows(block: np.ndarray, number: np.ndarray, pieces: np.ndarray) -> pa.RecordBatch:
+    """A row per block: the numbers, as steps, and what each counts."""
+    order = np.lexsort((number, block))
+    block, number, pieces = block[order], number[order], pieces[order]
+    at, run = tc.sorted_runs(block)
+    rows = [(packed(np.diff(number[a : a + n], prepend=0).astype(np.uint32)), packed(pieces[a : a + n].astype(np.uint32))) for a, n in zip(at, run, strict=True)]
+    none = [pa.nulls(len(at), f.type) for f in COUNTED]
+    return pa.RecordBatch.from_arrays([pa.array(block[at]), pa.array(np.ones(len(at), dtype=np.int64)), none[2], none[3], none[4], pa.array([n for n, _ in rows], type=pa.binary()), pa.array([p for _, p in rows], type=pa.binary())], schema=COUNTED)
+
+
+def counter(path: str):
+    """Rows sorted by pre-token to packed counts by block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_of(path)
+        model, last, known, parts, held = model_of(path), None, 0, [], 0
         for batch in batches:
-            for a in range(0, batch.num_rows, AT_ONCE):
-                token = batch.column("token").slice(a, AT_ONCE)
-                yield pa.RecordBatch.from_arrays([token, pa.array(model.pieces(token.to_pylist()), type=pa.int64())], names=["token", "n_pieces"])
+            if not batch.num_rows:
+                continue
+            runs_of = batch.column("token").dictionary_encode()
+            tokens = runs_of.dictionary.to_pylist()
+            skip = int(tokens[0] == last)
+            pieces = [known] * skip + model.pieces(tokens[skip:])
+            last, known = tokens[-1], pieces[-1]
+            parts.append((batch.column("block").to_numpy(), batch.column("number").to_numpy(), np.array(pieces)[runs_of.indices.to_numpy()]))
+            held += batch.num_rows
+            if held >= HELD:
+                yield counted_rows(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                parts, held = [], 0
+        if parts:
+            yield counted_rows(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     return run
 
@@ -236,20 +266,19 @@ SUMS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens",
 
 
 def summer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of frequency x pieces for each text of a block; rows of a block come in order, the one with number -1 first."""
+    """Sums of frequency x pieces for each text of a block; of a block's rows the one with its texts (kind 0) comes first."""
     for t, bounds in runs(batches, ["block"]):
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            pieces = t.column("n_pieces").slice(a + 1, b - a - 1).to_numpy().astype(np.int64)
-            texts = t.column("texts").slice(a, 1).combine_chunks()
-            texts = texts if isinstance(texts, pa.StructArray) else texts.chunk(0)
-            ids, sizes = (texts.field(c).slice(0, 1).flatten() for c in ("ids", "sizes"))
-            ends, step, times = (unpacked(texts.field(c)[0].as_py(), k).astype(np.int64) for c, k in (("ends", np.int32), ("numbers", np.uint32), ("times", np.uint32)))
+            ends, step, times = (unpacked(t.column(c)[a].as_py(), k).astype(np.int64) for c, k in (("ends", np.int32), ("numbers", np.uint32), ("times", np.uint32)))
             # steps start again in each text
             walk = np.concatenate([[0], np.cumsum(step)])
             begin = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
             number = walk[1:] - np.repeat(walk[begin], ends - begin)
+            pieces = np.zeros(int(number.max()) + 1 if len(number) else 0, dtype=np.int64)
+            for k in range(a + 1, b):
+                pieces[np.cumsum(unpacked(t.column("numbers")[k].as_py(), np.uint32).astype(np.int64))] = unpacked(t.column("times")[k].as_py(), np.uint32)
             sums = np.concatenate([[0], np.cumsum(pieces[number] * times)])
-            yield pa.RecordBatch.from_arrays([ids, sizes, pa.array(sums[ends] - sums[begin])], schema=SUMS)
+            yield pa.RecordBatch.from_arrays([t.column("ids")[a].values, t.column("sizes")[a].values, pa.array(sums[ends] - sums[begin])], schema=SUMS)
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL, limit: int = LIMIT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -258,12 +287,10 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Model(path)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = "block long, number long, token string, ids array<long>, sizes array<long>, ends binary, numbers binary, times binary"
-    blocks = materialise(rows.mapInArrow(blocker(path, block_bytes), schema), "pretokens")
-    entries = blocks.where("number >= 0").select("block", "number", "token")
-    counted = entries.select("token").distinct().mapInArrow(piece_counter(path), "token string, n_pieces long")
-    texts = F.struct("ids", "sizes", "ends", "numbers", "times").alias("texts")
-    headers = blocks.where("number = -1").select("block", "number", F.lit(0).cast("long").alias("n_pieces"), texts)
-    numbered = entries.join(counted, "token").select("block", "number", "n_pieces", F.lit(None).cast(headers.schema["texts"].dataType).alias("texts"))
-    placed = headers.unionByName(numbered).repartition("block").sortWithinPartitions("block", "number")
+    blocks = materialise(rows.mapInArrow(blocker(path, block_bytes), schema), "pretokens", "zstd")
+    entries = blocks.where("number >= 0").select("block", "number", "token").repartition("token").sortWithinPartitions("token")
+    counted = entries.mapInArrow(counter(path), "block long, kind long, ids array<long>, sizes array<long>, ends binary, numbers binary, times binary")
+    texts = blocks.where("number = -1").select("block", F.lit(0).cast("long").alias("kind"), "ids", "sizes", "ends", "numbers", "times")
+    placed = texts.unionByName(counted).repartition("block").sortWithinPartitions("block", "kind")
     sums = placed.mapInArrow(summer, "doc_id long, n_bytes long, n_tokens long")
     return sums.withColumn("over_limit", F.col("n_tokens") > limit)

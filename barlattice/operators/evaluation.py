@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlattice.functions.scalars import BINS, bin_of, ratio, wilson
+from barlattice.operators.scans import streamed
+from barlattice.scratch import by_value
+
+by_value(__name__)
 
 
 def binned_features() -> dict[str, Column]:
@@ -47,19 +52,22 @@ def predict(rows: DataFrame, bins: DataFrame, base: DataFrame, horizon: int = 5)
     return met.crossJoin(b).select("code", (F.col("p") * (1 - shrink) + F.col("bp") * shrink).alias("probability"), (F.col("e") * (1 - shrink) + F.col("be") * shrink).alias("expected"))
 
 
+def booked(state: tuple, trade: tuple) -> tuple:
+    """Shares, cost and realised profit after a trade: buy or not, quantity, price."""
+    shares, cost, realised = state
+    _, buy, qty, price = trade
+    if buy:
+        # half up on the decimal digits, as Spark rounds
+        mean = Decimal(repr((shares * cost + qty * price) / (shares + qty))).quantize(Decimal("0.001"), ROUND_HALF_UP)
+        return shares + qty, float(mean), realised
+    sold = min(qty, shares)
+    return shares - sold, cost, realised + sold * (price - cost)
+
+
 def ledger(trades: DataFrame) -> DataFrame:
-    """Weighted average cost (three digits after each buy), realised profit and shares by code; a sell takes what there is. trades: code, seq, buy, qty, price."""
-    ordered = trades.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("seq", "buy", "qty", "price"))).alias("t"))
-    start = F.struct(*[F.lit(0.0).alias(k) for k in ("shares", "cost", "realised")])
-
-    def step(s: Column, x: Column) -> Column:
-        sold = F.least(x["qty"], s["shares"])
-        shares = F.when(x["buy"], s["shares"] + x["qty"]).otherwise(s["shares"] - sold)
-        cost = F.when(x["buy"], F.round((s["shares"] * s["cost"] + x["qty"] * x["price"]) / (s["shares"] + x["qty"]), 3)).otherwise(s["cost"])
-        realised = F.when(x["buy"], s["realised"]).otherwise(s["realised"] + sold * (x["price"] - s["cost"]))
-        return F.struct(shares.alias("shares"), cost.alias("cost"), realised.alias("realised"))
-
-    return ordered.select("code", F.aggregate("t", start, step).alias("x")).select("code", "x.*")
+    """Weighted average cost (three digits after each buy), realised profit and shares by code; a sell takes what there is. trades: code, seq, buy, qty, price. A code's trades are streamed in order past its state."""
+    rows = trades.select("code", "seq", "buy", F.col("qty").cast("double").alias("qty"), F.col("price").cast("double").alias("price"))
+    return streamed(rows, "code", ["seq", "buy", "qty", "price"], (0.0, 0.0, 0.0), booked, "code string, shares double, cost double, realised double")
 
 
 def holding_days(trades: DataFrame) -> DataFrame:

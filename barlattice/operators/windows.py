@@ -97,13 +97,6 @@ def streak(df: DataFrame, flag: Column, name: str) -> DataFrame:
     return groups.withColumn(name, F.when(flag, F.sum(F.when(flag, 1).otherwise(0)).over(inside.rowsBetween(Window.unboundedPreceding, 0))).otherwise(0)).drop("_island")
 
 
-def prior_percentile(value: str, order: str, n: int, least: int = 5) -> Column:
-    """Share of the n rows before this one that are strictly below it, per cent; null with fewer than `least`."""
-    before = F.collect_list(value).over(Window.orderBy(order).rowsBetween(-n, -1))
-    below = F.size(F.filter(before, lambda x: x < F.col(value)))
-    return F.when(F.size(before) >= least, F.round(below / F.size(before) * 100, 1))
-
-
 def rate_of_change(value: str, order: str, n: int) -> Column:
     past = F.lag(value, n).over(Window.orderBy(order))
     return ratio(F.col(value) - past, F.abs(past)) * 100
@@ -125,25 +118,3 @@ def equity_metrics(df: DataFrame, value: str = "close") -> DataFrame:
     out = step.groupBy("code").agg(F.min_by(value, "trade_date").alias("first"), F.max_by(value, "trade_date").alias("last"), F.datediff(F.max("trade_date"), F.min("trade_date")).alias("days"), F.max(1 - ratio(F.col(value), F.col("peak"))).alias("max_drawdown"), F.avg("daily").alias("mean"), F.stddev_pop("daily").alias("sd"))
     total = ratio(F.col("last"), F.col("first")) - 1
     return out.select("code", total.alias("total_return"), F.when(F.col("days") > 0, F.pow(1 + F.greatest(total, F.lit(-0.9999)), 365.25 / F.col("days")) - 1).alias("annual_return"), "max_drawdown", (ratio(F.col("mean"), F.col("sd")) * math.sqrt(252)).alias("sharpe"))
-
-
-def ewma(values: Column, span: int) -> Column:
-    """Last value of the recursive mean (adjust=False) of an array in time order."""
-    a = 2 / (span + 1)
-    return F.aggregate(values, F.lit(None).cast("double"), lambda s, x: F.when(s.isNull(), x).otherwise(s * (1 - a) + x * a))
-
-
-def macd(b: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """Last dif, dea and histogram of each code: one ordered array per code, folded once."""
-    af, as_, ag = 2 / (fast + 1), 2 / (slow + 1), 2 / (signal + 1)
-    closes = b.groupBy("code").agg(F.transform(F.sort_array(F.collect_list(F.struct("trade_date", "close"))), lambda x: x["close"]).alias("c"))
-    zero = F.struct(*[F.lit(None).cast("double").alias(n) for n in ("f", "s", "g")])
-
-    def step(acc: Column, x: Column) -> Column:
-        f = F.when(acc["f"].isNull(), x).otherwise(acc["f"] * (1 - af) + x * af)
-        s = F.when(acc["s"].isNull(), x).otherwise(acc["s"] * (1 - as_) + x * as_)
-        d = f - s
-        return F.struct(f.alias("f"), s.alias("s"), F.when(acc["g"].isNull(), d).otherwise(acc["g"] * (1 - ag) + d * ag).alias("g"))
-
-    out = closes.select("code", F.aggregate("c", zero, step).alias("m"))
-    return out.select("code", (F.col("m.f") - F.col("m.s")).alias("dif"), F.col("m.g").alias("dea"), ((F.col("m.f") - F.col("m.s") - F.col("m.g")) * 2).alias("hist"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barlattice.operators import windows as w
 from barlattice.operators.ranking import numbered, percentile, ranked
+from barlattice.operators.scans import macd, prior_percentiles
 from barlattice.plans.common import Catalogue, r, with_ctes
 from barlattice.sources import adapters as a
 
@@ -95,7 +96,13 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("prior_window_percentile", with_ctes("ch", more=DAILY) + "SELECT trade_date, advance, " + ", ".join(f"CASE WHEN len(l{n}) >= 5 THEN round(len(list_filter(l{n}, lambda x: x < advance)) / len(l{n}) * 100, 1) END AS pct{n}" for n in (60, 250)) + " FROM (SELECT *, " + ", ".join(f"list(advance) OVER (ORDER BY trade_date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS l{n}" for n in (60, 250)) + " FROM daily)")
 def prior_window_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return daily(spark, sf_dir).select("trade_date", "advance", *[w.prior_percentile("advance", "trade_date", n).alias(f"pct{n}") for n in (60, 250)])
+    return prior_percentiles(daily(spark, sf_dir).withColumn("field", F.lit("advance")), "field", "trade_date", "advance", (60, 250)).drop("field")
+
+
+@add("close_percentile", with_ctes("bars") + "SELECT code, trade_date, close, " + ", ".join(f"CASE WHEN len(l{n}) >= 5 THEN round(len(list_filter(l{n}, lambda x: x < close)) / len(l{n}) * 100, 1) END AS pct{n}" for n in (60, 250)) + " FROM (SELECT *, " + ", ".join(f"list(close) OVER (PARTITION BY code ORDER BY trade_date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS l{n}" for n in (60, 250)) + " FROM bars)")
+def close_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each close stands among the 60 and 250 closes of its stock before it."""
+    return prior_percentiles(a.bars(spark, sf_dir), "code", "trade_date", "close", (60, 250))
 
 
 @add("roc_momentum", with_ctes("ch", more=DAILY) + "SELECT trade_date, round(roc5, 6) AS roc5, round(roc10, 6) AS roc10, round(roc5 - roc10, 6) AS accel FROM (SELECT trade_date, " + ", ".join(f"(advance - lag(advance, {n}) OVER c) / nullif(abs(lag(advance, {n}) OVER c), 0) * 100 AS roc{n}" for n in (5, 10)) + " FROM daily WINDOW c AS (ORDER BY trade_date))")
@@ -156,7 +163,7 @@ SELECT code, round(f - s, 4) AS dif, round(g, 4) AS dea, round((f - s - g) * 2,
   SELECT code, list_reduce(list(struct_pack(f := close, s := close, g := 0.0, first := false) ORDER BY trade_date), lambda a, x: struct_pack(f := a.f * (1 - 2 / 13.0) + x.f * (2 / 13.0), s := a.s * (1 - 2 / 27.0) + x.s * (2 / 27.0),
     g := a.g * 0.8 + ((a.f * (1 - 2 / 13.0) + x.f * (2 / 13.0)) - (a.s * (1 - 2 / 27.0) + x.s * (2 / 27.0))) * 0.2, first := false)) AS m FROM bars GROUP BY 1))""")
 def ewma_macd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return w.macd(a.bars(spark, sf_dir)).select("code", r("dif", 4), r("dea", 4), r("hist", 4))
+    return macd(a.bars(spark, sf_dir)).select("code", r("dif", 4), r("dea", 4), r("hist", 4))
 
 
 @add("weekday_calendar", with_ctes("bars") + "SELECT DISTINCT trade_date, CAST(trade_date - CASE isodow(trade_date) WHEN 1 THEN 3 WHEN 7 THEN 2 ELSE 1 END AS DATE) AS previous_weekday, isodow(trade_date) <= 5 AS is_weekday FROM bars")

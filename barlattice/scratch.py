@@ -1,13 +1,20 @@
-"""Intermediate tables in the folder that all machines share."""
+"""Intermediate tables in the folder that all machines share, and functions that travel with their tasks."""
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
+def by_value(module_name: str) -> None:
+    """Functions of this module travel with the task, so workers need no copy of the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir; a folder of this machine only where none is named (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barlattice.operators import evaluation, market, rules, windows
+from barlattice.operators import evaluation, market, rules, scans, windows
 from barlattice.sources import quality
 from barlattice.streaming import rollup
 
@@ -30,7 +30,7 @@ def test_windows_are_those_of_pandas(rising):
     assert last["prior_high20"] == pytest.approx(p["close"].iloc[-21:-1].max())
     tr = pd.concat([p["high"] - p["low"], (p["high"] - p["close"].shift()).abs(), (p["low"] - p["close"].shift()).abs()], axis=1).max(axis=1)
     assert last["atr14"] == pytest.approx(tr.tail(14).mean())
-    m = windows.macd(df).first()
+    m = scans.macd(df).first()
     dif = p["close"].ewm(span=12, adjust=False).mean() - p["close"].ewm(span=26, adjust=False).mean()
     dea = dif.ewm(span=9, adjust=False).mean()
     assert (m["dif"], m["dea"], m["hist"]) == pytest.approx((dif.iloc[-1], dea.iloc[-1], 2 * (dif.iloc[-1] - dea.iloc[-1])))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlattice.functions.scalars import first_true, number, word_hits
+from barlattice.operators.needles import find
 
 #: Separators of theme lists, in order, and words for no theme.
 SEPARATORS = ["+", "、", ",", "，", ";", "；", "/", "|"]
@@ -69,24 +70,9 @@ def fuzzy_boards(stocks: DataFrame, boards: DataFrame, unmatched: bool = False)
     return stocks.join(best, "board", "left" if unmatched else "inner").select("code", "board", "matched")
 
 
-#: Needles that are looked for text by text; with more of them, texts and needles meet at rare grams of three characters.
-FEW_NEEDLES, GRAM = 2_000, 3
-
-
-def news_links(news: DataFrame, names: DataFrame, few: int = FEW_NEEDLES) -> DataFrame:
-    """doc_id, code of texts that hold a stock's code or name.
-
-    A few stocks are broadcast, and every text is searched for each. With more, each code or name is joined by its rarest gram (among them) with the distinct grams of the texts, and looked for only there."""
-    needles = names.select("code", F.explode(F.array("code", "name")).alias("needle")).where("needle IS NOT NULL").distinct()
-    if needles.limit(few + 1).count() <= few:
-        return news.join(F.broadcast(needles), F.contains("text", "needle")).select("doc_id", "code").distinct()
-    grams = lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - (GRAM - 1)), lambda i: F.substr(F.col(x), i, F.lit(GRAM)))
-    long = needles.where(F.length("needle") >= GRAM).select("code", "needle", F.explode(F.array_distinct(grams("needle"))).alias("gram"))
-    rare = long.join(long.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram").groupBy("code", "needle").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    texts = news.where(F.length("text") >= GRAM)
-    met = texts.select("doc_id", "text", F.explode(F.array_distinct(grams("text"))).alias("gram")).join(rare, "gram").where(F.contains("text", "needle")).select("doc_id", "code")
-    short = news.join(needles.where(F.length("needle") < GRAM), F.contains("text", "needle")).select("doc_id", "code")
-    return met.union(short).distinct()
+def news_links(news: DataFrame, names: DataFrame) -> DataFrame:
+    """doc_id, code of texts that hold a stock's code or name; empty names say nothing."""
+    return find(news, names.select("code", F.explode(F.array("code", "name")).alias("needle")))
 
 
 def inherited(direct: DataFrame, themes: DataFrame, evidence: DataFrame) -> DataFrame:

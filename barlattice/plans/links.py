@@ -38,10 +38,15 @@ def fuzzy_board_match_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.fuzzy_boards(s.select("code", label.alias("board")), s, unmatched=True)
 
 
-@add("news_candidate_links", "SELECT DISTINCT doc_id, word AS code FROM documents, (VALUES ('idiot', 'pathetic'), ('password', 'License')) c(word, name) WHERE contains(text, word) OR contains(text, name)")
+#: Stocks to be looked for: every part by its name, and every long word of the benchmark's items as a stock of that name.
+NAMES_SQL = "SELECT 'part ' || p_partkey AS code, p_name AS name FROM part UNION ALL SELECT DISTINCT word, NULL FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) AS word FROM benchmark)"
+
+
+@add("news_candidate_links", f"WITH c AS ({NAMES_SQL}) SELECT DISTINCT doc_id, code FROM documents, c WHERE contains(text, code) OR contains(text, name)")
 def news_candidate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([("idiot", "pathetic"), ("password", "License")], "code string, name string")
-    return links.news_links(a.table(spark, sf_dir, "documents"), names)
+    parts = a.table(spark, sf_dir, "part").select(F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("code"), F.col("p_name").alias("name"))
+    words = a.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0))).alias("code")).distinct()
+    return links.news_links(a.table(spark, sf_dir, "documents"), parts.unionByName(words, allowMissingColumns=True))
 
 
 @add("priority_merge", "SELECT key, source FROM (SELECT c_custkey AS key, 'final' AS source, 0 AS k FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT c_custkey, 'watch', 1 FROM customer WHERE c_acctbal > 0 UNION ALL SELECT c_custkey, 'rejected', 2 FROM customer) QUALIFY row_number() OVER (PARTITION BY key ORDER BY k) = 1")

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from barlattice.functions.scalars import BINS
-from barlattice.operators import links
+from barlattice.operators import links, needles
 
 
 def test_themes_industries_and_bounds(spark):
@@ -43,10 +43,22 @@ def test_markdown(spark):
     assert [(r["heading"], r["codes"]) for r in got] == [("", []), ("Robots", ["600001"]), ("Chips", ["000003"])]
 
 
-def test_links_by_grams_are_those_of_the_search(spark):
+def test_needles_are_those_of_a_plain_search(spark, monkeypatch):
     rnd = random.Random(2)
-    word = lambda n: "".join(rnd.choice("ab1") for _ in range(n))
-    names = spark.createDataFrame([(f"{k:06d}", word(rnd.randint(1, 6)) if k % 7 else None) for k in range(60)], "code string, name string")
-    docs = spark.createDataFrame([(k, None if k == 5 else word(rnd.randint(0, 40)) + (f" {k:06d} " if k % 3 else "")) for k in range(50)], "doc_id long, text string")
-    want = sorted(map(tuple, links.news_links(docs, names).collect()))
-    assert want and want == sorted(map(tuple, links.news_links(docs, names, few=0).collect()))
+    word = lambda n: "".join(rnd.choice("ab1é😀") for _ in range(n))
+    names = [(f"{k:06d}", word(rnd.randint(1, 6)) if k % 7 else rnd.choice([None, ""])) for k in range(60)]
+    docs = [(k if k != 9 else None, None if k == 5 else word(rnd.randint(0, 40)) + (f" {k:06d} " if k % 3 else "")) for k in range(50)] + [(3, "000001"), (3, "000001")]
+    want = sorted({(d, c) for d, t in docs for c, n in names if t and (c in t or n and n in t)}, key=str)
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(names, "code string, name string")
+    for rows in (needles.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(needles, "BROADCAST_ROWS", rows)
+        assert want and want == sorted(map(tuple, links.news_links(*frames).collect()), key=str)
+    assert links.news_links(frames[0], frames[1].limit(0)).count() == 0 and links.news_links(frames[0].limit(0), frames[1]).count() == 0
+
+
+def test_candidates_carry_no_text(spark):
+    docs = spark.createDataFrame([(k, "x" * 50 + f"needle{k}") for k in range(20)], "doc_id long, text string")
+    rare = needles.asked(spark.createDataFrame([(str(k), f"needle{k}") for k in range(20)], "code string, needle string"))
+    plan = needles.candidates(docs, rare)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert needles.candidates(docs, rare).columns == ["doc_id", "code", "needle"]

@@ -1,4 +1,4 @@
-"""Where results of a run are kept: small reports with a pointer to the last good one, cached tables with an age, the recommendation journal.
+"""Where results of a run are kept: small reports with a pointer to the last good one, cached tables with an age.
 
 A report is one run's summary (bounded lists), written by the driver; tables are written by Spark.
 """
@@ -16,8 +16,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlattice.operators.evaluation import upsert
-
 DEGRADED, POINTER = "degraded", "latest_ok.json"
 
 
@@ -110,20 +108,3 @@ def cached(spark: SparkSession, root: str, name: str, *parts: object, ttl: float
         cache_put(fetch(), root, name, *parts, now=now)
         found = cache_get(spark, root, name, *parts, ttl=ttl, allow_stale=True, now=now)
     return fetch() if found is None else found
-
-
-JOURNAL_KEYS = ["run_date", "code"]
-
-
-def record_journal(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
-    """Upsert candidates (run_date, code and more) into the stored journal, a new version beside the old one; returns the journal. Codes that aren't digits are left out."""
-    fresh = rows.withColumn("code", F.lpad(F.trim("code"), 6, "0")).where(F.col("code").rlike("^[0-9]+$")).dropDuplicates(JOURNAL_KEYS)
-    versions = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*")
-    try:
-        last = versions.load(path).agg(F.max(F.regexp_extract("path", r"/v(\d+)/part-", 1).cast("int"))).first()[0]
-    except AnalysisException:
-        last = None
-    merged = fresh if last is None else upsert(spark.read.parquet(f"{path}/v{last}"), fresh, JOURNAL_KEYS)
-    target = f"{path}/v{(last or 0) + 1}"
-    merged.write.parquet(target)
-    return spark.read.parquet(target)

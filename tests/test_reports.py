@@ -27,10 +27,3 @@ def test_cached_tables_age(spark, tmp_path):
     assert reports.cache_get(spark, str(tmp_path), "spot", "other", ttl=60) is None
     assert reports.cache_get(spark, str(tmp_path), "spot", "20240102", 5, ttl=1, now=9999.0) is None
     assert reports.cache_get(spark, str(tmp_path), "spot", "20240102", 5, ttl=1, now=9999.0, allow_stale=True).count() == 3
-
-
-def test_journal_keeps_the_last_version_of_a_row(spark, tmp_path):
-    schema = "run_date string, code string, score double"
-    reports.record_journal(spark, str(tmp_path), spark.createDataFrame([("d1", "1", 1.0), ("d1", "x", 2.0), ("d1", "2", 3.0)], schema))
-    got = reports.record_journal(spark, str(tmp_path), spark.createDataFrame([("d1", "000001", 9.0), ("d2", "1", 5.0)], schema))
-    assert sorted(map(tuple, got.collect())) == [("d1", "000001", 9.0), ("d1", "000002", 3.0), ("d2", "000001", 5.0)]

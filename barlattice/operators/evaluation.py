@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import datetime
+import json
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barlattice.functions.scalars import BINS, bin_of, ratio, wilson
 from barlattice.operators.scans import streamed
 from barlattice.scratch import by_value
+from barlattice.sources.versions import VersionedTable, upsert
+
+__all__ = ["upsert"]
 
 by_value(__name__)
 
@@ -76,12 +81,6 @@ def holding_days(trades: DataFrame) -> DataFrame:
     return trades.withColumn("first", first).where("NOT buy AND first IS NOT NULL").groupBy("code").agg(F.count(F.lit(1)).alias("sells"), F.avg(F.datediff("day", "first")).alias("days"))
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """new replaces rows of old with the same keys; null keys are equal."""
-    on = [old[k].eqNullSafe(new[k]) for k in keys]
-    return old.join(new, on, "left_anti").unionByName(new)
-
-
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*[F.desc(o) for o in order])
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
@@ -94,6 +93,10 @@ def trade_paths(signals: DataFrame, bars: DataFrame, hold: int) -> DataFrame:
     return signals.join(bars.withColumn("path", ahead).select("code", "trade_date", "path"), ["code", "trade_date"])
 
 
+#: Columns of signals that stay with their outcomes: whose they are, and what tells grid points apart.
+PASSED = ("grid", "code", "trade_date", "score", "shares", "hold", "temperature", "matured")
+
+
 def outcomes(signals: DataFrame) -> DataFrame:
     """Signals with a bar to fill and one to leave: fill (the next open), out_day, out (price before costs); the path is dropped.
 
@@ -105,31 +108,41 @@ def outcomes(signals: DataFrame) -> DataFrame:
     leave = lambda b, i: F.struct(b["trade_date"].alias("day"), F.when(hit(b["open"]) | (i == n - 2), b["open"]).when(hit(b["close"]), b["close"]).alias("price"), F.coalesce(stopped(b["open"]), F.when(i < n - 2, stopped(b["close"])), F.lit("expiry")).alias("reason"), (i + 1).alias("held"))
     first = F.get(F.filter(F.transform(F.slice("path", 2, n - 1), leave), lambda x: x["price"].isNotNull()), F.lit(0))
     # a slice has no negative length, so shorter paths go first
-    return signals.where(n >= 2).withColumn("_out", first).select("grid", "code", "trade_date", "score", F.get("path", F.lit(0))["open"].alias("fill"), F.get("path", F.lit(0))["trade_date"].alias("fill_day"), F.col("_out.day").alias("out_day"), F.col("_out.price").alias("out"), F.col("_out.reason").alias("reason"), F.col("_out.held").alias("held"))
+    return signals.where(n >= 2).withColumn("_out", first).select(*[c for c in signals.columns if c in PASSED], F.get("path", F.lit(0))["open"].alias("fill"), F.get("path", F.lit(0))["trade_date"].alias("fill_day"), F.col("_out.day").alias("out_day"), F.col("_out.price").alias("out"), F.col("_out.reason").alias("reason"), F.col("_out.held").alias("held"))
 
 
 TRADES = "grid string, code string, signal_day date, fill_day date, out_day date, shares long, entry_price double, exit_price double, paid double, received double, pnl double, pnl_pct double, reason string, holding_bars int"
 
 
-def trade_log(signals: DataFrame, cash: float = 1_000_000.0, slots: int = 10, slippage: float = 0.001, commission: float = 0.0003, duty: float = 0.001, lot: int = 100) -> DataFrame:
-    """Every trade of the sequential ledger of every grid point; a grid point with signals but no trade has one row with a null code.
+#: What a walk of the ledger gives: a row per trade, and at the end of each grid point its state, a row with a null code.
+WALK = TRADES + ", state string"
 
-    signals: grid, code, trade_date, score, stop, target, hold, path. Cash and slots couple all stocks, so a grid point is walked by
-    one task; it is handed every signal, best first within a day, as a stream of sorted narrow rows, and keeps the open positions only.
-    Grid points run in parallel. A buy fills at the next open (one day at least is held). pnl leaves out costs; paid and received include them.
-    """
+
+def walked(placed: DataFrame, cash: float = 1_000_000.0, slots: int = 10, slippage: float = 0.001, commission: float = 0.0003, duty: float = 0.001, lot: int = 100, before: DataFrame | None = None) -> DataFrame:
+    """The ledger over outcomes of signals, from the states before them (grid, state) on; rows of WALK.
+
+    Cash and slots couple all stocks, so a grid point is walked by one task; it is handed every signal, best first within
+    a day, as a stream of sorted narrow rows, and keeps the open positions only. Grid points run in parallel. A state is the cash, the
+    exits to come and the number of trades, so a walk may stop on any day and go on from there. A signal's shares are those of its plan
+    as far as the cash goes, or without a plan a slot's part of the cash that a grid point began with."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in TRADES.split(", ")]
+        names = [c.split()[0] for c in WALK.split(", ")]
+        blank = [None] * (len(names) - 2)
         grid, money, trades = None, cash, 0
         held: list[tuple] = []  # exit day, amount that comes back
         rows: list[tuple] = []
+        close = lambda: rows.append((grid, *blank, json.dumps({"money": money, "held": [[str(d), x] for d, x in held], "trades": trades})))
         for pdf in batches:
             for s in pdf.itertuples(index=False):
                 if s.grid != grid:
-                    if grid is not None and not trades:
-                        rows.append((grid, *[None] * (len(names) - 1)))
+                    if grid is not None:
+                        close()
                     grid, money, trades, held = s.grid, cash, 0, []
+                if isinstance(s.state, str):
+                    old = json.loads(s.state)
+                    money, trades, held = old["money"], old["trades"], [(datetime.date.fromisoformat(d), x) for d, x in old["held"]]
+                    continue
                 back = [x for x in held if x[0] <= s.trade_date]
                 if back:
                     money += sum(x[1] for x in back)
@@ -137,7 +150,8 @@ def trade_log(signals: DataFrame, cash: float = 1_000_000.0, slots: int = 10, sl
                 if len(held) >= slots:
                     continue
                 price = s.fill * (1 + slippage)
-                shares = int(min(cash / slots, money) / (price * (1 + commission)) // lot * lot) if price > 0 else 0
+                most = int(money / (price * (1 + commission)) // lot * lot) if price > 0 else 0
+                shares = min(most, int(s.shares) if s.shares == s.shares and s.shares is not None else int(cash / slots / (price * (1 + commission)) // lot * lot)) if most else 0
                 if shares <= 0:
                     continue
                 paid, left = shares * price * (1 + commission), s.out * (1 - slippage)
@@ -145,22 +159,76 @@ def trade_log(signals: DataFrame, cash: float = 1_000_000.0, slots: int = 10, sl
                 money -= paid
                 held.append((s.out_day, received))
                 trades += 1
-                rows.append((grid, s.code, s.trade_date, s.fill_day, s.out_day, shares, price, s.out, paid, received, shares * (left - price), left / price - 1, s.reason, s.held))
+                rows.append((grid, s.code, s.trade_date, s.fill_day, s.out_day, shares, price, s.out, paid, received, shares * (left - price), left / price - 1, s.reason, s.held, None))
+            yield pd.DataFrame(rows, columns=names)
+            rows.clear()
+        if grid is not None:
+            close()
             yield pd.DataFrame(rows, columns=names)
-            rows = []
-        if grid is not None and not trades:
-            yield pd.DataFrame([(grid, *[None] * (len(names) - 1))], columns=names)
 
-    placed = outcomes(signals).repartition("grid").sortWithinPartitions("grid", "trade_date", F.desc("score"), "code")
-    return placed.select("grid", "code", "trade_date", "fill", "fill_day", "out_day", "out", "reason", "held").mapInPandas(run, TRADES)
+    if "shares" not in placed.columns:
+        placed = placed.withColumn("shares", F.lit(None).cast("double"))
+    rows = placed.select("grid", "code", "trade_date", "score", "fill", "fill_day", "out_day", "out", "reason", "held", F.col("shares").cast("double").alias("shares"), F.lit(None).cast("string").alias("state"))
+    if before is not None:
+        rows = rows.unionByName(before.select("grid", "state"), allowMissingColumns=True)
+    # a state has no day, so it comes first
+    return rows.repartition("grid").sortWithinPartitions("grid", "trade_date", F.desc("score"), "code").mapInPandas(run, WALK)
 
 
-def backtest(signals: DataFrame, cash: float = 1_000_000.0, **how) -> DataFrame:
-    """grid, trades, wins, final_equity: the ledger's totals. A win leaves at more than it was bought for, before costs of leaving."""
-    log = trade_log(signals, cash, **how)
+def log_of(walk: DataFrame) -> DataFrame:
+    """The trades of a walk; a grid point without any has one row with a null code."""
+    return walk.where(F.col("code").isNotNull() | (F.get_json_object("state", "$.trades") == "0")).drop("state")
+
+
+def trade_log(signals: DataFrame, cash: float = 1_000_000.0, **how) -> DataFrame:
+    """Every trade of the sequential ledger of every grid point; a grid point with signals but no trade has one row with a null code.
+
+    signals: grid, code, trade_date, score, stop, target, path, and shares if there is a plan. A buy fills at the next
+    open (one day at least is held). pnl leaves out costs; paid and received include them."""
+    return log_of(walked(outcomes(signals), cash, **how))
+
+
+def settled_before(signals: DataFrame) -> datetime.date | None:
+    """The first day whose signals more bars may still change: of those with fewer bars than they may be held for; None if there are none. signals: trade_date, hold, path."""
+    return signals.where(F.size("path") < F.col("hold") + 1).agg(F.min("trade_date")).first()[0]
+
+
+def resumed(spark: SparkSession, path: str, signals: DataFrame, cash: float = 1_000_000.0, **how) -> DataFrame:
+    """trade_log of signals, going on from what is stored under path: only days after the stored ones are walked, and those that no later bar can change are stored, as one more segment with the states at its end.
+
+    Signals of the stored days must be those of before, as point-in-time signals are. A segment is one commit; a run that dies before leaves the store as it was."""
+    store = VersionedTable(spark, path, ("grid", "code", "signal_day"), "segment")
+    known, states, since = store.read(), None, None
+    if known is not None:
+        since = known.agg(F.max("segment")).first()[0]
+        # a grid point without signals in a segment has its state in an earlier one
+        states = known.where("state IS NOT NULL").groupBy("grid").agg(F.max_by("state", "segment").alias("state"))
+    until = settled_before(signals)
+    day = F.col("trade_date")
+    fresh = signals if since is None else signals.where(day >= F.lit(since).cast("date"))
+    done = fresh if until is None else fresh.where(day < F.lit(until))
+    last = done.agg(F.max(day)).first()[0]
+    if last is not None:
+        segment = str(until or last + datetime.timedelta(days=1))
+        store.upsert(walked(outcomes(done), cash, before=states, **how).withColumn("segment", F.lit(segment)))
+        known = store.read()
+        states = known.where("state IS NOT NULL").groupBy("grid").agg(F.max_by("state", "segment").alias("state"))
+    open_rows = signals.limit(0) if until is None else fresh.where(day >= F.lit(until))
+    rest = walked(outcomes(open_rows), cash, before=states, **how)
+    kept = rest.drop("state").limit(0) if known is None else known.where("code IS NOT NULL").drop("state", "segment")
+    return kept.unionByName(log_of(rest).select(*kept.columns))
+
+
+def totals(log: DataFrame, cash: float = 1_000_000.0) -> DataFrame:
+    """grid, trades, wins, final_equity of a trade log. A win leaves at more than it was bought for, before costs of leaving."""
     return log.groupBy("grid").agg(F.count("code").alias("trades"), F.count_if(F.col("exit_price") > F.col("entry_price")).alias("wins"), (F.coalesce(F.sum(F.col("received") - F.col("paid")), F.lit(0.0)) + cash).alias("final_equity"))
 
 
+def backtest(signals: DataFrame, cash: float = 1_000_000.0, **how) -> DataFrame:
+    """The ledger's totals."""
+    return totals(trade_log(signals, cash, **how), cash)
+
+
 def trade_stats(log: DataFrame) -> DataFrame:
     """Per grid point: trades, win_rate, avg_win, avg_loss (per cent), profit_factor (null without losses), avg_hold, and how many left at the stop, at the target and by expiry."""
     t, won = log.where("code IS NOT NULL"), F.col("pnl") > 0

@@ -208,42 +208,71 @@ GRID = [(t, s, h) for t in (30, 40, 50) for s in (90, 95, 98) for h in (10, 20,
 USUAL_GRID = [(t, s, h) for t in (30, 40, 50) for s in (70, 80, 90) for h in (10, 20, 30)]
 
 
-def signals(spark: SparkSession, sf_dir: str, points: list[tuple[int, int, int]] = GRID) -> DataFrame:
-    """Every signal of every grid point: stocks at or over its strength on days at or over its temperature (a missing one counts 50)."""
+def held_for(picked: DataFrame, bars: DataFrame, holds: list[int]) -> DataFrame:
+    """Each signal with its path for each number of days that it may be held."""
+    paths = e.trade_paths(picked, bars, max(holds)).withColumn("hold", F.explode(F.array(*[F.lit(h) for h in sorted(set(holds))])))
+    return paths.withColumn("path", F.slice("path", 1, F.col("hold") + 1))
+
+
+def gridded(rows: DataFrame, points: list[tuple[int, int, int]]) -> DataFrame:
+    """Rows of a strength, a temperature (a missing one counts 50) and a hold once for each grid point that takes them."""
+    grid = F.array(*[F.struct(F.lit(f"temp{t}_rps{s}_hold{h}").alias("grid"), F.lit(float(t)).alias("warm"), F.lit(float(s)).alias("least"), F.lit(h).alias("days")) for t, s, h in points])
+    mine = F.filter(grid, lambda g: (F.col("hold") == g["days"]) & (F.col("score") >= g["least"]) & (F.coalesce("temperature", F.lit(50.0)) >= g["warm"]))
+    return rows.withColumn("_g", F.explode(mine)).withColumn("grid", F.col("_g.grid")).drop("_g")
+
+
+def strong_days(spark: SparkSession, sf_dir: str, points: list[tuple[int, int, int]] = GRID) -> DataFrame:
+    """Stocks at or over the least strength of the grid, with their paths and the day's temperature, for each hold."""
     f = w.rps(w.features(a.bars(spark, sf_dir))).where((F.col("rps") >= min(s for _, s, _ in points)) & F.col("atr14").isNotNull())
     picked = f.select("code", "trade_date", F.col("rps").alias("score"), (F.col("close") * 0.9).alias("stop"), (F.col("close") * 1.3).alias("target"))
-    paths = e.trade_paths(picked, a.bars(spark, sf_dir), max(h for *_, h in points)).join(temperature(spark, sf_dir).select("trade_date", "temperature"), "trade_date", "left")
-    grid = F.array(*[F.struct(F.lit(f"temp{t}_rps{s}_hold{h}").alias("grid"), F.lit(float(t)).alias("warm"), F.lit(float(s)).alias("least"), F.lit(h).alias("hold")) for t, s, h in points])
-    wide = paths.withColumn("g", F.explode(F.filter(grid, lambda g: (F.col("score") >= g["least"]) & (F.coalesce("temperature", F.lit(50.0)) >= g["warm"])))).select("*", "g.*")
-    return wide.select("grid", "code", "trade_date", "score", "stop", "target", "hold", F.slice("path", 1, F.col("hold") + 1).alias("path"))
+    return held_for(picked.join(temperature(spark, sf_dir).select("trade_date", "temperature"), "trade_date", "left"), a.bars(spark, sf_dir), [h for *_, h in points])
+
+
+def signals(spark: SparkSession, sf_dir: str, points: list[tuple[int, int, int]] = GRID) -> DataFrame:
+    """Every signal of every grid point, with its path."""
+    return gridded(strong_days(spark, sf_dir, points), points)
+
+
+def walk_of(spark: SparkSession, sf_dir: str, points: list[tuple[int, int, int]] = GRID) -> DataFrame:
+    """The trade log of every grid point; exits are found once for each hold, not for each grid point."""
+    return e.log_of(e.walked(gridded(e.outcomes(strong_days(spark, sf_dir, points)), points)))
 
 
 @add("backtest_sweep")
 def backtest_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return e.backtest(signals(spark, sf_dir)).withColumn("final_equity", r("final_equity", 2))
+    return e.totals(walk_of(spark, sf_dir)).withColumn("final_equity", r("final_equity", 2))
 
 
 @add("backtest_sweep_usual")
 def backtest_sweep_usual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return e.backtest(signals(spark, sf_dir, USUAL_GRID)).withColumn("final_equity", r("final_equity", 2))
+    return e.totals(walk_of(spark, sf_dir, USUAL_GRID)).withColumn("final_equity", r("final_equity", 2))
 
 
 @add("backtest_trades")
 def backtest_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every grid point's trades."""
-    return e.trade_stats(e.trade_log(signals(spark, sf_dir)))
+    return e.trade_stats(walk_of(spark, sf_dir))
 
 
 @add("backtest_curve")
 def backtest_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Return, volatility, drawdown and days of every grid point's equity curve, marked to market."""
-    curve = e.equity_curve(e.trade_log(signals(spark, sf_dir)), a.bars(spark, sf_dir).select("code", "trade_date", "close"))
+    curve = e.equity_curve(walk_of(spark, sf_dir), a.bars(spark, sf_dir).select("code", "trade_date", "close"))
     order = Window.partitionBy("grid").orderBy("trade_date")
     daily = curve.withColumn("ret", F.try_divide(F.col("equity"), F.lag("equity").over(order)) - 1).withColumn("peak", F.max("equity").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     g = daily.groupBy("grid").agg(F.count(F.lit(1)).alias("days"), F.max_by("equity", "trade_date").alias("last"), F.stddev_samp("ret").alias("sd"), F.avg("ret").alias("mean"), F.min(F.col("equity") / F.col("peak") - 1).alias("drawdown"))
     return g.select("grid", "days", F.round(F.col("last") / 1_000_000.0 - 1, 6).alias("total_return"), F.round(F.try_divide(F.col("mean"), F.col("sd")) * F.sqrt(F.lit(252.0)), 4).alias("sharpe"), F.round(F.col("drawdown"), 6).alias("max_drawdown"))
 
 
+@add("backtest_resumed")
+def backtest_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sweep in two runs over a store: one on what was known at a day, one on everything; the second walks the days after the first only."""
+    path, told = scratch_path(spark, "backtest"), signals(spark, sf_dir)
+    day = F.lit(a.AS_OF).cast("date")
+    e.resumed(spark, path, told.where(F.col("trade_date") <= day).withColumn("path", F.filter("path", lambda x: x["trade_date"] <= day)))
+    return e.totals(e.resumed(spark, path, told)).withColumn("final_equity", r("final_equity", 2))
+
+
 @add("event_rollup", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total, round(arg_min(value, (ts, event_id)), 4) AS open, max(value) AS high, min(value) AS low, round(arg_max(value, (ts, event_id)), 4) AS close FROM events GROUP BY 1, 2")
 def event_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barlattice.streaming.rollup import rollup

@@ -117,3 +117,27 @@ def test_the_usual_grid(spark, crowded):
     want = brute(crowded, (70, 80, 90))
     assert set(got) == set(want) == {f"temp{t}_rps{s}_hold{h}" for t, s, h in evaluation.USUAL_GRID}
     assert all(got[g][:2] == w[:2] and got[g][2] == pytest.approx(w[2], abs=0.02) for g, w in want.items())
+
+
+def test_a_run_extended_by_days_is_the_full_run(spark, crowded, tmp_path):
+    """Three runs over a store, each on a few more days than the one before, give at every day what one run over that day's data gives; stored days aren't walked again."""
+    told = evaluation.signals(spark, crowded, [(30, 80, 10), (40, 80, 20)]).cache()
+    plain = lambda df: sorted(map(tuple, df.select("grid", "code", "signal_day", "fill_day", "out_day", "shares", F.round("paid", 4), F.round("received", 4), "reason").where("code IS NOT NULL").collect()), key=str)
+    path, segments = f"file://{tmp_path}/s", []
+    for k in (50, 51, 55, 90):
+        day = F.lit(dt.date(2000, 1, 1) + dt.timedelta(days=k))
+        known = told.where(F.col("trade_date") <= day).withColumn("path", F.filter("path", lambda x: x["trade_date"] <= day))  # noqa: B023
+        got, want = plain(e.resumed(spark, path, known)), plain(e.trade_log(known))
+        assert want and got == want, k
+        segments.append(e.VersionedTable(spark, path, ("grid", "code", "signal_day"), "segment").manifest(e.VersionedTable(spark, path, (), "segment").version())["parts"])
+    assert [len(s) for s in segments] == [1, 2, 3, 4] and all(set(a.items()) <= set(b.items()) for a, b in zip(segments, segments[1:], strict=False))
+
+
+def test_planned_shares_go_as_far_as_the_cash(spark):
+    day = lambda k: dt.date(2024, 1, k)
+    path = [(day(3), 10.0, 10.0), (day(4), 10.0, 10.0)]
+    rows = [("g", c, day(2), score, 1.0, 99.0, 1, shares, path) for c, score, shares in (("a", 9.0, 300.0), ("b", 8.0, 5000.0), ("c", 7.0, 100.0), ("d", 6.0, None))]
+    told = spark.createDataFrame(rows, "grid string, code string, trade_date date, score double, stop double, target double, hold int, shares double, path array<struct<trade_date date, open double, close double>>")
+    got = {r["code"]: r["shares"] for r in e.trade_log(told, cash=10_000.0, slots=5).collect()}
+    assert got == {"a": 300, "b": 600}  # 10,000 less 300 at 10.01 and its fee leaves 600; then nothing is left for a lot
+    assert e.settled_before(told) is None and e.settled_before(told.withColumn("hold", F.lit(3))) == day(2)

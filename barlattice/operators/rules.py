@@ -185,12 +185,65 @@ def gate() -> Layers:
     return [{"bucket": "CASE " + " ".join(f"WHEN {t} THEN '{b}'" for t, b, _ in tests) + " ELSE 'final' END", "gate": "CASE " + " ".join(f"WHEN {t} THEN '{g}'" for t, _, g in tests) + " ELSE 'passed' END"}]
 
 
-def layered_pool() -> Layers:
-    """Layered pool: market .10, board .20, price and volume .25, news .15, plan .15, debate .15; hard blockers first."""
+#: Names of no board, what marks a board that is only an industry, and words of risk in news.
+NO_BOARDS, INDUSTRY, RISK_WORDS = ("", "全市场强势", "观察池", "其他", "UNKNOWN", "None", "null"), "行业:", ("减持", "问询", "处罚", "立案", "退市", "澄清", "风险提示", "异常波动")
+#: The parts of a pool score and their weights.
+POOL_PARTS = {"market": 0.10, "board": 0.20, "price_volume": 0.25, "news": 0.15, "trade_plan": 0.15, "debate": 0.15}
+#: Reasons that keep a stock out of the core, in the order of the gates, each with its test; those of OUT put it out altogether.
+POOL_BLOCKERS = {
+    "market_too_cold": "g_market = 'fail'", "board_mapping_missing": "g_board = 'missing'", "board_mapping_weak": "g_board = 'weak_mapping'", "price_volume_fail": "g_price_volume = 'fail'",
+    "negative_news_risk": "g_news = 'fail'", "chasing_buy_point": "chasing", "trade_plan_fail": "g_trade_plan = 'fail' AND NOT chasing",
+    "multi_agent_missing": "g_debate = 'missing'", "multi_agent_rejected": "g_debate = 'fail'", "multi_agent_low_confidence": "unsure",
+}
+OUT = ("negative_news_risk", "trade_plan_fail", "chasing_buy_point", "multi_agent_rejected")
+
+
+def layered_pool(full: float = 75, trial: float = 62, min_rps: float = 70, min_confidence: float = 70, min_reward: float = 1.8, turnover: tuple[float, float] = (3, 18)) -> Layers:
+    """Layered pool: six gates, each with a score (x_) and a state (g_), reasons against (`blockers`, in the order of the gates), the weighted score and the layer.
+
+    core: a score of `full` and nothing against it, or (mode trial) `trial` where only the rules' own debate advises against and board, price and
+    plan pass. pending: all but a debate, and at most 15 short. rejected: a reason of OUT. watch: the rest. Without a debate
+    that is worth waiting for, its gate is not_scoped and says nothing against the stock.
+
+    Columns: temperature, market_data and structured_data (degraded or not), board, board_top (one of the first five), board_hot (a hot theme is in its
+    name), rps, pct_change, turnover_rate, volume_ratio_prev, n_hints, news_score, news_hot, n_news, news_risk, close, entry, entry_style, stop, target1,
+    risk_reward, planned, debate_verdict (recommend, watch, avoid or null), debate_confidence, debate_by_rules."""
+    names = ", ".join(f"'{x}'" for x in NO_BOARDS)
+    low, high = turnover
+    zero = lambda c: f"coalesce({c}, 0.0)"
+    on = lambda test, points: f"CASE WHEN {test} THEN {float(points)} ELSE 0.0 END"
+    turn, volume, pct, sure = zero("turnover_rate"), zero("volume_ratio_prev"), zero("pct_change"), zero("debate_confidence")
+    buy, last = zero("entry"), zero("close")
+    price = " + ".join([on(f"{zero('rps')} >= {min_rps}", 32), f"CASE WHEN {pct} BETWEEN 0 AND 9.2 THEN 20.0 WHEN {pct} >= -2 AND {pct} < 0 THEN 8.0 ELSE 0.0 END", f"CASE WHEN {turn} BETWEEN {low} AND {high} THEN 20.0 WHEN {turn} = 0 AND {volume} >= 1.5 THEN 12.0 ELSE 0.0 END", on(f"{volume} >= 1.5", 14), on("n_hints > 0", 14)])
+    plan = " + ".join([on(f"{zero('risk_reward')} >= {min_reward}", 35), on(f"{buy} > 0 AND {zero('stop')} > 0 AND stop < entry", 25), on(f"{zero('target1')} > {buy}", 20), on(f"{last} <> 0 AND {buy} <> 0 AND entry <= close * 1.005", 10), on("entry_style IN ('ma_pullback', 'support_dip')", 10), on("planned", 10)])
+    hard = [k for k in POOL_BLOCKERS if k not in ("multi_agent_missing", "multi_agent_low_confidence")]
+    any_of = lambda keys: " OR ".join(f"k_{k}" for k in keys)
+    against = ", ".join(f"CASE WHEN k_{k} THEN '{k}' END" for k in POOL_BLOCKERS)
     return [
-        {"x_board": clip("50 + board_gap", 0, 100), "x_price": clip(f"rps * 0.6 + {flag('ma5 > ma10', 20)} + {flag('volume_ratio_prev >= 1.2', 20)}", 0, 100), "x_plan": clip("risk_reward * 33.0", 0, 100), "n_blockers": f"CAST({flag('rps < 60', 1)} + {flag('risk_reward < 1.2', 1)} + {flag('turnover_rate NOT BETWEEN 1 AND 25', 1)} + {flag('guard_status = ' + chr(39) + 'rejected' + chr(39), 1)} AS INTEGER)"},
-        {"pool_score": "0.10 * 50 + 0.20 * x_board + 0.25 * x_price + 0.15 * 50 + 0.15 * x_plan + 0.15 * debate_score"},
-        {"pool_status": "CASE WHEN guard_status = 'rejected' THEN 'rejected' WHEN n_blockers = 0 AND pool_score >= 60 THEN 'core' WHEN n_blockers = 0 AND pool_score >= 55 THEN 'pending' WHEN pool_score >= 40 THEN 'watch' ELSE 'rejected' END"},
+        {"warm": "coalesce(temperature, 50.0)", "rule_side": "coalesce(debate_by_rules, false)", "chase_far": f"coalesce({buy} <> 0 AND {last} <> 0 AND entry > close * 1.01, false)", "chase_style": "coalesce(entry_style = 'breakout_confirm', false)"},
+        {
+            "x_market": f"CASE WHEN warm < 40 THEN 20.0 ELSE least(100.0, greatest(40.0, warm)) - {on("market_data = 'degraded'", 8)} - {on("structured_data = 'degraded'", 6)} END",
+            "x_board": f"CASE WHEN coalesce(board, '') IN ({names}) THEN 35.0 WHEN board LIKE '{INDUSTRY}%' THEN 45.0 ELSE least(100.0, 55.0 + {on('board_top', 30)} + {on('board_hot', 15)}) END",
+            "x_price_volume": f"least(100.0, {price})",
+            "x_news": f"CASE WHEN news_risk THEN 15.0 ELSE coalesce(news_score, 50.0) + {on('news_hot', 18)} + {on('n_news > 0', 8)} END",
+            "x_trade_plan": f"CASE WHEN chase_far THEN 20.0 WHEN chase_style THEN 25.0 ELSE least(100.0, {plan}) END", "chasing": "chase_far OR chase_style",
+            "x_debate": f"CASE WHEN coalesce(debate_verdict, '') = '' THEN 0.0 WHEN debate_verdict = 'avoid' AND rule_side THEN least(35.0, greatest(20.0, {sure})) WHEN debate_verdict = 'avoid' THEN 10.0 WHEN debate_verdict <> 'recommend' THEN least(60.0, {sure}) WHEN {sure} < {min_confidence} THEN {sure} ELSE least(100.0, 70.0 + ({sure} - {min_confidence}) * 0.75) END",
+            "unsure": f"coalesce(debate_verdict = 'recommend' AND {sure} < {min_confidence}, false)",
+        },
+        {
+            "g_market": "CASE WHEN warm < 40 THEN 'fail' WHEN x_market >= 50 THEN 'pass' ELSE 'weak' END", "g_board": f"CASE WHEN coalesce(board, '') IN ({names}) THEN 'missing' WHEN board LIKE '{INDUSTRY}%' THEN 'weak_mapping' WHEN x_board >= 70 THEN 'pass' ELSE 'weak' END",
+            "g_price_volume": "CASE WHEN x_price_volume < 55 THEN 'fail' ELSE 'pass' END", "g_news": "CASE WHEN news_risk THEN 'fail' WHEN x_news >= 55 THEN 'pass' ELSE 'neutral' END", "g_trade_plan": "CASE WHEN chasing OR x_trade_plan < 60 THEN 'fail' ELSE 'pass' END",
+            "g_debate": f"CASE WHEN coalesce(debate_verdict, '') = '' THEN 'missing' WHEN debate_verdict = 'avoid' AND rule_side THEN 'rule_warn' WHEN debate_verdict = 'avoid' THEN 'fail' WHEN debate_verdict <> 'recommend' OR {sure} < {min_confidence} THEN 'weak' ELSE 'pass' END",
+        },
+        {"x_news": "CASE WHEN news_risk THEN x_news ELSE least(100.0, greatest(35.0, x_news)) END", "pool_score": "0.0", **{f"k_{k}": t for k, t in POOL_BLOCKERS.items()}},
+        {"pool_score": clip(" + ".join(f"x_{k} * {w}" for k, w in POOL_PARTS.items()), 0, 100)},
+        {"awaited": f"k_multi_agent_missing AND NOT ({any_of(hard)}) AND pool_score >= {full - 15}"},
+        {"g_debate": "CASE WHEN k_multi_agent_missing AND NOT awaited THEN 'not_scoped' ELSE g_debate END", "k_multi_agent_missing": "awaited"},
+        {"on_trial": f"g_debate = 'rule_warn' AND pool_score >= {trial} AND g_board = 'pass' AND g_price_volume = 'pass' AND g_trade_plan = 'pass' AND NOT ({any_of(POOL_BLOCKERS)})", "blockers": f"concat_ws(',', {against})"},
+        {"pool_mode": f"CASE WHEN on_trial THEN 'trial' WHEN pool_score >= {full} AND blockers = '' THEN 'full' WHEN awaited THEN 'pending' WHEN {any_of(OUT)} THEN 'blocked' ELSE 'watch' END", "gates": "concat_ws(',', " + ", ".join(f"g_{k}" for k in POOL_PARTS) + ")"},
+        {"pool_status": "CASE WHEN pool_mode IN ('trial', 'full') THEN 'core' WHEN pool_mode = 'pending' THEN 'pending' WHEN pool_mode = 'blocked' THEN 'rejected' ELSE 'watch' END"},
+        # what waits for a debate is shown with what is watched
+        {"pool_layer": "CASE WHEN pool_status = 'pending' THEN 'watch' ELSE pool_status END"},
     ]
 
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from barlattice.functions import scalars as s
 from barlattice.operators import decisions as d
-from barlattice.operators import links, news, rules
+from barlattice.operators import links, news, replies, rules
 from barlattice.operators import windows as w
 from barlattice.plans.common import Catalogue, layered, r, with_ctes
 from barlattice.plans.evaluation import LEX, THEME_SQL, THEMES, lexed
 from barlattice.plans.market import DAY, POOL, TEMP, pool, temperature
-from barlattice.plans.selection import BASE, GIVEN, WIDE_SQL, wide
+from barlattice.plans.selection import BASE, DAYS_SQL, GIVEN, POOLED, WIDE_SQL, warm, wide
 from barlattice.sources import adapters as a
 from barlattice.sources import quality as q
 
@@ -118,13 +118,10 @@ def verdict_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.ordered_verdicts(x, ["recommend", "watch", "avoid"])
 
 
-LAYERS = [*BASE, *rules.debate(), *rules.layered_pool()]
-
-
-@add("pool_layers", WIDE_SQL + f"SELECT pool_status, code, round(pool_score, 4) AS pool_score, place FROM (SELECT *, row_number() OVER (PARTITION BY pool_status ORDER BY pool_score DESC, code) AS place FROM {layered('wide', LAYERS)}) WHERE place <= CASE pool_status WHEN 'core' THEN 8 ELSE 60 END")
+@add("pool_layers", DAYS_SQL + f"SELECT pool_layer, code, round(CAST(pool_score AS DOUBLE), 4) AS pool_score, place FROM (SELECT *, row_number() OVER (PARTITION BY pool_layer ORDER BY pool_score DESC, code) AS place FROM {layered('warm_wide', POOLED)}) WHERE place <= CASE pool_layer WHEN 'core' THEN 8 ELSE 60 END")
 def pool_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = rules.derive(wide(spark, sf_dir), LAYERS).select("code", "pool_status", "pool_score")
-    return d.top_of_groups(x, "pool_status", "pool_score", {"core": 8, "pending": 60, "watch": 60, "rejected": 60}).select("pool_status", "code", r(F.col("pool_score").cast("double"), 4, "pool_score"), "place")
+    x = rules.derive(warm(spark, sf_dir), POOLED).select("code", "pool_layer", "pool_score")
+    return d.top_of_groups(x, "pool_layer", "pool_score", {"core": 8, "watch": 60, "rejected": 60}).select("pool_layer", "code", r(F.col("pool_score").cast("double"), 4, "pool_score"), "place")
 
 
 EVIDENCE_SQL = "WITH " + LEX + f", ev AS (SELECT *, CASE WHEN score > 55 THEN 'bullish' WHEN score < 45 THEN 'bearish' ELSE 'neutral' END AS label FROM (SELECT *, least(greatest(50 + (bull - bear - 1.5 * risk) / greatest(bull + bear + risk, 1) * 50, 0), 100) AS score FROM (SELECT theme, count(*) AS support, count(*) FILTER (kind LIKE 'bullish%') AS bull, count(*) FILTER (kind LIKE 'bearish%') AS bear, count(*) FILTER (risks > 0) AS risk FROM lx, {THEME_SQL} WHERE contains(text, theme) GROUP BY 1)))"
@@ -179,12 +176,23 @@ def factor_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("code", "in_budget", F.round("flow.net", 2).alias("flow_net"), F.col("flow.n").alias("flow_days"), r("up_share"))
 
 
-@add("page_facts", "SELECT s_suppkey AS key, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey AS DOUBLE) / 4 END AS eps_consensus, CASE WHEN s_suppkey % 3 = 0 THEN '买入' END AS rating, CASE WHEN s_suppkey % 2 = 1 THEN CAST(s_suppkey % 40 AS INTEGER) END AS analyst_count, CASE WHEN s_suppkey % 5 = 0 THEN 0.25 END AS dividend_per_share, CASE WHEN s_suppkey % 5 = 0 THEN '2024-06-0' || (s_suppkey % 9 + 1) END AS ex_date, CASE WHEN s_suppkey % 7 = 0 THEN 3.0 END AS bonus_ratio, CASE WHEN s_suppkey % 7 = 0 THEN 1.5 END AS transfer_ratio FROM supplier")
+@add("page_facts", """SELECT page_id, p_retailprice AS eps_consensus, CASE WHEN p_size % 3 = 0 THEN '买入' WHEN p_size % 3 = 1 THEN '增持' END AS rating, CAST(p_size AS INTEGER) AS analyst_count, CASE WHEN p_size % 2 = 0 THEN p_size / 4 END AS dividend_per_share, CASE WHEN p_size % 2 = 0 THEN '2024-06-1' || (p_size % 9) END AS ex_date, CASE WHEN p_size % 5 = 0 THEN 3.0 END AS bonus_ratio, CASE WHEN p_size % 5 = 0 THEN p_size / 10 END AS transfer_ratio
+FROM pages LEFT JOIN part ON p_partkey = page_id""")
 def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("s_suppkey")
+    """The stored web pages, each with a box on the part of its number in front of its footer, if there is such a part."""
     some = lambda test, *parts: F.when(test, F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])).otherwise("")
-    html = F.concat(F.lit("<p>"), some(k % 2 == 0, "一致预期每股收益： ", k / 4), some(k % 3 == 0, "综合评级：买入 </p>"), some(k % 2 == 1, k % 40, "位分析师"), some(k % 5 == 0, "每股派息： 0.25 元 除权除息日：2024-06-0", k % 9 + 1), some(k % 7 == 0, " 送股： 每10股送3股 转增：每10股转增1.5股"))
-    return d.page_facts(a.table(spark, sf_dir, "supplier").select(k.alias("key"), html.alias("html"))).drop("html")
+    size, price = F.col("p_size"), F.col("p_retailprice").cast("decimal(12,2)")
+    box = F.concat(F.lit("<table><tr><td>一致预期每股收益：</td><td><b>"), price.cast("string"), F.lit("</b></td></tr></table><p>"), some(size % 3 == 0, "综合评级： 买入 </p>"), some(size % 3 == 1, "综合评级:<i>增持</i>"), F.lit("共"), size.cast("string"), F.lit("位分析师"), some(size % 2 == 0, "每股派息&nbsp;", size / 4, " 元 除权除息日：2024-06-1", size % 9), some(size % 5 == 0, " 送股： 每10股送3股 转增：每10股转增", size / 10, "股"))
+    pages = a.table(spark, sf_dir, "pages").join(a.table(spark, sf_dir, "part"), F.col("page_id") == F.col("p_partkey"), "left")
+    return d.page_facts(pages.select("page_id", F.concat("html", F.coalesce(box, F.lit(""))).alias("html"))).drop("html")
+
+
+@add("event_properties", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, event_id % 5 <> 4 AS quoted FROM events")
+def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number in each event's properties, after these have come through as replies do: cut before the end, in single quotes, in a fence, with a text around, or whole."""
+    e, kind, raw = a.table(spark, sf_dir, "events"), F.col("event_id") % 5, F.col("props")
+    text = F.when(kind == 0, F.rtrim(raw, F.lit("}"))).when(kind == 1, F.replace(raw, F.lit('"'), F.lit("'"))).when(kind == 2, F.concat(F.lit("```json\n"), raw, F.lit("\n```"))).when(kind == 3, F.concat(F.lit("as asked {} : "), raw, F.lit(" }} so"))).otherwise(F.replace(raw, F.lit('"'), F.lit("")))
+    return e.select("event_id", F.get_json_object(replies.repaired(text), "$.k").cast("long").alias("k"), (kind != 4).alias("quoted"))
 
 
 @add("factor_notes", WIDE_SQL + f"SELECT code, concat_ws(', ', CASE WHEN lhb_net_wan > 0 THEN 'dragon-tiger net buying' END, CASE WHEN hot_rank <> 0 THEN 'hot list' END, CASE WHEN flow20 > 0 THEN '20-day inflow' END, CASE WHEN north5 > 0 THEN 'northbound buying' END) AS reasons, concat_ws(', ', CASE WHEN flow20 < 0 THEN '20-day outflow' END, CASE WHEN north5 < 0 THEN 'northbound selling' END, CASE WHEN n_ann_risks > 0 THEN 'risk announcement' END) AS risks FROM {layered('wide', [*BASE, GIVEN])}")

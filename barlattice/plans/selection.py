@@ -10,7 +10,7 @@ from barlattice.operators import market as m
 from barlattice.operators import rules
 from barlattice.operators import windows as w
 from barlattice.plans.common import Catalogue, layered, r, with_ctes
-from barlattice.plans.market import DAY, DOWN, POOL, UP, pool_of_day
+from barlattice.plans.market import DAY, DOWN, POOL, TEMP, UP, pool_of_day, temperature
 from barlattice.sources import adapters as a
 
 CATALOGUE = Catalogue()
@@ -74,7 +74,31 @@ ruled("outlook_band", [*SCORED, *rules.outlook()], {"calibrated": None, "confide
 ruled("recommendation_tags", [*SCORED, *rules.tags()], {"s_momentum": 4, "tag": None})
 ruled("rule_debate", [*BASE, *rules.debate()], {"debate_score": 2, "verdict": None})
 ruled("gate_decision", GATED, {"strategy": None, "bucket": None, "gate": None})
-ruled("layered_pool", [*BASE, *rules.debate(), *rules.layered_pool()], {"pool_score": 4, "n_blockers": 0, "pool_status": None})
+#: What the layered pool looks at, where these tables have a source or a stand-in for it; the debate is the rules' own, and missing for some.
+POOL_GIVEN = {
+    "market_data": "CASE WHEN turnover_rate IS NULL THEN 'degraded' ELSE 'ok' END", "structured_data": "CASE WHEN profit IS NULL THEN 'degraded' ELSE 'ok' END", "board_top": "coalesce(theme_place <= 5, false)", "board_hot": "coalesce(theme_place <= 12, false)",
+    "n_hints": "CASE WHEN ma5 > ma10 THEN 1 ELSE 0 END + CASE WHEN close > prior_high20 THEN 1 ELSE 0 END", "news_hot": "coalesce(theme_place <= 3, false)", "n_news": "coalesce(theme_place, 0)", "news_risk": "coalesce(profit < 0, false)", "planned": "entry > stop",
+    "debate_verdict": "CASE WHEN rps >= 20 THEN verdict END", "debate_confidence": "debate_score", "debate_by_rules": "rps < 70",
+}
+POOLED = [*BASE, *rules.debate(), {"news_score": GIVEN["news_score"]}, POOL_GIVEN, *rules.layered_pool()]
+DAYS_SQL = WIDE_SQL.rstrip() + TEMP.removeprefix(POOL) + ", warm_wide AS (SELECT w.*, t.temperature FROM wide w LEFT JOIN (SELECT trade_date, temperature FROM tp) t USING (trade_date)) "
+
+
+def warm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide rows with their day's market temperature."""
+    return wide(spark, sf_dir).join(temperature(spark, sf_dir).select("trade_date", "temperature"), "trade_date", "left")
+
+
+@add("layered_pool", DAYS_SQL + "SELECT code, " + ", ".join(f"round(CAST(x_{k} AS DOUBLE), 4) AS x_{k}" for k in rules.POOL_PARTS) + f", round(CAST(pool_score AS DOUBLE), 4) AS pool_score, gates, blockers, pool_mode, pool_status FROM {layered('warm_wide', POOLED)}")
+def layered_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = rules.derive(warm(spark, sf_dir), POOLED)
+    return x.select("code", *[r(F.col(f"x_{k}").cast("double"), 4, f"x_{k}") for k in rules.POOL_PARTS], r(F.col("pool_score").cast("double"), 4, "pool_score"), "gates", "blockers", "pool_mode", "pool_status")
+
+
+@add("pool_blockers", DAYS_SQL + f"SELECT blocker, count(*) AS n FROM (SELECT unnest(string_split(blockers, ',')) AS blocker FROM {layered('warm_wide', POOLED)}) WHERE blocker <> '' GROUP BY 1 ORDER BY n DESC, blocker LIMIT 10")
+def pool_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = rules.derive(warm(spark, sf_dir), POOLED).select(F.explode(F.split("blockers", ",")).alias("blocker")).where("blocker <> ''")
+    return x.groupBy("blocker").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "blocker").limit(10)
 
 
 @add("strategy_pools", WIDE_SQL + "SELECT pool, code, round(score, 4) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY score DESC, code) AS place FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS pool, code, CAST({s} AS DOUBLE) AS score FROM wide WHERE {t}" for k, (t, s) in POOL_RULES.items()) + ")) WHERE place <= 15")
@@ -97,6 +121,7 @@ def block_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.derive(wide(spark, sf_dir), GATED).groupBy("gate", "bucket").agg(F.count(F.lit(1)).alias("n")).where("CASE WHEN bucket <> 'final' THEN n ELSE 0 END > 0")
 
 
-@add("emotion_factors", "SELECT CAST(i AS INTEGER) AS temperature, round(CASE WHEN i <= 40 THEN 0.0 WHEN i <= 50 THEN (i - 40) / 10.0 * 0.4 WHEN i <= 70 THEN 0.4 + (i - 50) / 20.0 * 0.6 WHEN i <= 85 THEN 1.0 - (i - 70) / 15.0 * 0.4 WHEN i <= 95 THEN 0.6 - (i - 85) / 10.0 * 0.3 ELSE 0.3 END, 6) AS factor FROM range(0, 101) t(i)")
+@add("emotion_factors", with_ctes("ch", more=TEMP) + "SELECT trade_date, round(i, 4) AS temperature, round(CASE WHEN i <= 40 THEN 0.0 WHEN i <= 50 THEN (i - 40) / 10.0 * 0.4 WHEN i <= 70 THEN 0.4 + (i - 50) / 20.0 * 0.6 WHEN i <= 85 THEN 1.0 - (i - 70) / 15.0 * 0.4 WHEN i <= 95 THEN 0.6 - (i - 85) / 10.0 * 0.3 ELSE 0.3 END, 6) AS factor FROM (SELECT trade_date, temperature AS i FROM tp)")
 def emotion_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(101).select(F.col("id").cast("int").alias("temperature"), r(emotion_factor(F.col("id").cast("double")), alias="factor"))
+    """The position factor of every market day, from its temperature."""
+    return temperature(spark, sf_dir).select("trade_date", r("temperature", 4), r(emotion_factor(F.col("temperature")), alias="factor"))

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barlattice.functions.scalars import BINS
+from barlattice.operators import calibration as cal
 from barlattice.operators import evaluation as e
 from barlattice.operators import news
 from barlattice.operators import windows as w
 from barlattice.plans.common import Catalogue, r, with_ctes
-from barlattice.plans.market import temperature
+from barlattice.plans.market import DAY, temperature
 from barlattice.scratch import scratch_path, stored
 from barlattice.sources import adapters as a
 from barlattice.sources import journal
@@ -40,13 +41,29 @@ def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.rps(w.streak(f, F.col("main_net") > 0, "inflow_days"))
 
 
+def used(o: DataFrame) -> DataFrame:
+    """What calibration looks at, written once for those who read it more than once."""
+    return stored(o.select("code", "trade_date", "rps", "ret20", "volume_ratio_prev", "atr14", "close", "inflow_days", "ma5", "ma10", "ma20", "prior_n", "prior_high20", "fwd_ret5", "fwd_ret10"), "observed")
+
+
 def shown(g: DataFrame, *keys: str) -> DataFrame:
     return g.select(*keys, F.col("n").cast("double"), F.col("ups").cast("double"), r("mean"), r("sd", 4), r("ci_low"), r("ci_high"))
 
 
 @add("calibration_bins", with_ctes("rps", "flows", more=AHEAD + ", " + LONG) + stats_sql("horizon, feature, bin", "lo"))
 def calibration_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(e.bin_stats(e.observations(observed(spark, sf_dir)), "horizon", "feature", "bin"), "horizon", "feature", "bin")
+    return shown(cal.stats(cal.binned_moments(observed(spark, sf_dir))), "horizon", "feature", "bin")
+
+
+@add("calibration_rolled", with_ctes("rps", "flows", more=AHEAD + ", " + LONG.replace("FROM ob WHERE", f"FROM ob WHERE trade_date > {DAY} - 183 AND trade_date <= {DAY} AND")) + stats_sql("horizon, feature, bin", "lo"))
+def calibration_rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six months of calibration from a store of daily moments, written in two goes: up to a day, then what that day's horizons brought and the days after."""
+    path, o = scratch_path(spark, "calibration"), used(observed(spark, sf_dir))
+    cal.extend(spark, path, o.where(F.col("trade_date") <= F.lit(a.AS_OF).cast("date") - F.expr("INTERVAL 90 DAY")))
+    cal.extend(spark, path, o.where(F.col("trade_date") >= F.lit(cal.last_day(spark, path))))
+    cal.roll(spark, path, "2024-01", a.AS_OF, 30)
+    cal.roll(spark, path, "2024-02", a.AS_OF)
+    return shown(cal.load_latest(spark, path), "horizon", "feature", "bin")
 
 
 @add("calibration_pairs", with_ctes("rps", "flows", more=AHEAD) + stats_sql("horizon, bin_x, bin_y", "(" + " UNION ALL ".join(f"SELECT {h} AS horizon, {bin_sql('rps', 'rps')} AS bin_x, {bin_sql('ret20', 'ret20')} AS bin_y, fwd_ret{h} AS ret FROM ob WHERE fwd_ret{h} IS NOT NULL" for h in (5, 10)) + ")"))
@@ -74,9 +91,9 @@ PREDICT = AHEAD + ", " + LONG + ", st AS (SELECT *, ups / n AS share FROM (" + s
 
 @add("predict_lookup", with_ctes("rps", "flows", more=PREDICT) + "SELECT code, round(p * (1 - k) + bp * k, 6) AS probability, round(x * (1 - k) + be * k, 6) AS expected FROM (SELECT code, sum(share * wt) / sum(wt) AS p, sum(mean * wt) / sum(wt) AS x, CASE WHEN max(n) < 30 THEN 0.6 WHEN max(n) < 100 THEN 0.3 ELSE 0.15 END AS k FROM (SELECT l.code, st.*, sqrt(n) / (ci_high - ci_low + 0.05) AS wt FROM (" + " UNION ALL ".join(f"SELECT code, '{k}' AS feature, {bin_sql(x, k)} AS bin FROM last" for k, x in FEATS.items()) + ") l JOIN st USING (feature, bin) WHERE horizon = 5) GROUP BY 1) CROSS JOIN (SELECT * FROM bs WHERE horizon = 5)")
 def predict_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = observed(spark, sf_dir)
-    last = e.keep_last(o, ["code"], ["trade_date"])
-    return e.predict(last, e.bin_stats(e.observations(o), "horizon", "feature", "bin"), baseline(o)).select("code", r("probability"), r("expected"))
+    o = used(observed(spark, sf_dir))
+    bins = stored(cal.binned_moments(o), "bins")
+    return e.predict(e.keep_last(o, ["code"], ["trade_date"]), cal.stats(bins), cal.baseline(bins)).select("code", r("probability"), r("expected"))
 
 
 JOURNAL = "jn AS (SELECT code, trade_date FROM rps WHERE rps >= 95)"

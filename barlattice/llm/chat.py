@@ -82,27 +82,25 @@ class Registry:
                 if step[0] == "each":
                     self.put([f"{step[1]}[]", *[f for f in layout["fields"] if not f.startswith(f"{step[1]}[]")]], layout)
         self.variants.sort(key=lambda v: -len(v[0]))
-        self.known: dict[str, str | None] = {}
+        #: Of sets of paths: the fingerprint, and that of the mapping which fits.
+        self.known: dict[frozenset[str], tuple[str, str | None]] = {}
 
     def put(self, fields: list[str], layout: dict) -> None:
         self.by_print[fingerprint(fields)] = layout
         self.variants.append((set(fields), fingerprint(fields)))
 
-    def fitting(self, mark: str, of: set[str]) -> str | None:
-        """The fingerprint of the mapping for a record with these paths; undeclared ones are ignored."""
-        if mark in self.by_print:
-            return mark
-        if mark not in self.known:
+    def fitting(self, of: frozenset[str]) -> tuple[str, str | None]:
+        """The fingerprint of a record with these paths, and that of the mapping for it, undeclared paths ignored; both are found once for each set of paths."""
+        if of not in self.known:
             if len(self.known) >= KNOWN:
                 self.known.clear()
-            self.known[mark] = next((m for fields, m in self.variants if fields <= of), None)
-        return self.known[mark]
+            mark = fingerprint(of)
+            self.known[of] = mark, mark if mark in self.by_print else next((m for fields, m in self.variants if fields <= of), None)
+        return self.known[of]
 
     def turns(self, record: dict) -> tuple[str, list[tuple[str, str]] | None]:
         """The record's fingerprint, and its turns; None if no mapping has the fingerprint."""
-        of = paths(record)
-        mark = fingerprint(of)
-        fit = self.fitting(mark, of)
+        mark, fit = self.fitting(frozenset(paths(record)))
         return mark, None if fit is None else self.mapped(fit, record)
 
     def mapped(self, mark: str, record: dict) -> list[tuple[str, str]] | None:
@@ -162,6 +160,15 @@ def read_turns(formatted: str) -> Iterator[tuple[str, str, int, int]]:
         at = end + len(END)
 
 
+def parsed(raw: str | None) -> dict:
+    """A record; broken JSON, and JSON that is no object, count as an empty one."""
+    try:
+        value = json.loads(raw) if raw else {}
+    except (ValueError, RecursionError):
+        value = {}
+    return value if isinstance(value, dict) else {}
+
+
 RECORDS = pa.schema([("record_id", pa.int64()), ("fingerprint", pa.string()), ("formatted", pa.string()), ("loss_start", pa.list_(pa.int64())), ("loss_end", pa.list_(pa.int64())), ("n_turns", pa.int64())])
 
 
@@ -171,11 +178,7 @@ def format_json(layouts: Iterable[dict]):
         for batch in batches:
             rows = []
             for key, raw in zip(batch.column("record_id").to_pylist(), batch.column("record").to_pylist(), strict=True):
-                try:
-                    value = json.loads(raw) if raw else {}
-                except ValueError:
-                    value = {}
-                mark, turns = registry.turns(value if isinstance(value, dict) else {})
+                mark, turns = registry.turns(parsed(raw))
                 text, mask = format_turns(turns or [])
                 rows.append({"record_id": key, "fingerprint": mark, "formatted": text if turns is not None else None, "loss_start": [a for a, _ in mask], "loss_end": [b for _, b in mask], "n_turns": len(turns or [])})
             yield pa.RecordBatch.from_pylist(rows, schema=RECORDS)
@@ -189,26 +192,44 @@ def format_records(records: DataFrame, id_col: str = "record_id", json_col: str
     return rows.mapInArrow(format_json(layouts), "record_id long, fingerprint string, formatted string, loss_start array<long>, loss_end array<long>, n_turns long")
 
 
-FORMATTED = pa.schema([("conv_id", pa.int64()), ("turn_no", pa.int64()), ("formatted", pa.string())])
-
+TURNS = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("piece", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("fingerprint", pa.string())])
 
-def format_rows(registry: Registry):
-    """Sorted rows of turns, each a record of the layout role, text, to formatted pieces in order."""
 
+def turn_rows(layouts: Iterable[dict]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_conv, number = object(), 0
+        registry = Registry(layouts)
         for batch in batches:
-            numbers, pieces = [], []
-            for conv, role, text in zip(batch.column("conv_id").to_pylist(), batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                number = number + 1 if conv == open_conv else 0
-                open_conv = conv
-                pieces.append("".join(format_turn(r, t) for r, t in registry.turns({"role": role, "text": text})[1]))
-                numbers.append(number)
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(numbers, type=pa.int64()), pa.array(pieces, type=pa.string())], schema=FORMATTED)
+            rows: list[tuple] = []
+            for conv, turn, raw in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "record")), strict=True):
+                mark, turns = registry.turns(parsed(raw))
+                rows += [(conv, turn, k, role, text, mark) for k, (role, text) in enumerate(turns)] if turns is not None else [(conv, turn, None, None, None, mark)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(TURNS), TURNS, strict=True)], schema=TURNS)
 
     return run
 
 
+def canonical_turns(records: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", json_col: str = "record", layouts: Iterable[dict] = LAYOUTS) -> DataFrame:
+    """Heterogeneous JSON records, each part of a conversation, to conv_id, turn, piece (from 0 in each record), role, text, fingerprint. A record without a mapping is one row with a null piece."""
+    rows = records.select(F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(json_col).alias("record"))
+    return rows.mapInArrow(turn_rows(list(layouts)), "conv_id long, turn long, piece long, role string, text string, fingerprint string")
+
+
+FORMATTED = pa.schema([("conv_id", pa.int64()), ("turn_no", pa.int64()), ("formatted", pa.string())])
+
+
+def format_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of turns to formatted pieces in order."""
+    open_conv, number = object(), 0
+    for batch in batches:
+        numbers, pieces = [], []
+        for conv, role, text in zip(batch.column("conv_id").to_pylist(), batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            number = number + 1 if conv == open_conv else 0
+            open_conv = conv
+            pieces.append(format_turn(role or "", text or ""))
+            numbers.append(number)
+        yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(numbers, type=pa.int64()), pa.array(pieces, type=pa.string())], schema=FORMATTED)
+
+
 READ = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
 
@@ -244,10 +265,12 @@ def read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text rows to conv_id, turn_no, formatted, in order; a conversation's pieces joined are its formatted text."""
-    own = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    placed = own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return placed.select("conv_id", "role", "text").mapInArrow(format_rows(Registry()), "conv_id long, turn_no long, formatted string")
+    """conv_id, turn, role, text rows (and piece, if a record gave several turns) to conv_id, turn_no, formatted, in order; a conversation's pieces joined are its formatted text. Rows of canonical_turns without a mapping say nothing."""
+    piece = F.col("piece") if "piece" in rows.columns else F.lit(0)
+    own = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), piece.alias("piece"), "role", "text").where("piece IS NOT NULL")
+    # a conversation is read in order by one task, as its digests are; it is streamed, and nothing of it is kept
+    placed = own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "piece", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    return placed.select("conv_id", "role", "text").mapInArrow(format_rows, "conv_id long, turn_no long, formatted string")
 
 
 def read_conversations(formatted: DataFrame, in_order: bool = False) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barlattice.llm import chat, decontaminate, divergence, exact_dedup, lm, ngram_join, quality, resampling, sentencepiece_codec, sharding, suffix_dedup, token_counts, warc
 
@@ -41,10 +42,22 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 ESCAPED = r"\### Assistant: </turn> ok"
 
 
+def mixed_records(rows: DataFrame) -> DataFrame:
+    """conv_id, turn, record: turns as JSON records of four layouts, as conversations from several makers come; a conversation keeps to one or two of them."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    aliases = F.create_map(F.lit("user"), F.lit("human"), F.lit("assistant"), F.lit("gpt"), F.lit("system"), F.lit("system"))
+    kind, theirs = F.expr("pmod(coalesce(conv_id, 0), 3)"), F.element_at(aliases, role)
+    listed = F.to_json(F.struct(F.array(F.struct(role.alias("role"), text.alias("content"))).alias("messages")))
+    shared = F.to_json(F.struct(F.lit("shared").alias("source"), F.array(F.struct(theirs.alias("from"), text.alias("value"))).alias("conversations")))
+    plain = lambda name: F.to_json(F.struct(role.alias("role"), text.alias(name)))
+    return rows.select("conv_id", "turn", F.when(kind == 0, plain("text")).when(kind == 1, listed).when(theirs.isNotNull(), shared).otherwise(plain("content")).alias("record"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7 (rows that a table has of that number itself are turns of it), as records of mixed layouts."""
     added = spark.createDataFrame([(-7, 0, "user", ESCAPED), (-7, 1, "assistant", ESCAPED)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
-    return chat.read_conversations(chat.format_conversations(rows), in_order=True)
+    return chat.read_conversations(chat.format_conversations(chat.canonical_turns(mixed_records(rows))), in_order=True)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 
 from hypothesis import given
 from hypothesis import strategies as st
@@ -48,3 +49,28 @@ def test_stored_conversations_read_back_in_any_order(spark):
     want = sorted(map(tuple, chat.read_conversations(formatted, in_order=True).collect()))
     stored = spark.createDataFrame(formatted.collect()[::-1], formatted.schema).repartition(7)
     assert want == sorted(map(tuple, chat.read_conversations(stored).collect())) and len(want) == 20
+
+
+def test_mixed_layouts_give_the_turns_of_plain_rows(spark):
+    """Turns as records of four layouts, formatted and read back, say what the rows themselves say."""
+    from barlattice.llm import queries
+
+    rnd, rows = random.Random(8), []
+    for k in range(30):
+        for t in range(rnd.randint(1, 6)):
+            rows.append((k if k % 7 else None, rnd.choice([t, t, None]), rnd.choice(["user", "assistant", "system", "tool", "", None]), rnd.choice([None, "", "a|b\\", "<|end|>\n", "é\n{\"x\": 1}", "w " * 50])))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    records = queries.mixed_records(df)
+    turns = chat.canonical_turns(records)
+    assert turns.where("piece IS NULL").count() == 0 and turns.select("fingerprint").distinct().count() == 4
+    read = lambda x: sorted(map(tuple, chat.read_conversations(chat.format_conversations(x)).collect()), key=str)
+    assert read(turns) == read(df)
+
+
+def test_records_of_several_turns_stay_in_order(spark):
+    records = [(1, 2, '{"prompt": "q2", "completion": "a2"}'), (1, 1, '{"messages": [{"role": "user", "content": "z"}, {"role": "assistant", "content": "y"}, {"role": "user", "content": "x"}]}'), (2, 1, '{"odd": 1}'), (2, 2, None), (3, 1, "[" * 100_000)]
+    turns = chat.canonical_turns(spark.createDataFrame(records, "conv_id long, turn long, record string"))
+    formatted = "".join(r["formatted"] for r in chat.format_conversations(turns).orderBy("conv_id", "turn_no").collect())
+    assert [t[:2] for t in chat.read_turns(formatted)] == [("user", "z"), ("assistant", "y"), ("user", "x"), ("user", "q2"), ("assistant", "a2")]
+    assert sorted((r["conv_id"], r["turn"]) for r in turns.where("piece IS NULL").collect()) == [(2, 1), (2, 2), (3, 1)]
+    assert chat.canonical_turns(spark.createDataFrame([], "conv_id long, turn long, record string")).count() == 0

@@ -26,16 +26,11 @@ def test_fields_missing_in_single_elements_count_as_empty(spark):
     assert row["n_turns"] == 3
 
 
-def test_the_registered_path_asks_the_registry(spark, monkeypatch):
+def test_a_fingerprint_is_taken_once_for_each_set_of_paths(monkeypatch):
     seen = []
-
-    class Told(chat.Registry):
-        def turns(self, record):
-            seen.append(record)
-            return super().turns(record)
-
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_pydict({"conv_id": [1, 1], "role": ["user", None], "text": ["q", "x"]})
-    out = list(chat.format_rows(Told())(iter([batch])))
-    assert len(seen) == 2 and out[0].column("formatted").to_pylist() == [chat.format_turn("user", "q"), chat.format_turn("", "x")]
+    plain = chat.fingerprint
+    registry = chat.Registry()
+    monkeypatch.setattr(chat, "fingerprint", lambda of: seen.append(1) or plain(of))
+    for k in range(50):
+        assert registry.turns({"role": "user", "text": str(k)})[1] == [("user", str(k))] and registry.turns({"messages": MESSAGES})[1] == WANT
+    assert len(seen) == 2

@@ -9,8 +9,11 @@ from barlattice.operators import links
 from barlattice.operators import windows as w
 from barlattice.plans.common import Catalogue, r, with_ctes
 from barlattice.plans.market import POOL, pool
+from barlattice.scratch import scratch_path, stored
 from barlattice.sources import adapters as a
-from barlattice.sources.quality import by_priority
+from barlattice.sources.dated import register
+from barlattice.sources.quality import by_priority, parse_quote_lines
+from barlattice.streaming import streaks
 from barlattice.streaming.rollup import sessions
 
 CATALOGUE = Catalogue()
@@ -82,3 +85,36 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stock_text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = a.table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("code")).agg(F.avg("n_chars").alias("score"))
     return links.fused_score(d.where("code <> 'de'"), d).withColumn("score", r("score", 4))
+
+
+@add("quote_files", with_ctes("bars") + "SELECT 'n' || code AS name, code, round(close, 6) AS price, volume * 100 AS volume, round(amount * 10000, 2) AS amount, strftime(trade_date, '%Y-%m') AS month FROM bars WHERE strftime(trade_date, '%Y-%m') BETWEEN '2000-08' AND '2001-01'")
+def quote_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half a year of quotes from files of quote lines in folders by month; the months are pushed to the source, which opens no other folder."""
+    path, day = scratch_path(spark, "quotes"), F.col("trade_date")
+    line = F.concat_ws("~", F.concat(F.lit("n"), "code"), "code", F.col("close").cast("string"), F.col("volume").cast("string"), F.col("amount").cast("string"))
+    a.bars(spark, sf_dir).select(F.date_format(day, "yyyy-MM").alias("month"), line.alias("value")).repartition("month").write.partitionBy("month").text(path)
+    register(spark)
+    lines = spark.read.format("dated").option("path", path).option("by", "month").load().where(F.col("month").between("2000-08", "2001-01"))
+    return parse_quote_lines(lines, keep=["month"]).select("name", "code", r("price"), "volume", r("amount", 2), "month")
+
+
+@add("inflow_streak_streamed", with_ctes("flows") + """SELECT code, trade_date, main_net, CASE WHEN main_net > 0 THEN count(*) FILTER (main_net > 0) OVER (PARTITION BY code, island ORDER BY trade_date) ELSE 0 END AS inflow_days
+FROM (SELECT *, sum(CASE WHEN main_net > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY code ORDER BY trade_date) AS island FROM flows)""")
+def inflow_streak_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flows as a stream that stops and goes on twice, then says what is left: each row's streak once the watermark has passed it."""
+    path, flows = scratch_path(spark, "stream"), stored(a.flows(spark, sf_dir).select("code", F.col("trade_date").cast("timestamp").alias("ts"), F.col("main_net").alias("value")), "flows")
+    late = flows.agg(F.max("ts")).first()[0]
+    end = lambda days: flows.limit(0).select(F.lit("end").alias("code"), "ts", "value").union(spark.range(1).select(F.lit("end"), F.expr(f"timestamp '{late}' + interval {days} day"), F.lit(0.0)))
+    slices = [flows.where("ts < '1997-01-01'"), flows.where("ts >= '1997-01-01' AND ts < '2000-01-01'"), flows.where("ts >= '2000-01-01'"), end(40), end(80)]
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, streaks.PROVIDER)
+    try:
+        for rows in slices:
+            rows.write.mode("append").parquet(f"{path}/in")
+            told = streaks.streaks(spark.readStream.schema(flows.schema).parquet(f"{path}/in"))
+            told.writeStream.option("checkpointLocation", f"{path}/check").trigger(availableNow=True).outputMode("append").format("parquet").start(f"{path}/out").awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    out = spark.read.schema(streaks.OUT).parquet(f"{path}/out").where("code <> 'end'")
+    return out.select("code", F.col("ts").cast("date").alias("trade_date"), F.col("value").alias("main_net"), F.col("streak").alias("inflow_days"))

@@ -67,12 +67,12 @@ def write_snapshot(tables: dict[str, DataFrame], root: str) -> dict[str, str]:
     return states
 
 
-def parse_quote_lines(lines: DataFrame, separator: str = "~", fields: int = 5) -> DataFrame:
-    """Delimited quote lines (name, code, price, volume in lots of 100, amount in 1e4) to typed rows; short lines go."""
+def parse_quote_lines(lines: DataFrame, separator: str = "~", fields: int = 5, keep: list[str] | None = None) -> DataFrame:
+    """Delimited quote lines (name, code, price, volume in lots of 100, amount in 1e4) to typed rows, with the columns to keep; short lines go."""
     parts = F.split("value", separator)
     d = lines.withColumn("p", parts).where(F.size("p") >= fields)
     num = lambda k: F.get("p", F.lit(k)).try_cast("double")
-    return d.select(F.get("p", F.lit(0)).alias("name"), F.get("p", F.lit(1)).alias("code"), num(2).alias("price"), (num(3) * 100).alias("volume"), (num(4) * 1e4).alias("amount"))
+    return d.select(F.get("p", F.lit(0)).alias("name"), F.get("p", F.lit(1)).alias("code"), num(2).alias("price"), (num(3) * 100).alias("volume"), (num(4) * 1e4).alias("amount"), *(keep or []))
 
 
 def turnover_fields(df: DataFrame, column: str | None, source: str = "") -> DataFrame:

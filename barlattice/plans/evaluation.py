@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barlattice.functions.scalars import BINS
+from barlattice.functions.scalars import BINS, emotion_factor
 from barlattice.operators import calibration as cal
 from barlattice.operators import evaluation as e
-from barlattice.operators import news
+from barlattice.operators import news, rules
 from barlattice.operators import windows as w
 from barlattice.plans.common import Catalogue, r, with_ctes
 from barlattice.plans.market import DAY, temperature
+from barlattice.plans.selection import TREND
 from barlattice.scratch import scratch_path, stored
 from barlattice.sources import adapters as a
 from barlattice.sources import journal
@@ -281,6 +282,26 @@ def backtest_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("grid", "days", F.round(F.col("last") / 1_000_000.0 - 1, 6).alias("total_return"), F.round(F.try_divide(F.col("mean"), F.col("sd")) * F.sqrt(F.lit(252.0)), 4).alias("sharpe"), F.round(F.col("drawdown"), 6).alias("max_drawdown"))
 
 
+#: The grid of planned trades: least market temperature and days held; every candidate of the scan counts.
+PLAN_GRID = [(t, 0, h) for t in (30, 40, 50) for h in (10, 20, 30)]
+
+
+def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of every day's trend scan with the stop, first target and size of their own plans, at the day's temperature. score: the scan's order."""
+    f = w.rps(w.streak(w.features(a.bars_and_flows(spark, sf_dir)), F.col("main_net") > 0, "inflow_days"))
+    days = temperature(spark, sf_dir).select("trade_date", "temperature")
+    rows = f.join(a.stocks(spark, sf_dir).select("code", "circ_mv_yi"), "code").join(days, "trade_date", "left").withColumn("emotion", emotion_factor(F.coalesce("temperature", F.lit(50.0))))
+    plans = rules.derive(rows, [*TREND, *rules.entry_exit(), *rules.position()]).where("selected AND stop > 0 AND n_points > 0 AND target1 > stop")
+    return plans.select("code", "trade_date", F.col("order_key").cast("double").alias("score"), "stop", F.col("target1").alias("target"), F.col("shares").cast("double").alias("shares"), "temperature")
+
+
+@add("backtest_plans")
+def backtest_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger over the trend scan's candidates, each with its own plan; in markets too cold for any emotion a plan has no shares."""
+    rows = held_for(planned(spark, sf_dir), a.bars(spark, sf_dir), [h for *_, h in PLAN_GRID])
+    return e.totals(e.log_of(e.walked(gridded(e.outcomes(rows), PLAN_GRID)))).withColumn("final_equity", r("final_equity", 2))
+
+
 @add("backtest_resumed")
 def backtest_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sweep in two runs over a store: one on what was known at a day, one on everything; the second walks the days after the first only."""

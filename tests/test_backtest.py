@@ -141,3 +141,38 @@ def test_planned_shares_go_as_far_as_the_cash(spark):
     got = {r["code"]: r["shares"] for r in e.trade_log(told, cash=10_000.0, slots=5).collect()}
     assert got == {"a": 300, "b": 600}  # 10,000 less 300 at 10.01 and its fee leaves 600; then nothing is left for a lot
     assert e.settled_before(told) is None and e.settled_before(told.withColumn("hold", F.lit(3))) == day(2)
+
+
+def test_plans_are_walked_as_a_plain_ledger_walks_them(spark):
+    """Candidates and plans are those of the rules; each day's are taken in the scan's order, at their planned size as far as the cash goes."""
+    sf_dir = "/root/testdata/sf0.01"
+    told = sorted(evaluation.planned(spark, sf_dir).collect(), key=lambda r: (r["trade_date"], -r["score"], r["code"]))
+    assert told and any(r["shares"] > 0 for r in told) and all(r["stop"] < r["target"] for r in told)
+    bars: dict = {}
+    for r in evaluation.a.bars(spark, sf_dir).select("code", "trade_date", "open", "close").orderBy("code", "trade_date").collect():
+        bars.setdefault(r["code"], []).append(tuple(r)[1:])
+    at = {(c, b[0]): k for c, path in bars.items() for k, b in enumerate(path)}
+    got = {r["grid"]: (r["trades"], r["wins"], r["final_equity"]) for r in registry.queries()["backtest_plans"](spark, sf_dir).collect()}
+    assert got
+    for grid, found in got.items():
+        temp, hold = int(grid.split("_")[0][4:]), int(grid.split("hold")[1])
+        money, held, trades, wins = 1e6, [], 0, 0
+        for r in told:
+            path = bars[r["code"]][at[r["code"], r["trade_date"]] + 1 :][: hold + 1]
+            if (50.0 if r["temperature"] is None else r["temperature"]) < temp or len(path) < 2:
+                continue
+            money += sum(x for d, x in held if d <= r["trade_date"])
+            held = [(d, x) for d, x in held if d > r["trade_date"]]
+            price = path[0][1] * 1.001
+            shares = min(int(r["shares"]), int(money / (price * 1.0003) // 100 * 100))
+            if len(held) >= 10 or shares <= 0:
+                continue
+            hit = lambda x: x <= r["stop"] or x >= r["target"]  # noqa: B023, E731
+            for k, (day, o, c) in enumerate(path[1:], start=2):
+                out = o if hit(o) or k == len(path) else c if hit(c) else None
+                if out is not None:
+                    break
+            money -= shares * price * 1.0003
+            held.append((day, shares * out * 0.999 * (1 - 0.0013)))
+            trades, wins = trades + 1, wins + (out > price)
+        assert found[:2] == (trades, wins) and found[2] == pytest.approx(money + sum(x for _, x in held), abs=0.02), grid

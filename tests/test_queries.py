@@ -52,7 +52,7 @@ def test_queries_without_sql_give_a_row_per_grid_point(spark, name):
     """Their values are checked in test_backtest.py; on these tables every grid point with a signal has one row."""
     rows = QUERIES[name](spark, SF).collect()
     grids = [r["grid"] for r in rows]
-    assert len(grids) == len(set(grids)) and set(grids) <= {f"temp{t}_rps{s}_hold{h}" for t, s, h in evaluation.GRID + evaluation.USUAL_GRID}
+    assert len(grids) == len(set(grids)) and set(grids) <= {f"temp{t}_rps{s}_hold{h}" for t, s, h in evaluation.GRID + evaluation.USUAL_GRID + evaluation.PLAN_GRID}
     assert all(r["trades"] >= 0 for r in rows if "trades" in r)
 
 

@@ -64,3 +64,19 @@ def test_shards_fit_and_only_large_buckets_split(docs, made, empty, spark, tmp_p
     assert {r["shard_id"] for r in sharding.assign_shards(docs, 1 << 40).collect()} == {""}
     sharding.write_shards(docs.withColumnRenamed("block", "shard"), str(tmp_path / "out"), limit)
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(made)
+
+
+def test_a_crowded_slot_is_split_alone(spark):
+    """3,000 keys that differ in their last 20 bits only, beside 3,000 spread ones: the directory has few slots more than one that never saw them."""
+    import random
+
+    rnd = random.Random(3)
+    spread = [(rnd.getrandbits(60), 10) for _ in range(3000)]
+    near = [((5 << 57) | rnd.getrandbits(20), 10) for _ in range(3000)]
+    keys = lambda rows: spark.createDataFrame(rows, "h long, doc_bytes long")
+    slots, levels = sharding.directory(keys(spread + near), 1000)
+    assert len(levels) > 8 and slots.count() < sharding.directory(keys(spread), 1000)[0].count() + 1000
+    rows = sharding.located(keys(spread + near).withColumn("bits", sharding.F.lit(7)).drop("bits"), "h", slots, levels).collect()
+    assert len(rows) == 6000
+    size = collections.Counter((r["depth"], r["prefix"]) for r in rows)
+    assert all(r["prefix"] == r["h"] >> (60 - r["depth"]) and r["shard_docs"] == size[r["depth"], r["prefix"]] <= 100 for r in rows)

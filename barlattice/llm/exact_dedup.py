@@ -6,8 +6,7 @@
 3. Their exact group sizes and winners are counted with map-side partial sums ("verified"), and broadcast:
    at most `heavy_items` rows, whatever the input.
 4. Map-side, copies that lose against a broadcast winner need no shuffle; only winners and the remaining
-   digests are shuffled. A remaining group is never larger than the summary's error bound,
-   3.5 / tracked of the rows.
+   digests are shuffled, and these are counted in parts before: a group goes through no single task whole.
 
 Defined results: null text is the empty text; the row with the largest doc_id stays, a null doc_id counts as
 the smallest; rows that repeat both doc_id and text all count in group_size, and in `drop_copies` exactly one
@@ -56,13 +55,10 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = digests.join(F.broadcast(winners), "digest", "left")
     loses = F.col("w_size").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("w_keep"))
     lost = joined.where(loses).select("doc_id", F.col("w_keep").alias("keep_id"), F.col("w_size").alias("group_size"), "digest")
-    same = Window.partitionBy("digest")
-    rest = joined.where(~loses).select(
-        "doc_id",
-        F.when(F.col("w_size").isNotNull(), F.col("w_keep")).otherwise(F.max("doc_id").over(same)).alias("keep_id"),
-        F.coalesce("w_size", F.count(F.lit(1)).over(same)).alias("group_size"),
-        "digest",
-    )
+    left = joined.where(~loses)
+    # sizes and winners of the other digests: partial counts before the shuffle, then joined back
+    groups = left.where("w_size IS NULL").groupBy("digest").agg(F.max("doc_id").alias("g_keep"), F.count(F.lit(1)).alias("g_size"))
+    rest = left.join(groups, "digest", "left").select("doc_id", F.when(F.col("w_size").isNotNull(), F.col("w_keep")).otherwise(F.col("g_keep")).alias("keep_id"), F.coalesce("w_size", "g_size").alias("group_size"), "digest")
     return lost.unionByName(rest).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 

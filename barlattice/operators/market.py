@@ -9,8 +9,8 @@ from barlattice.functions.scalars import anchor_score, average_rank, clamp, firs
 from barlattice.operators.windows import streak
 
 
-def pool(changes: DataFrame, up: float, down: float) -> DataFrame:
-    """Bars with the streak of days at the upper limit; touched but not held: broke."""
+def pool(changes: DataFrame, up: float | Column, down: float | Column) -> DataFrame:
+    """Bars with the streak of days at the upper limit; touched but not held: broke. Limits are numbers, or columns such as those of each stock's venue."""
     flagged = streak(changes, F.col("pct_change") >= up, "streak")
     touched = (ratio(F.col("high"), F.col("prev_close")) * 100 - 100 >= up) & (F.col("pct_change") < up)
     return flagged.withColumn("is_up", F.coalesce(F.col("pct_change") >= up, F.lit(False))).withColumn("is_down", F.coalesce(F.col("pct_change") <= down, F.lit(False))).withColumn("is_broke", F.coalesce(touched, F.lit(False)))

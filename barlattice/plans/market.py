@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barlattice.functions.scalars import clamp
+from barlattice.functions.scalars import clamp, up_limit
 from barlattice.operators import market as m
 from barlattice.operators import windows as w
 from barlattice.plans.common import Catalogue, r, with_ctes
@@ -186,3 +186,15 @@ def market_structure_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     boards = p.where("pct_change IS NOT NULL").join(a.stocks(spark, sf_dir).select("code", "board"), "code").groupBy("trade_date", "board").agg(F.avg("pct_change").alias("pct"))
     d = m.structure_days(p, m.ma_breadth(w.features(a.bars(spark, sf_dir))), m.rotation_speed(m.leaders(boards)))
     return m.structure(d, SCALE).select("trade_date", "approximate", r("structure", 4))
+
+
+@add("venue_pools", with_ctes("ch", more="""v AS (SELECT * EXCLUDE (code), lpad(CAST(CAST(code AS INTEGER) * 36731 % 1000000 AS VARCHAR), 6, '0') AS code FROM ch),
+l AS (SELECT *, CASE WHEN substr(code, 1, 2) IN ('30', '68') THEN 19.5 ELSE 9.5 END AS up FROM v),
+p AS (SELECT *, CASE WHEN pct_change >= up THEN count(*) FILTER (pct_change >= up) OVER (PARTITION BY code, island ORDER BY trade_date) ELSE 0 END AS streak FROM (SELECT *, sum(CASE WHEN pct_change >= up THEN 0 ELSE 1 END) OVER (PARTITION BY code ORDER BY trade_date) AS island FROM l))""")
++ "SELECT trade_date, up, count(*) FILTER (pct_change >= up) AS limit_up, count(*) FILTER (pct_change <= -up) AS limit_down, count(*) FILTER (high / prev_close * 100 - 100 >= up AND pct_change < up) AS broke, max(CASE WHEN pct_change >= up THEN streak END) AS max_streak FROM p WHERE pct_change IS NOT NULL GROUP BY 1, 2")
+def venue_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pools of each day by the limit of the stocks' venue: 20 per cent venues beside the others. Codes are spread over all venues."""
+    code = F.lpad((F.col("code").cast("int") * 36_731 % 1_000_000).cast("string"), 6, "0")
+    changes = a.changes(a.bars(spark, sf_dir)).withColumn("code", code).withColumn("up", up_limit(F.col("code")))
+    p = m.pool(changes, F.col("up"), -F.col("up")).where("pct_change IS NOT NULL")
+    return p.groupBy("trade_date", "up").agg(F.count_if("is_up").alias("limit_up"), F.count_if("is_down").alias("limit_down"), F.count_if("is_broke").alias("broke"), F.max(F.when(F.col("is_up"), F.col("streak"))).alias("max_streak"))

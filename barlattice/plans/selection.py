@@ -11,6 +11,7 @@ from barlattice.operators import rules
 from barlattice.operators import windows as w
 from barlattice.plans.common import Catalogue, layered, r, with_ctes
 from barlattice.plans.market import DAY, DOWN, POOL, TEMP, UP, pool_of_day, temperature
+from barlattice.scratch import stored
 from barlattice.sources import adapters as a
 
 CATALOGUE = Catalogue()
@@ -106,6 +107,24 @@ def strategy_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.run_pools(wide(spark, sf_dir), POOL_RULES).select("pool", "code", r("score", 4), "place")
 
 
+#: The gate's layers over rows whose strategy comes from the pools' signals.
+SIGNALLED = [{k: x for k, x in VALUE.items() if k != "strategy"}, *GATED[1:]]
+SIGNALS_SQL = " UNION ALL ".join(f"SELECT '{k}' AS pool, code, CAST({s} AS DOUBLE) AS score FROM wide WHERE {t}" for k, (t, s) in POOL_RULES.items())
+
+
+@add("gate_outer", WIDE_SQL.rstrip() + f""", sg AS (SELECT code, arg_max(pool, (score, pool)) AS strategy, max(score) AS signal FROM (SELECT * FROM ({SIGNALS_SQL}) QUALIFY row_number() OVER (PARTITION BY pool ORDER BY score DESC, code) <= 15) GROUP BY 1),
+cand AS (SELECT code, trend_points FROM {layered('wide', TREND)} WHERE selected), both_sides AS (SELECT coalesce(sg.code, cand.code) AS code, strategy, signal, trend_points FROM sg FULL JOIN cand ON sg.code = cand.code), given AS (SELECT wide.*, strategy, signal, trend_points AS scan_points FROM both_sides JOIN wide USING (code))
+SELECT code, strategy, round(signal, 4) AS signal, round(CAST(scan_points AS DOUBLE), 4) AS scan_points, bucket, gate FROM {layered('given', SIGNALLED)}""")
+def gate_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate over the full outer join of the pools' best signals and the scan's candidates: codes of signals alone are judged as those of both, codes of the scan alone stay out of the final ones."""
+    x = stored(wide(spark, sf_dir), "wide")
+    hits = rules.run_pools(x, POOL_RULES)
+    signals = hits.groupBy("code").agg(F.max_by("pool", F.struct("score", "pool")).alias("strategy"), F.max("score").alias("signal"))
+    scanned = rules.derive(x, TREND).where("selected").select("code", F.col("trend_points").alias("scan_points"))
+    rows = signals.join(scanned, "code", "full").join(x, "code")
+    return rules.derive(rows, SIGNALLED).select("code", "strategy", r("signal", 4), r(F.col("scan_points").cast("double"), 4, "scan_points"), "bucket", "gate")
+
+
 @add("broad_watch_pool", with_ctes("spot", more="s AS (SELECT *, avg(CASE WHEN circ_mv_yi > 0 THEN 1.0 ELSE 0.0 END) OVER () AS valid FROM spot)") + "SELECT code, round(pct_change, 6) AS pct_change, round(least(99, greatest(40, 50 + 2 * pct_change)), 6) AS proxy_rps FROM (SELECT * FROM s WHERE pct_change >= 1 AND (valid <= 0.5 OR circ_mv_yi BETWEEN 30 AND 500) AND code NOT IN (SELECT code FROM spot WHERE pct_change BETWEEN 0.5 AND 9.8) ORDER BY pct_change DESC, code LIMIT 30)")
 def broad_watch_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = a.spot(spark, sf_dir)

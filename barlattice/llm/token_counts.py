@@ -21,7 +21,6 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -77,11 +76,6 @@ class Model:
         return [len(e) for e in self.tokenizer.encode_batch_fast(tokens, add_special_tokens=False)]
 
 
-@lru_cache(2)
-def model_of(path: str) -> Model:
-    return Model(path)
-
-
 def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each character of UTF-8 data starts, and its code point."""
     at = np.flatnonzero((data & 0xC0) != 0x80)
@@ -208,7 +202,7 @@ def block_rows(parts: list[pa.RecordBatch], block: int, model: Model) -> Iterato
 
 def blocker(path: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, block, parts, held = model_of(path), TaskContext.get().partitionId() << 32, [], 0
+        model, block, parts, held = Model(path), TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for part in tc.pieces(batch, "text"):
                 length = len(tc.bytes_of(part.column("text"))[0])
@@ -242,7 +236,7 @@ def counter(path: str):
     """Rows sorted by pre-token to packed counts by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, last, known, parts, held = model_of(path), None, 0, [], 0
+        model, last, known, parts, held = Model(path), None, 0, [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue

@@ -26,7 +26,7 @@ def test_cuts_are_the_pre_tokens_of_the_library(library):
     raw = [t.encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
     whole = b"".join(raw)
-    start = tk.cuts(np.frombuffer(whole, dtype=np.uint8), offsets, tk.model_of(tk.MODEL))
+    start = tk.cuts(np.frombuffer(whole, dtype=np.uint8), offsets, tk.Model(tk.MODEL))
     got = [[] for _ in texts]
     for a, b, of in zip(start, [*start[1:], len(whole)], np.searchsorted(offsets, start, side="right") - 1, strict=True):
         got[of].append(whole[a:b].decode())

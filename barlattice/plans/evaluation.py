@@ -291,7 +291,9 @@ def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = w.rps(w.streak(w.features(a.bars_and_flows(spark, sf_dir)), F.col("main_net") > 0, "inflow_days"))
     days = temperature(spark, sf_dir).select("trade_date", "temperature")
     rows = f.join(a.stocks(spark, sf_dir).select("code", "circ_mv_yi"), "code").join(days, "trade_date", "left").withColumn("emotion", emotion_factor(F.coalesce("temperature", F.lit(50.0))))
-    plans = rules.derive(rows, [*TREND, *rules.entry_exit(), *rules.position()]).where("selected AND stop > 0 AND n_points > 0 AND target1 > stop")
+    # written between the scan and the plans: both together are too much for one generated function
+    picked = stored(rules.derive(rows, TREND).where("selected").select("code", "trade_date", "order_key", "temperature", "emotion", "close", "ma5", "ma10", "ma20", "recent_high20", "recent_low20", "atr14"), "candidates")
+    plans = rules.derive(picked, [*rules.entry_exit(), *rules.position()]).where("stop > 0 AND n_points > 0 AND target1 > stop")
     return plans.select("code", "trade_date", F.col("order_key").cast("double").alias("score"), "stop", F.col("target1").alias("target"), F.col("shares").cast("double").alias("shares"), "temperature")
 
 

@@ -1,10 +1,10 @@
 """Many needles in many texts: which texts hold which strings, without a text for each needle or gram.
 
-1. Every needle names one of its four-byte grams, the one that the fewest needles have; needles shorter than that are
+1. Every needle names one of its six-byte grams, the one that the fewest needles have; needles shorter than that are
    grams themselves. A bitmap of fixed size says which grams are asked for.
 2. Texts are read once and yield (doc_id, gram), each gram once, for the grams in the bitmap only.
 3. Needles meet those pairs by gram. What comes out are candidates: ids and needles, no text.
-4. Each text with a candidate is fetched once by its id and searched for them; needles under four bytes need no look.
+4. Each text with a candidate is fetched once by its id and searched for them; needles of up to six bytes need no look.
 
 Only step 4 shuffles texts, and only if the candidates are too many to broadcast. UTF-8 is self-synchronising, so bytes may stand for characters.
 """
@@ -22,7 +22,7 @@ from barlattice.scratch import by_value, stored
 
 by_value(__name__)
 
-GRAM = 4
+GRAM = 6
 #: Slots of the bitmap, a prime.
 SLOTS = 1_048_573
 #: So many candidates, of ids and needles, are broadcast to the texts; beyond, both are shuffled by id.
@@ -32,7 +32,7 @@ BROADCAST_ROWS = 200_000
 def asked(needles: DataFrame) -> DataFrame:
     """code, needle, gram (a number: length of the gram, then its bytes) of every needle. needles: code, needle, not empty."""
     raw = F.encode("needle", "UTF-8")
-    number = lambda x: F.conv(F.hex(x), 16, 10).cast("long") + F.shiftleft(F.octet_length(x).cast("long"), 32)
+    number = lambda x: F.conv(F.hex(x), 16, 10).cast("long") + F.shiftleft(F.octet_length(x).cast("long"), 48)
     last = F.greatest(F.octet_length("needle") - (GRAM - 1), F.lit(1))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: number(F.substr(raw, i, F.lit(GRAM)))))
     each = needles.select("code", "needle", F.explode(grams).alias("gram"))
@@ -49,7 +49,7 @@ def bitmap(grams: DataFrame) -> tuple[np.ndarray, list[int]]:
         bits = np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8), bitorder="little")
         at = (r["k"] - 1) * 32_768
         out[at : at + len(bits)] |= bits.astype(bool)[: len(out) - at]
-    return out[:SLOTS], sorted(r[0] for r in grams.select(F.shiftright("gram", 32)).distinct().collect())
+    return out[:SLOTS], sorted(r[0] for r in grams.select(F.shiftright("gram", 48)).distinct().collect())
 
 
 PAIRS = pa.schema([("doc_id", pa.int64()), ("gram", pa.int64())])
@@ -69,7 +69,7 @@ def grams_of(wanted: np.ndarray, lengths: list[int]):
                         break
                     value = (value[: len(data) - n + 1] << 8) | data[n - 1 :]
                     if n in lengths:
-                        key = value + (n << 32)
+                        key = value + (n << 48)
                         found.append(np.unique(key[wanted[key % SLOTS]]))
                 found = np.concatenate(found) if found else value[:0]
                 grams.append(found)

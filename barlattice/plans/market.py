@@ -194,7 +194,8 @@ p AS (SELECT *, CASE WHEN pct_change >= up THEN count(*) FILTER (pct_change >= u
 + "SELECT trade_date, up, count(*) FILTER (pct_change >= up) AS limit_up, count(*) FILTER (pct_change <= -up) AS limit_down, count(*) FILTER (high / prev_close * 100 - 100 >= up AND pct_change < up) AS broke, max(CASE WHEN pct_change >= up THEN streak END) AS max_streak FROM p WHERE pct_change IS NOT NULL GROUP BY 1, 2")
 def venue_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pools of each day by the limit of the stocks' venue: 20 per cent venues beside the others. Codes are spread over all venues."""
-    code = F.lpad((F.col("code").cast("int") * 36_731 % 1_000_000).cast("string"), 6, "0")
-    changes = a.changes(a.bars(spark, sf_dir)).withColumn("code", code).withColumn("up", up_limit(F.col("code")))
+    # as longs: from code 058466 on the product is beyond an int. No two codes share a venue's code, so streaks go by the code that rows are dealt by
+    venue = F.lpad((F.col("code").cast("long") * 36_731 % 1_000_000).cast("string"), 6, "0")
+    changes = a.changes(a.bars(spark, sf_dir)).withColumn("up", up_limit(venue))
     p = m.pool(changes, F.col("up"), -F.col("up")).where("pct_change IS NOT NULL")
     return p.groupBy("trade_date", "up").agg(F.count_if("is_up").alias("limit_up"), F.count_if("is_down").alias("limit_down"), F.count_if("is_broke").alias("broke"), F.max(F.when(F.col("is_up"), F.col("streak"))).alias("max_streak"))

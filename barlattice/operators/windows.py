@@ -90,11 +90,10 @@ def trend_windows(f: DataFrame, n: int) -> dict[str, Column]:
 
 
 def streak(df: DataFrame, flag: Column, name: str) -> DataFrame:
-    """Rows in a row, up to and with this one, for which the flag holds (gaps and islands)."""
-    off = F.when(flag, 0).otherwise(1)
-    groups = df.withColumn("_island", F.sum(off).over(rows(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy("code", "_island").orderBy("trade_date")
-    return groups.withColumn(name, F.when(flag, F.sum(F.when(flag, 1).otherwise(0)).over(inside.rowsBetween(Window.unboundedPreceding, 0))).otherwise(0)).drop("_island")
+    """Rows in a row, up to and with this one, for which the flag holds: the row's number less that of the last one without it. One order by code serves all."""
+    numbered = df.withColumn("_nth", F.row_number().over(by_code()).cast("long"))
+    off = F.max(F.when(flag, None).otherwise(F.col("_nth"))).over(rows(Window.unboundedPreceding, 0))
+    return numbered.withColumn(name, F.when(flag, F.col("_nth") - F.coalesce(off, F.lit(0))).otherwise(0)).drop("_nth")
 
 
 def rate_of_change(value: str, order: str, n: int) -> Column:

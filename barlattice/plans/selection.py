@@ -10,7 +10,7 @@ from barlattice.operators import market as m
 from barlattice.operators import rules
 from barlattice.operators import windows as w
 from barlattice.plans.common import Catalogue, layered, r, with_ctes
-from barlattice.plans.market import DAY, DOWN, POOL, TEMP, UP, pool_of_day, temperature
+from barlattice.plans.market import DAY, DOWN, POOL, SCALE, TEMP, UP, temperature
 from barlattice.scratch import stored
 from barlattice.sources import adapters as a
 
@@ -41,17 +41,27 @@ wide AS (SELECT x.*, s.name, s.board, s.profit, s.circ_mv_yi, s.debt_ratio, x.vo
   FROM (SELECT * FROM rps WHERE trade_date <= {DAY} QUALIFY row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) = 1) x JOIN stocks s USING (code) JOIN days d USING (code, trade_date) JOIN pool p USING (code, trade_date) JOIN shr USING (code, trade_date) LEFT JOIN th ON th.board = s.board)""")
 
 
-def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last row of each stock up to the day, with everything that the rules look at. Bars are built once; all windows by code share one shuffle, and joins come after the cut to one row per code."""
-    day = F.col("trade_date") <= F.lit(a.AS_OF).cast("date")
+def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a market measure looks at of every bar up to the day, written once: code, trade_date, ret20, the pools' columns (of pct_change the sign), newest (the code's last row with a ret20)."""
+    p = m.pool(w.features(a.bars(spark, sf_dir).where(F.col("trade_date") <= F.lit(a.AS_OF).cast("date"))), UP, DOWN)
+    last = F.max(F.when(F.col("ret20").isNotNull(), F.col("trade_date"))).over(Window.partitionBy("code"))
+    return stored(p.select("code", "trade_date", "ret20", F.signum("pct_change").alias("pct_change"), "is_up", "is_down", "is_broke", "streak", F.coalesce(last == F.col("trade_date"), F.lit(False)).alias("newest")), "marks")
+
+
+def wide(spark: SparkSession, sf_dir: str, seen: DataFrame | None = None) -> DataFrame:
+    """The last row of each stock up to the day, with everything that the rules look at. Features stay where their code is and are cut to one row per code there; what needs a whole day comes from marks (seen), and of those only the days of such rows are ranked."""
+    seen = marks(spark, sf_dir) if seen is None else seen
     o = a.by_code()
     lag = lambda c, n: F.lag(c, n).over(o)
     shrink = (F.col("close") > lag("close", 1)) & (lag("close", 1) > lag("close", 2)) & (lag("close", 2) > lag("close", 3)) & (F.col("volume") < lag("volume", 1)) & (lag("volume", 1) < lag("volume", 2)) & (F.col("close") / lag("close", 3) - 1 > 0.15)
-    series = m.pool(w.features(a.bars_and_flows(spark, sf_dir).where(day)).withColumn("shrinking", shrink), UP, DOWN)
-    ranked = w.rps(w.streak(series, F.col("main_net") > 0, "inflow_days"))
-    x = ranked.withColumn("_back", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("trade_date")))).where("_back = 1").drop("_back", "is_down", "is_broke", "main_net")
-    themes = m.theme_strength(pool_of_day(spark, sf_dir), "board").select("board", F.col("strength").cast("double").alias("theme_strength"), F.col("top_streak").alias("theme_top"), F.col("median_cap").alias("theme_median"), F.col("place").alias("theme_place"))
-    out = x.join(a.stocks(spark, sf_dir), "code").join(themes, "board", "left")
+    series = m.pool(w.features(a.bars_and_flows(spark, sf_dir).where(F.col("trade_date") <= F.lit(a.AS_OF).cast("date"))).withColumn("shrinking", shrink), UP, DOWN)
+    rows = w.streak(series, F.col("main_net") > 0, "inflow_days").where("ret20 IS NOT NULL")
+    x = rows.withColumn("_next", F.lead(F.lit(1)).over(o)).where("_next IS NULL").drop("_next", "is_down", "is_broke", "main_net")
+    days = seen.where("newest").select("trade_date").distinct()  # no more rows than days of the calendar
+    ranks = w.rps(seen.select("code", "trade_date", "ret20", "newest").join(F.broadcast(days), "trade_date", "left_semi")).where("newest").select("code", "rps")
+    hot = seen.where(F.col("is_up") & (F.col("trade_date") > F.date_sub(F.lit(a.AS_OF).cast("date"), 60))).join(a.stocks(spark, sf_dir), "code")
+    themes = m.theme_strength(hot, "board").select("board", F.col("strength").cast("double").alias("theme_strength"), F.col("top_streak").alias("theme_top"), F.col("median_cap").alias("theme_median"), F.col("place").alias("theme_place"))
+    out = x.join(ranks, "code").join(a.stocks(spark, sf_dir), "code").join(themes, "board", "left")
     unknown = {"first_seal": F.lit(None).cast("int"), "n_broken": F.lit(None).cast("int"), "seal_ratio": F.lit(None).cast("double")}
     return out.withColumn("turnover_rate", F.col("volume") / 10).withColumn("avg_rps", F.avg("rps").over(Window.partitionBy("board"))).withColumns(unknown)
 
@@ -87,7 +97,9 @@ DAYS_SQL = WIDE_SQL.rstrip() + TEMP.removeprefix(POOL) + ", warm_wide AS (SELECT
 
 def warm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide rows with their day's market temperature."""
-    return wide(spark, sf_dir).join(temperature(spark, sf_dir).select("trade_date", "temperature"), "trade_date", "left")
+    seen = marks(spark, sf_dir)
+    days = m.temperature(m.daily_pool(seen), SCALE).select("trade_date", "temperature")
+    return wide(spark, sf_dir, seen).join(F.broadcast(days), "trade_date", "left")  # a row per day
 
 
 @add("layered_pool", DAYS_SQL + "SELECT code, " + ", ".join(f"round(CAST(x_{k} AS DOUBLE), 4) AS x_{k}" for k in rules.POOL_PARTS) + f", round(CAST(pool_score AS DOUBLE), 4) AS pool_score, gates, blockers, pool_mode, pool_status FROM {layered('warm_wide', POOLED)}")

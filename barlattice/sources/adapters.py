@@ -19,30 +19,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items by code and day, dealt by code: days are summed up and all windows by code run where they are, without another shuffle."""
+    day = F.col("l_shipdate").cast("date").alias("trade_date")
+    rows = table(spark, sf_dir, "lineitem").select(F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("code"), day, "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_returnflag")
+    return rows.repartition("code")
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """code, trade_date, open, high, low, close, volume, amount; one row per code and day."""
-    items = table(spark, sf_dir, "lineitem")
     px = F.col("l_extendedprice") / F.col("l_quantity")
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
-    return items.groupBy(F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("code"), F.col("l_shipdate").cast("date").alias("trade_date")).agg(
+    return items(spark, sf_dir).groupBy("code", "trade_date").agg(
         F.min_by(px, order).alias("open"), F.max(px).alias("high"), F.min(px).alias("low"), F.max_by(px, order).alias("close"), F.sum("l_quantity").alias("volume"), F.round(F.sum("l_extendedprice"), 2).alias("amount")
     )
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """code, trade_date, main_net: amounts of the day, those returned counted as outflow."""
-    items = table(spark, sf_dir, "lineitem")
     signed = F.when(F.col("l_returnflag") == "R", -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice"))
-    return items.groupBy(F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("code"), F.col("l_shipdate").cast("date").alias("trade_date")).agg(F.round(F.sum(signed), 2).alias("main_net"))
+    return items(spark, sf_dir).groupBy("code", "trade_date").agg(F.round(F.sum(signed), 2).alias("main_net"))
 
 
 def bars_and_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars with main_net, from one pass and one shuffle."""
-    items = table(spark, sf_dir, "lineitem")
     px = F.col("l_extendedprice") / F.col("l_quantity")
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
     signed = F.when(F.col("l_returnflag") == "R", -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice"))
-    return items.groupBy(F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("code"), F.col("l_shipdate").cast("date").alias("trade_date")).agg(
+    return items(spark, sf_dir).groupBy("code", "trade_date").agg(
         F.min_by(px, order).alias("open"), F.max(px).alias("high"), F.min(px).alias("low"), F.max_by(px, order).alias("close"), F.sum("l_quantity").alias("volume"), F.round(F.sum("l_extendedprice"), 2).alias("amount"), F.round(F.sum(signed), 2).alias("main_net")
     )
 

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from barlattice.llm.common import free_name, materialise
 
 HASH_BITS = 60
-#: Directories of at most so many rows (about 40 bytes each) are broadcast; larger ones are joined by a shuffle.
-BROADCAST_SLOTS = 200_000
+#: Slots of at most so many rows (some 100 bytes each in a hash table) are broadcast; more are joined by a shuffle, whatever their files' size.
+BROADCAST_SLOTS = 20_000
 
 
 def row_hash(id_col: Column, text_col: Column) -> Column:
@@ -42,8 +42,8 @@ def slot_of(bits: int) -> Column:
 
 
 def few_or_not(slots: DataFrame) -> DataFrame:
-    """The slots, to be broadcast if they are few."""
-    return F.broadcast(slots) if slots.count() <= BROADCAST_SLOTS else slots
+    """The slots, to be broadcast if they are few; a size guessed from packed files must not send more of them to the driver."""
+    return F.broadcast(slots) if slots.count() <= BROADCAST_SLOTS else slots.hint("merge")
 
 
 def directory(keys: DataFrame, limit: int) -> tuple[DataFrame, list[int]]:
@@ -65,7 +65,8 @@ def directory(keys: DataFrame, limit: int) -> tuple[DataFrame, list[int]]:
     up = settled.select("*", F.explode(F.sequence(F.lit(0), F.col("bits"))).alias("depth")).withColumn("prefix", F.expr("shiftright(slot, bits - depth)"))
     sums = up.groupBy("depth", "prefix").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_docs"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     fits = sums.where((F.col("shard_bytes") <= limit) | (F.col("lo") == F.col("hi")))
-    best = up.select("bits", "slot", "depth", "prefix").join(fits.select("depth", "prefix", "shard_bytes", "shard_docs"), ["depth", "prefix"])
+    # a row per slot and depth on one side, per prefix on the other: both grow with the input and are guessed too small from the slots' files
+    best = up.select("bits", "slot", "depth", "prefix").join(fits.select("depth", "prefix", "shard_bytes", "shard_docs").hint("merge"), ["depth", "prefix"])
     best = best.groupBy("bits", "slot").agg(F.min(F.struct("depth", "prefix", "shard_bytes", "shard_docs")).alias("leaf")).select("bits", "slot", "leaf.*")
     return materialise(best, "directory"), levels
 

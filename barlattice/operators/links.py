@@ -117,10 +117,11 @@ def short_line(p: DataFrame, leaders: int = 8) -> DataFrame:
 
 
 def technical_snapshot(f: DataFrame) -> DataFrame:
-    """The last bar of each code with 35 rows or more: averages, volume ratio, state, and the last 60 bars."""
-    w = Window.partitionBy("code").orderBy("trade_date").rowsBetween(-59, 0)
-    bars = f.withColumn("last60", F.collect_list(F.struct("trade_date", "open", "high", "low", "close", "volume")).over(w)).where("rn >= 35")
-    return bars.withColumn("_n", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("trade_date")))).where("_n = 1").drop("_n")
+    """The last bar of each code with 35 rows or more: averages, volume ratio, state, and the last 60 bars. Only those 60 bars are collected, in the order that the features are in."""
+    order = Window.partitionBy("code").orderBy("trade_date")
+    near = f.withColumn("_later", F.lead(F.lit(1), 60).over(order)).where("_later IS NULL").drop("_later")
+    bars = near.withColumn("last60", F.collect_list(F.struct("trade_date", "open", "high", "low", "close", "volume")).over(order.rowsBetween(-59, 0))).withColumn("_next", F.lead(F.lit(1)).over(order))
+    return bars.where("_next IS NULL AND rn >= 35").drop("_next")
 
 
 def markdown_sections(docs: DataFrame) -> DataFrame:

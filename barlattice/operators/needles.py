@@ -5,6 +5,7 @@
 2. Texts are read once and yield (doc_id, gram), each gram once, for the grams in the bitmap only.
 3. Needles meet those pairs by gram. What comes out are candidates: ids and needles, no text.
 4. Each text with a candidate is fetched once by its id and searched for them; needles of up to six bytes need no look.
+5. Needles that were found become the codes that have them: a needle of many codes is looked for once.
 
 Only step 4 shuffles texts, and only if the candidates are too many to broadcast. UTF-8 is self-synchronising, so bytes may stand for characters.
 """
@@ -87,10 +88,12 @@ def candidates(texts: DataFrame, rare: DataFrame) -> DataFrame:
 
 def find(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """doc_id, code: which texts hold a needle of which code; null and empty needles and texts hold nothing. texts: doc_id, text; needles: code, needle."""
-    rare = asked(needles.where("needle IS NOT NULL AND needle <> ''").select("code", "needle").distinct())
-    met = stored(candidates(texts, rare), "candidates")
+    named = stored(needles.where("needle IS NOT NULL AND needle <> ''").select("code", "needle").distinct(), "named")
+    each = named.groupBy("needle").agg(F.min("code").alias("code"))  # one of its codes, the others come at the end
+    met = stored(candidates(texts, asked(each)).select("doc_id", "needle"), "candidates")
     short = F.octet_length("needle") <= GRAM
-    long = met.where(~short).groupBy("doc_id", "needle").agg(F.collect_set("code").alias("codes")).select(F.col("doc_id").alias("_doc"), "needle", "codes")
+    long = met.where(~short).groupBy("doc_id").agg(F.collect_set("needle").alias("needles")).select(F.col("doc_id").alias("_doc"), "needles")
     long = F.broadcast(long) if met.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else long
-    looked = texts.join(long, F.col("doc_id").eqNullSafe(F.col("_doc"))).where(F.contains("text", "needle")).select("doc_id", F.explode("codes").alias("code"))
-    return met.where(short).select("doc_id", "code").union(looked.select(F.col("doc_id").cast("long"), "code")).distinct()
+    looked = texts.join(long, F.col("doc_id").eqNullSafe(F.col("_doc"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.filter("needles", lambda n: F.contains("text", n))).alias("needle"))
+    held = met.where(short).union(looked).join(named, "needle")
+    return held.select("doc_id", "code").distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
@@ -128,6 +128,12 @@ def average_rank(order: Column, group: WindowSpec, ordered: WindowSpec, ties: Wi
     return (F.rank().over(ordered) + (F.count(order).over(ties) - 1) / 2) / F.count(order).over(group) * 100
 
 
+def average_rank_in(order: Column, ordered: WindowSpec) -> Column:
+    """average_rank of the values that a window puts in order; nulls go first and must have been left out. All of it is one pass over one sort: the rows up to the last tie are rank + ties - 1."""
+    up_to = F.count(order).over(ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return (F.rank().over(ordered) + up_to) / 2 / F.count(order).over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * 100
+
+
 def first_true(*cases: tuple[Column, object], default: object = None) -> Column:
     """The value of the first condition that holds; a null condition doesn't hold."""
     out = None
@@ -149,9 +155,19 @@ BINS: dict[str, list[tuple[float | None, str]]] = {
 }
 
 
-def bin_of(x: Column, bins: list[tuple[float | None, str]]) -> Column:
+def bin_of(x: Column, bins: list[tuple[float | None, str | int]]) -> Column:
     out = None
     for high, label in bins:
         test = x < high if high is not None else x.isNotNull()
         out = F.when(test, label) if out is None else out.when(test, label)
     return out
+
+
+def bin_place(x: Column, bins: list[tuple[float | None, str]]) -> Column:
+    """The bin's place, 1 for the first, 0 for none."""
+    return F.coalesce(bin_of(x, [(high, i) for i, (high, _) in enumerate(bins, 1)]), F.lit(0))
+
+
+def bin_label(place: Column, bins: list[tuple[float | None, str]]) -> Column:
+    """The label of a bin's place; null for 0."""
+    return F.get(F.array(*[F.lit(label) for _, label in bins]), place - 1)

@@ -1,6 +1,6 @@
 """Calibration from moments that add up: per bin the number of rows, of rises, the mean return and the squares around it.
 
-Rows are first counted by the tuple of all their bins, so each is aggregated once, not once per feature and horizon. Moments of
+Rows are first counted by the tuple of all their bins (one integer), so each is aggregated once, not once per feature and horizon. Moments of
 a day are merged into those of any span; a store keeps them by day, and a run names the span that it rolled.
 """
 
@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlattice.functions.scalars import BINS, bin_of, ratio, wilson
-from barlattice.operators.evaluation import binned_features
+from barlattice.functions.scalars import ratio, wilson
+from barlattice.operators.evaluation import labels, marked, ranked_marks
 from barlattice.sources.versions import VersionedTable
 
 MOMENTS = ("n", "ups", "mean", "m2")
@@ -32,11 +32,11 @@ def merged(parts: DataFrame, *keys: str) -> DataFrame:
 
 
 def binned_moments(f: DataFrame, *keys: str, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
-    """keys, horizon, feature, bin and MOMENTS. f: the features and fwd_ret<h>."""
-    feats = binned_features()
-    binned = f.select(*keys, *[bin_of(c, BINS[k]).alias(f"b_{k}") for k, c in feats.items()], *[f"fwd_ret{h}" for h in horizons])
-    tuples = binned.groupBy(*keys, *[f"b_{k}" for k in feats]).agg(*[moments(F.col(f"fwd_ret{h}")).alias(f"m{h}") for h in horizons])
-    each = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(k).alias("feature"), F.col(f"b_{k}").alias("bin"), F.col(f"m{h}").alias("m")) for h in horizons for k in feats])
+    """keys, horizon, feature, bin and MOMENTS. f: the features, or marks and rps, and fwd_ret<h>."""
+    f = f if "marks" in f.columns else marked(f)
+    binned = f.select(*keys, ranked_marks().alias("marks"), *[f"fwd_ret{h}" for h in horizons])
+    tuples = binned.groupBy(*keys, "marks").agg(*[moments(F.col(f"fwd_ret{h}")).alias(f"m{h}") for h in horizons])
+    each = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(k).alias("feature"), c.alias("bin"), F.col(f"m{h}").alias("m")) for h in horizons for k, c in labels(F.col("marks")).items()])
     long = tuples.select(*keys, F.explode(each).alias("x")).select(*keys, "x.horizon", "x.feature", "x.bin", "x.m.*").where("bin IS NOT NULL AND n > 0")
     return merged(long, *keys, "horizon", "feature", "bin")
 

@@ -7,11 +7,12 @@ one order, so a plan that uses many of them shuffles and sorts once.
 from __future__ import annotations
 
 import math
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlattice.functions.scalars import average_rank, ratio
+from barlattice.functions.scalars import average_rank_in, ratio
 from barlattice.sources.adapters import by_code
 
 
@@ -19,10 +20,23 @@ def rows(a: int, b: int):
     return by_code().rowsBetween(a, b)
 
 
-def full_mean(x: str | Column, n: int, end: int = 0) -> Column:
-    """Mean of the n rows up to the row `end`; null if there are fewer."""
-    x = F.col(x) if isinstance(x, str) else x
+def running(*columns: str) -> dict[str, Column]:
+    """For full_mean, counted and forward of columns of doubles: values up to each row (n_<x>), and the column without nulls (<x>_or_0)."""
+    return {f"n_{x}": F.count(x).over(rows(Window.unboundedPreceding, 0)) for x in columns} | {f"{x}_or_0": F.coalesce(x, F.lit(0.0)) for x in columns}
+
+
+def counted(x: str, a: int, b: int) -> Column:
+    """Values of x in the rows a to b, from running counts: a frame costs a step per row in it, these two look-ups. b is not past the last row."""
+    up_to = lambda k: F.col(f"n_{x}") if k == 0 else F.lag(f"n_{x}", -k).over(by_code())
+    return F.coalesce(up_to(b), F.lit(0)) - F.coalesce(up_to(a - 1), F.lit(0))
+
+
+def full_mean(x: str | Column, n: int, end: int = 0, ran: bool = False) -> Column:
+    """Mean of the n rows up to the row `end`; null if there are fewer. ran: from running sums' columns, with the same additions in the same order."""
     w = rows(end - n + 1, end)
+    if ran:
+        return F.when(counted(x, end - n + 1, end) == n, F.sum(f"{x}_or_0").over(w) / n)
+    x = F.col(x) if isinstance(x, str) else x
     return F.when(F.count(x).over(w) == n, F.avg(x).over(w))
 
 
@@ -35,22 +49,26 @@ def true_range() -> Column:
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
-def features(b: DataFrame) -> DataFrame:
-    """Bars with all per-row features; Catalyst prunes those that a query leaves out."""
+def features(b: DataFrame, more: dict[str, Column] | None = None, ran: bool = False) -> DataFrame:
+    """Bars with all per-row features; Catalyst prunes those that a query leaves out.
+
+    more: further columns over windows by code, also of rn, that share the pass over them. ran: frames are counted by running counts."""
     w = by_code()
     prev = F.lag("close").over(w)
-    out = b.withColumns({"rn": F.row_number().over(w), "prev_close": prev, "pct_change": ratio(F.col("close"), prev) * 100 - 100, "tr": true_range(), "obv_step": F.coalesce(F.signum(F.col("close") - prev) * F.col("volume"), F.lit(0.0))})
+    mean = partial(full_mean, ran=ran)
+    out = b.withColumns({**(running("close", "volume", "amount") if ran else {}), "rn": F.row_number().over(w), "prev_close": prev, "pct_change": ratio(F.col("close"), prev) * 100 - 100, "tr": true_range(), "obv_step": F.coalesce(F.signum(F.col("close") - prev) * F.col("volume"), F.lit(0.0))})
     prior = rows(-20, -1)
     return out.withColumns(
         {
-            **{f"ma{n}": full_mean("close", n) for n in (5, 10, 20, 30, 60)},
+            **{f"ma{n}": mean("close", n) for n in (5, 10, 20, 30, 60)},
             **{f"ret{n}": row_return(n) for n in (3, 5, 10, 19, 20)},
-            "prior_high20": F.max("close").over(prior), "prior_low20": F.min("close").over(prior), "prior_n": F.count("close").over(prior),
-            "volume_ratio_incl": ratio(F.col("volume"), full_mean("volume", 5)), "volume_ratio_prev": ratio(F.col("volume"), full_mean("volume", 5, -1)), "volume_ratio10": ratio(F.col("volume"), full_mean("volume", 10, -1)), "amount_ratio5": ratio(F.col("amount"), full_mean("amount", 5, -1)),
+            "prior_high20": F.max("close").over(prior), "prior_low20": F.min("close").over(prior), "prior_n": counted("close", -20, -1) if ran else F.count("close").over(prior),
+            "volume_ratio_incl": ratio(F.col("volume"), mean("volume", 5)), "volume_ratio_prev": ratio(F.col("volume"), mean("volume", 5, -1)), "volume_ratio10": ratio(F.col("volume"), mean("volume", 10, -1)), "amount_ratio5": ratio(F.col("amount"), mean("amount", 5, -1)),
             "atr14": F.when(F.col("rn") >= 15, F.avg("tr").over(rows(-13, 0))),
             "obv": F.sum("obv_step").over(rows(Window.unboundedPreceding, 0)), "obv5": F.when(F.col("rn") >= 6, F.sum("obv_step").over(rows(-4, 0))),
             "vol60": F.when(F.count("pct_change").over(rows(-58, 0)) >= 2, F.stddev_samp("pct_change").over(rows(-58, 0)) / 100 * math.sqrt(252) * 100),
-            "volume_mean10": full_mean("volume", 10), "recent_high20": F.max("high").over(rows(-19, 0)), "recent_low20": F.min("low").over(rows(-19, 0)),
+            "volume_mean10": mean("volume", 10), "recent_high20": F.max("high").over(rows(-19, 0)), "recent_low20": F.min("low").over(rows(-19, 0)),
+            **(more or {}),
         }
     )
 
@@ -73,8 +91,7 @@ FEATURES_SQL = """feat AS (
 
 def rps(f: DataFrame, value: str = "ret20") -> DataFrame:
     """Relative strength: percentile of the value across each day's market, average ties."""
-    day = Window.partitionBy("trade_date")
-    return f.where(F.col(value).isNotNull()).withColumn("rps", average_rank(F.col(value), day, day.orderBy(value), Window.partitionBy("trade_date", value)))
+    return f.where(F.col(value).isNotNull()).withColumn("rps", average_rank_in(F.col(value), Window.partitionBy("trade_date").orderBy(value)))
 
 
 RPS_SQL = """rps AS (SELECT *, (rank() OVER (PARTITION BY trade_date ORDER BY ret20) + (count(*) OVER (PARTITION BY trade_date, ret20) - 1) / 2.0) / count(*) OVER (PARTITION BY trade_date) * 100 AS rps FROM feat WHERE ret20 IS NOT NULL)"""
@@ -89,11 +106,16 @@ def trend_windows(f: DataFrame, n: int) -> dict[str, Column]:
     return {f"change{n}": change, f"pullback{n}": pullback, f"rebound{n}": rebound, f"state{n}": state}
 
 
+def streak_of(flag: Column, nth: str) -> Column:
+    """Rows in a row, up to and with this one, for which the flag holds: the row's number (nth) less that of the last one without it."""
+    off = F.max(F.when(flag, None).otherwise(F.col(nth))).over(rows(Window.unboundedPreceding, 0))
+    return F.when(flag, F.col(nth) - F.coalesce(off, F.lit(0))).otherwise(0)
+
+
 def streak(df: DataFrame, flag: Column, name: str) -> DataFrame:
-    """Rows in a row, up to and with this one, for which the flag holds: the row's number less that of the last one without it. One order by code serves all."""
+    """df with its rows' streak_of. One order by code serves all."""
     numbered = df.withColumn("_nth", F.row_number().over(by_code()).cast("long"))
-    off = F.max(F.when(flag, None).otherwise(F.col("_nth"))).over(rows(Window.unboundedPreceding, 0))
-    return numbered.withColumn(name, F.when(flag, F.col("_nth") - F.coalesce(off, F.lit(0))).otherwise(0)).drop("_nth")
+    return numbered.withColumn(name, streak_of(flag, "_nth")).drop("_nth")
 
 
 def rate_of_change(value: str, order: str, n: int) -> Column:
@@ -101,10 +123,10 @@ def rate_of_change(value: str, order: str, n: int) -> Column:
     return ratio(F.col(value) - past, F.abs(past)) * 100
 
 
-def forward(h: int) -> dict[str, Column]:
+def forward(h: int, ran: bool = False) -> dict[str, Column]:
     """What the h rows after this one bring: close return, highest high, lowest low, drawdown, win; null without h rows."""
     w = rows(1, h)
-    enough = F.count("close").over(w) == h
+    enough = (counted("close", 1, h) if ran else F.count("close").over(w)) == h
     end = F.lead("close", h).over(by_code())
     low = F.min("low").over(w)
     return {f"fwd_ret{h}": F.when(enough, ratio(end, F.col("close")) - 1), f"fwd_high{h}": F.when(enough, ratio(F.max("high").over(w), F.col("close")) - 1), f"fwd_low{h}": F.when(enough, ratio(low, F.col("close")) - 1), f"fwd_win{h}": F.when(enough, F.when(end > F.col("close"), 1).otherwise(0))}

@@ -49,3 +49,14 @@ def test_a_journal_ranks_the_days_it_records(spark, monkeypatch):
     registry.queries()["journal_store"](spark, SF)
     months = ranked[0].select("trade_date").distinct()
     assert months.count() == months.selectExpr("trunc(trade_date, 'month')").distinct().count()
+
+
+def test_calibration_deals_bins_by_day_and_passes_twice_by_code(spark):
+    df = registry.queries()["calibration_bins"](spark, SF)
+    by_day = [n for n, by in exchanges(df) if by.startswith("hashpartitioning(trade_date")]
+    assert by_day and max(by_day) <= 5  # before: 13 columns
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        df.explain()
+    assert len(re.findall(r"Sort \[trade_date", text.getvalue())) == 1  # before: 2
+    assert len(re.findall(r"Window \[.*\], \[code#", text.getvalue())) == 2  # before: 3

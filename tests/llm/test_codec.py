@@ -1,4 +1,11 @@
+import itertools
+import random
+import re
+import sys
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -50,3 +57,45 @@ def test_scores_are_those_of_the_library():
     assert p.get_piece_size() == len(MODEL["pieces"])
     for k in range(0, p.get_piece_size(), 97):
         assert p.id_to_piece(k) == MODEL["pieces"][k][0] and p.get_score(k) == pytest.approx(MODEL["pieces"][k][1])
+
+
+def test_distinct_units_are_walked_together_not_one_by_one():
+    words = ["".join(w) for w in itertools.product("abcdefgh", repeat=4)]
+    texts = [" ".join(words[k::8]) for k in range(8)] * 2
+    with open(sp.MODEL, "rb") as f:
+        run = sp.coder(SimpleNamespace(value=f.read()))
+    one, many = (pa.RecordBatch.from_pydict({"doc_id": range(len(t)), "text": t}) for t in (["a"], texts))
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call" and frame.f_code.co_filename == sp.__file__
+
+    batches = run(iter([one, many]))
+    next(batches)
+    sys.setprofile(count)
+    coded = next(batches)
+    sys.setprofile(None)
+    assert coded.column("round_trip").to_pylist() == [True] * 16
+    assert calls < len(words) / 4
+    assert [x.as_py() for x in coded.column("ids")] == [brute(t) for t in texts]
+
+
+@pytest.mark.parametrize("bytes_left", [256, 200, 0])
+def test_a_walk_is_what_each_unit_gives_alone(bytes_left):
+    left = [p if p[2] != sp.BYTE or int(p[0][3:5], 16) < bytes_left else ("gone", 0.0, sp.UNUSED) for p in MODEL["pieces"]]
+    segmenter, rnd = sp.Segmenter(MODEL | {"pieces": left}), random.Random(7)
+    texts = ["".join(rnd.choice("abcdent iouérs  \n\t▁日x😀\0漢か") for _ in range(rnd.randint(0, 60))) for _ in range(300)]
+    units = sorted({u for t in texts for u in sp.UNIT.findall((" " + t).encode())}, key=len, reverse=True)
+    assert segmenter.walk(units) == [segmenter.segment(u) for u in units]
+    if bytes_left == 256:
+        assert [list(np.frombuffer(x, dtype=np.int32)) for x in segmenter.encode_all([t.encode() for t in texts])] == [brute(t) if t else [] for t in texts]
+
+
+def test_long_texts_are_cut_where_a_unit_ends(monkeypatch):
+    monkeypatch.setattr(sp.tc, "PIECE", 50)
+    rnd = random.Random(9)
+    for text in ("".join(rnd.choice("ab日  ") for _ in range(2000)), "x" * 500, " " * 500, "x" * 300 + " y" * 300):
+        parts = list(sp.slices(text.encode()))
+        assert b"".join(parts) == text.encode() and [u for p in parts for u in sp.UNIT.findall(p)] == [u.encode() for u in re.findall("[^ ]+| +[^ ]*", text)]
+        assert list(np.frombuffer(SEGMENTER.encode(text), dtype=np.int32)) == brute(text)
